@@ -16,16 +16,16 @@ from catalens.functions.numeric import col
 from catalens.functions.text import clean_description, squeeze, text_or_empty
 from catalens.operators.keys import _first_per, dedupe_richest, richness
 
-OUT = ("tool_name", "tool_description", "has_schema", "extraction_pattern", "position")
+FLAGS = "(?sU)"  # a dot spans lines; letters, digits and blanks are Unicode classes
 
 
 def _hits(c, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(col(c), F.lit(FLAGS + pattern), F.lit(group))
 
 
 def _group(c, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null when there is none or it is empty."""
-    return F.nullif(F.regexp_extract(col(c), pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(col(c), FLAGS + pattern, group), F.lit(""))
 
 
 def language_of(path, registry_type=None) -> Column:
@@ -75,17 +75,17 @@ def extract_calls_js(files: DataFrame, keep: Sequence[str], text: str = "text",
         F.lit(False).alias("has_schema"), "extraction_pattern", "position",
     )
     with_body = _unfold(source, "ts_server_tool_object", keep, hit=_hits(text, fx.JS_CALL_WITH_BODY)).select(
-        "*", F.regexp_extract("hit", fx.JS_CALL_WITH_BODY, 2).alias("body")
+        "*", F.regexp_extract("hit", FLAGS + fx.JS_CALL_WITH_BODY, 2).alias("body")
     ).select(
         *keep, _group("hit", fx.JS_CALL_WITH_BODY, 1).alias("name"), _group("body", fx.JS_DESCRIPTION).alias("description"),
         F.col("body").rlike(fx.JS_SCHEMA).alias("has_schema"), "extraction_pattern", "position",
     )
-    past = fx.JS_LITERAL + r"(?=((?s).{0,%d}))" % fx.LITERAL_LOOK_PAST
+    past = fx.JS_LITERAL + r"(?=(.{0,%d}))" % fx.LITERAL_LOOK_PAST
     literal = _unfold(
         source, "ts_tool_literal", keep, hit=_hits(text, fx.JS_LITERAL), after=_hits(text, past, 4)
-    ).select("*", F.regexp_extract("hit", fx.JS_LITERAL, 2).alias("body")).select(
+    ).select("*", F.regexp_extract("hit", FLAGS + fx.JS_LITERAL, 2).alias("body")).select(
         *keep, _group("hit", fx.JS_LITERAL, 1).alias("name"),
-        F.coalesce(F.nullif(F.trim(_group("hit", fx.JS_LITERAL, 3)), F.lit("")), _group("body", fx.JS_DESCRIPTION)).alias("description"),
+        F.coalesce(F.nullif(squeeze(_group("hit", fx.JS_LITERAL, 3)), F.lit("")), _group("body", fx.JS_DESCRIPTION)).alias("description"),
         F.when(F.col("body") != "", F.col("body")).otherwise(F.concat("hit", "after")).rlike(fx.JS_SCHEMA).alias("has_schema"),
         "extraction_pattern", "position",
     )
@@ -101,15 +101,15 @@ def extract_decorators(files: DataFrame, keep: Sequence[str], text: str = "text"
     """Python decorators: name argument or the next function, description argument or its docstring; private
     names are dropped."""
     keep = list(keep)
-    tail = fx.PY_DECORATOR + r"(?=((?s).{0,%d}))" % fx.DECORATOR_TAIL
+    tail = fx.PY_DECORATOR + r"(?=(.{0,%d}))" % fx.DECORATOR_TAIL
     hits = _unfold(
         files.where(F.col(language) == "python"), "py_decorator", keep,
         args=_hits(text, fx.PY_DECORATOR, 1), tail=_hits(text, tail, 2),
     )
-    after_def = F.regexp_extract("tail", "(?s)" + fx.PY_NEXT_DEF + "(.*)", 2)
-    has_def = F.col("tail").rlike(fx.PY_NEXT_DEF)
+    after_def = F.regexp_extract("tail", FLAGS + fx.PY_NEXT_DEF + "(.*)", 2)
+    has_def = F.col("tail").rlike(FLAGS + fx.PY_NEXT_DEF)
     name = F.coalesce(_group("args", fx.PY_NAME_ARGUMENT), _group("tail", fx.PY_NEXT_DEF))
-    docstring = F.when(has_def, squeeze(F.regexp_extract(after_def, fx.PY_DOCSTRING, 2)))
+    docstring = F.when(has_def, squeeze(F.regexp_extract(after_def, FLAGS + fx.PY_DOCSTRING, 2)))
     return hits.select(
         *keep, name.alias("tool_name"),
         clean_description(F.coalesce(_group("args", fx.PY_DESCRIPTION_ARGUMENT), docstring)).alias("tool_description"),

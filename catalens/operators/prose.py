@@ -43,8 +43,9 @@ def prose_profile(df: DataFrame, key: str, text: str, dash: str = "---?|—", co
     counted = base.select(
         key, "lens", "openings",
         hits(fx.WORD).cast("double").alias("w"), hits(dash).alias("dashes"),
-        sum((hits("(?i)" + p) for p in connectives), F.lit(0)).alias("formulaic"),
-        hits(fx.TRIAD).alias("triads"), hits(fx.NOT_BUT).alias("not_but"), hits(fx.PASSIVE).alias("passive"),
+        sum((hits("(?iU)" + p) for p in connectives), F.lit(0)).alias("formulaic"),
+        hits("(?U)" + fx.TRIAD).alias("triads"), hits("(?U)" + fx.NOT_BUT).alias("not_but"),
+        hits("(?U)" + fx.PASSIVE).alias("passive"),
         F.size("lens").cast("double").alias("n"),
         F.aggregate("lens", F.lit(0.0), lambda acc, x: acc + x).alias("total"),
         F.aggregate("lens", F.lit(0.0), lambda acc, x: acc + x * x).alias("squares"),

@@ -28,7 +28,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 def _data_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a sheet without byte-order mark, Markdown fences and blank lines."""
-    line = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r$", "")
+    line = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r$", "")
     return spark.read.text(path).select(line.alias("line")).where(
         (F.trim("line") != "") & ~F.ltrim("line").startswith("```")
     )
@@ -41,7 +41,7 @@ def read_coded_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     header = ",".join(columns)
     lines = _data_lines(spark, path).where(F.regexp_replace("line", '"', "") != header)
     return lines.select(F.from_csv("line", schema, {"nullValue": "\u0000", "emptyValue": ""}).alias("r")).select(
-        *[F.coalesce(F.col(f"r.`{c}`"), F.lit("")).alias(c) for c in columns]
+        *[F.trim(F.coalesce(F.col(f"r.`{c}`"), F.lit(""))).alias(c) for c in columns]
     )
 
 
