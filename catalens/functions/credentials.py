@@ -1,4 +1,8 @@
-"""Rules that decide whether a declared variable names a credential."""
+"""Rules that decide whether a declared variable names a credential.
+
+Only string functions that run inside code generation are used, no alternations: a declaration table is
+large and these rules touch every row.
+"""
 
 from __future__ import annotations
 
@@ -24,21 +28,21 @@ def verdict_hint(name) -> Column:
 def classify_credential(name, description) -> Column:
     """Whole-word rule: struct(tier, reason); tier is null when the rule does not fire.
 
-    The name is normalised to blank-separated lower-case segments, after which the compound, the head
-    and the word in front of it are each one regular expression away.
+    The name becomes blank-separated lower-case words; its last two words decide on a compound, its last
+    word on a head noun, and the word in front of either on a demotion.
     """
     words = F.trim(F.regexp_replace(F.lower(text_or_empty(name)), "[^a-z0-9]+", " "))
-    compound = "(?:^| )(?:" + "|".join(fx.COMPOUNDS) + ")$"
-    head = "(?:^| )(?:" + "|".join(fx.EXPLICIT_HEADS + fx.AMBIGUOUS_HEADS) + ")$"
-    term = F.when(words.rlike(compound), F.regexp_extract(words, compound, 0)).otherwise(
-        F.regexp_extract(words, head, 0)
-    )
-    last = F.substring_index(words, " ", -1)
+    last, two, three = (F.substring_index(words, " ", -n) for n in (1, 2, 3))
+    compound = two.isin(*fx.COMPOUNDS)
     tier = (
-        F.when(words.rlike(compound) | last.isin(*fx.EXPLICIT_HEADS), "explicit")
+        F.when(compound | last.isin(*fx.EXPLICIT_HEADS), "explicit")
         .when(last.isin(*fx.AMBIGUOUS_HEADS), "ambiguous")
     )
-    before = F.substring_index(F.left(words, F.length(words) - F.length(term)), " ", -1)
+    before = (
+        F.when(compound, F.when(three != two, F.substring_index(three, " ", 1)))
+        .when(two != last, F.substring_index(two, " ", 1))
+    )
+    before = F.coalesce(before, F.lit(""))
     reason = (
         F.when(words == "", "empty")
         .when(tier.isNull(), "no-credential-term")

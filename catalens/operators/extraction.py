@@ -57,86 +57,101 @@ def select_source_files(
     return _first_per(kept, [package], [F.col(path).asc()], max_files).drop("_rank")
 
 
-def _unfold(files: DataFrame, pattern_name: str, keep: Sequence[str], **arrays: Column) -> DataFrame:
-    """One row per hit with its position in the file."""
-    zipped = F.arrays_zip(*[a.alias(n) for n, a in arrays.items()])
-    return files.select(*keep, F.posexplode(zipped).alias("position", "h")).select(
-        *keep, "position", *[F.col(f"h.{n}").alias(n) for n in arrays],
-        F.lit(pattern_name).alias("extraction_pattern"),
-    )
+JS, PYTHON = ("typescript", "javascript"), ("python",)
+PATTERN_ORDER = ("ts_server_tool", "ts_server_tool_object", "ts_tool_literal", "py_decorator", "py_tool_ctor")
 
 
-def extract_calls_js(files: DataFrame, keep: Sequence[str], text: str = "text", language: str = "language") -> DataFrame:
-    """JavaScript and TypeScript registrations: call with a description, call with an object body, object literal."""
-    source = files.where(F.col(language).isin("typescript", "javascript"))
-    keep = list(keep)
-    call = _unfold(source, "ts_server_tool", keep, hit=_hits(text, fx.JS_CALL)).select(
-        *keep, _group("hit", fx.JS_CALL, 1).alias("name"), _group("hit", fx.JS_CALL, 2).alias("description"),
-        F.lit(False).alias("has_schema"), "extraction_pattern", "position",
-    )
-    with_body = _unfold(source, "ts_server_tool_object", keep, hit=_hits(text, fx.JS_CALL_WITH_BODY)).select(
-        "*", F.regexp_extract("hit", FLAGS + fx.JS_CALL_WITH_BODY, 2).alias("body")
-    ).select(
-        *keep, _group("hit", fx.JS_CALL_WITH_BODY, 1).alias("name"), _group("body", fx.JS_DESCRIPTION).alias("description"),
-        F.col("body").rlike(fx.JS_SCHEMA).alias("has_schema"), "extraction_pattern", "position",
-    )
-    past = fx.JS_LITERAL + r"(?=(.{0,%d}))" % fx.LITERAL_LOOK_PAST
-    literal = _unfold(
-        source, "ts_tool_literal", keep, hit=_hits(text, fx.JS_LITERAL), after=_hits(text, past, 4)
-    ).select("*", F.regexp_extract("hit", FLAGS + fx.JS_LITERAL, 2).alias("body")).select(
-        *keep, _group("hit", fx.JS_LITERAL, 1).alias("name"),
-        F.coalesce(F.nullif(squeeze(_group("hit", fx.JS_LITERAL, 3)), F.lit("")), _group("body", fx.JS_DESCRIPTION)).alias("description"),
-        F.when(F.col("body") != "", F.col("body")).otherwise(F.concat("hit", "after")).rlike(fx.JS_SCHEMA).alias("has_schema"),
-        "extraction_pattern", "position",
-    )
-    found = call.unionByName(with_body).unionByName(literal)
-    name = F.trim(text_or_empty("name"))
-    return found.where(name != "").select(
-        *keep, name.alias("tool_name"), clean_description("description").alias("tool_description"),
-        "has_schema", "extraction_pattern", "position",
+def _tagged(pattern_name: str, hit: Column, after: Column | None = None) -> Column:
+    """Hits of one idiom as structs (pattern, position, hit, after)."""
+    name = F.lit(pattern_name).alias("extraction_pattern")
+    if after is None:
+        return F.transform(hit, lambda h, i: F.struct(
+            name, i.alias("position"), h.alias("hit"), F.lit("").alias("after")))
+    return F.transform(F.arrays_zip(hit.alias("h"), after.alias("a")), lambda z, i: F.struct(
+        name, i.alias("position"), z["h"].alias("hit"), z["a"].alias("after")))
+
+
+def _idiom_hits(pattern_name: str, text) -> Column:
+    """What each idiom keeps of a match: the whole call, its arguments or its body, and the text after it."""
+    if pattern_name == "ts_server_tool":
+        return _tagged(pattern_name, _hits(text, fx.JS_CALL))
+    if pattern_name == "ts_server_tool_object":
+        return _tagged(pattern_name, _hits(text, fx.JS_CALL_WITH_BODY))
+    if pattern_name == "ts_tool_literal":
+        past = fx.JS_LITERAL + r"(?=(.{0,%d}))" % fx.LITERAL_LOOK_PAST
+        return _tagged(pattern_name, _hits(text, fx.JS_LITERAL), _hits(text, past, 4))
+    if pattern_name == "py_decorator":
+        tail = fx.PY_DECORATOR + r"(?=(.{0,%d}))" % fx.DECORATOR_TAIL
+        return _tagged(pattern_name, _hits(text, fx.PY_DECORATOR, 1), _hits(text, tail, 2))
+    return _tagged(pattern_name, _hits(text, fx.PY_CONSTRUCTOR, 1))
+
+
+def _definition() -> Column:
+    """Name, description and schema flag of a hit; each idiom's reading runs on its own hits only."""
+    kind, hit, after = F.col("extraction_pattern"), F.col("hit"), F.col("after")
+
+    def reading(name, description, schema) -> Column:
+        return F.struct(name.alias("name"), description.alias("description"), schema.alias("has_schema"))
+
+    body = F.regexp_extract(hit, FLAGS + fx.JS_CALL_WITH_BODY, 2)
+    literal_body = F.regexp_extract(hit, FLAGS + fx.JS_LITERAL, 2)
+    literal_text = F.nullif(squeeze(_group(hit, fx.JS_LITERAL, 3)), F.lit(""))
+    after_def = F.regexp_extract(after, FLAGS + fx.PY_NEXT_DEF + "(.*)", 2)
+    docstring = F.when(after.rlike(FLAGS + fx.PY_NEXT_DEF), squeeze(F.regexp_extract(after_def, FLAGS + fx.PY_DOCSTRING, 2)))
+    return (
+        F.when(kind == "ts_server_tool", reading(
+            F.trim(_group(hit, fx.JS_CALL, 1)), clean_description(_group(hit, fx.JS_CALL, 2)), F.lit(False)))
+        .when(kind == "ts_server_tool_object", reading(
+            F.trim(_group(hit, fx.JS_CALL_WITH_BODY, 1)), clean_description(_group(body, fx.JS_DESCRIPTION)),
+            body.rlike(fx.JS_SCHEMA)))
+        .when(kind == "ts_tool_literal", reading(
+            F.trim(_group(hit, fx.JS_LITERAL, 1)),
+            clean_description(F.coalesce(literal_text, _group(literal_body, fx.JS_DESCRIPTION))),
+            F.when(literal_body != "", literal_body).otherwise(F.concat(hit, after)).rlike(fx.JS_SCHEMA)))
+        .when(kind == "py_decorator", reading(
+            F.coalesce(_group(hit, fx.PY_NAME_ARGUMENT), _group(after, fx.PY_NEXT_DEF)),
+            clean_description(F.coalesce(_group(hit, fx.PY_DESCRIPTION_ARGUMENT), docstring)), F.lit(False)))
+        .otherwise(reading(
+            _group(hit, fx.PY_NAME_ARGUMENT), F.left(text_or_empty(_group(hit, fx.PY_DESCRIPTION_ARGUMENT)), F.lit(600)),
+            hit.rlike(fx.PY_SCHEMA_ARGUMENT)))
     )
 
 
-def extract_decorators(files: DataFrame, keep: Sequence[str], text: str = "text", language: str = "language") -> DataFrame:
-    """Python decorators: name argument or the next function, description argument or its docstring; private
-    names are dropped."""
-    keep = list(keep)
-    tail = fx.PY_DECORATOR + r"(?=(.{0,%d}))" % fx.DECORATOR_TAIL
-    hits = _unfold(
-        files.where(F.col(language) == "python"), "py_decorator", keep,
-        args=_hits(text, fx.PY_DECORATOR, 1), tail=_hits(text, tail, 2),
-    )
-    after_def = F.regexp_extract("tail", FLAGS + fx.PY_NEXT_DEF + "(.*)", 2)
-    has_def = F.col("tail").rlike(FLAGS + fx.PY_NEXT_DEF)
-    name = F.coalesce(_group("args", fx.PY_NAME_ARGUMENT), _group("tail", fx.PY_NEXT_DEF))
-    docstring = F.when(has_def, squeeze(F.regexp_extract(after_def, FLAGS + fx.PY_DOCSTRING, 2)))
-    return hits.select(
-        *keep, name.alias("tool_name"),
-        clean_description(F.coalesce(_group("args", fx.PY_DESCRIPTION_ARGUMENT), docstring)).alias("tool_description"),
-        F.lit(False).alias("has_schema"), "extraction_pattern", "position",
-    ).where(F.col("tool_name").isNotNull() & ~F.col("tool_name").startswith("_"))
-
-
-def extract_ctors(files: DataFrame, keep: Sequence[str], text: str = "text", language: str = "language") -> DataFrame:
-    """Python constructor calls with a name argument."""
-    keep = list(keep)
-    hits = _unfold(
-        files.where(F.col(language) == "python"), "py_tool_ctor", keep, body=_hits(text, fx.PY_CONSTRUCTOR, 1)
+def scan_files(
+    files: DataFrame, keep: Sequence[str], patterns: Sequence[str] = PATTERN_ORDER, text: str = "text",
+    language: str = "language",
+) -> DataFrame:
+    """All idioms over all files in one pass over the text, before deduplication. A file is only searched for
+    the idioms of its own language; decorated private functions are left out."""
+    none = F.array().cast("array<struct<extraction_pattern: string, position: int, hit: string, after: string>>")
+
+    def of(languages) -> Column:
+        wanted = [p for p in patterns if (p.startswith("py_")) == (languages == PYTHON)]
+        return F.concat(*[_idiom_hits(p, text) for p in wanted]) if wanted else none
+
+    hits = F.when(F.col(language).isin(*JS), of(JS)).when(F.col(language).isin(*PYTHON), of(PYTHON))
+    found = files.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
+    read = found.select(*keep, "extraction_pattern", "position", _definition().alias("t"))
+    private = (F.col("extraction_pattern") == "py_decorator") & F.col("t.name").startswith("_")
+    return read.where((text_or_empty("t.name") != "") & ~private).select(
+        *keep, F.col("t.name").alias("tool_name"), F.col("t.description").alias("tool_description"),
+        F.col("t.has_schema").alias("has_schema"), "extraction_pattern", "position",
     )
-    return hits.select(
-        *keep, _group("body", fx.PY_NAME_ARGUMENT).alias("tool_name"),
-        F.left(text_or_empty(_group("body", fx.PY_DESCRIPTION_ARGUMENT)), F.lit(600)).alias("tool_description"),
-        F.col("body").rlike(fx.PY_SCHEMA_ARGUMENT).alias("has_schema"), "extraction_pattern", "position",
-    ).where(F.col("tool_name").isNotNull())
 
 
-PATTERN_ORDER = ("ts_server_tool", "ts_server_tool_object", "ts_tool_literal", "py_decorator", "py_tool_ctor")
+def extract_calls_js(files: DataFrame, keep: Sequence[str], **columns: str) -> DataFrame:
+    """JavaScript and TypeScript registrations: call with a description, call with an object body, object literal."""
+    return scan_files(files, keep, PATTERN_ORDER[:3], **columns)
 
 
-def scan_files(files: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """All idioms over all files, before deduplication."""
-    parts = [extract_calls_js(files, keep), extract_decorators(files, keep), extract_ctors(files, keep)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def extract_decorators(files: DataFrame, keep: Sequence[str], **columns: str) -> DataFrame:
+    """Python decorators: name argument or the next function, description argument or its docstring."""
+    return scan_files(files, keep, PATTERN_ORDER[3:4], **columns)
+
+
+def extract_ctors(files: DataFrame, keep: Sequence[str], **columns: str) -> DataFrame:
+    """Python constructor calls with a name argument."""
+    return scan_files(files, keep, PATTERN_ORDER[4:], **columns)
 
 
 def extract_tools(
@@ -163,18 +178,20 @@ def scan_coverage(files: DataFrame, tools: DataFrame, package: str = "package_ke
 def extract_strict(files: DataFrame, keep: Sequence[str], text: str = "text", language: str = "language") -> DataFrame:
     """Independent second opinion for Python: decorators on a line of their own directly above a function, and
     constructor calls outside comments. A name is private only if the function is private too."""
-    keep = list(keep)
-    python = files.where(F.col(language) == "python")
-    decorated = _unfold(python, "strict_decorator", keep, hit=_hits(text, fx.STRICT_DECORATOR)).select(
-        *keep, "extraction_pattern", "position",
-        _group("hit", fx.STRICT_DECORATOR, 2).alias("function"),
-        _group(F.regexp_extract("hit", fx.STRICT_DECORATOR, 1), r"\b" + fx.PY_NAME_ARGUMENT).alias("argument"),
-    ).select(*keep, "extraction_pattern", "position", F.coalesce("argument", "function").alias("tool_name"), "function")
-    decorated = decorated.where(~(F.col("tool_name").startswith("_") & F.col("function").startswith("_"))).drop("function")
-    built = _unfold(python, "strict_ctor", keep, body=_hits(text, fx.STRICT_CONSTRUCTOR, 1)).select(
-        *keep, "extraction_pattern", "position", _group("body", r"\b" + fx.PY_NAME_ARGUMENT).alias("tool_name")
+    none = F.array().cast("array<struct<extraction_pattern: string, position: int, hit: string, after: string>>")
+    hits = F.concat(
+        _tagged("strict_decorator", _hits(text, fx.STRICT_DECORATOR)), _tagged("strict_ctor", _hits(text, fx.STRICT_CONSTRUCTOR, 1))
+    )
+    found = files.where(F.col(language) == "python").select(*keep, F.explode(F.coalesce(hits, none)).alias("h")).select(*keep, "h.*")
+    decorator = F.col("extraction_pattern") == "strict_decorator"
+    function = F.when(decorator, _group("hit", fx.STRICT_DECORATOR, 2))
+    arguments = F.when(decorator, F.regexp_extract("hit", FLAGS + fx.STRICT_DECORATOR, 1)).otherwise(F.col("hit"))
+    read = found.select(
+        *keep, "extraction_pattern", "position", function.alias("function"),
+        F.coalesce(_group(arguments, r"\b" + fx.PY_NAME_ARGUMENT), function).alias("tool_name"),
     )
-    return decorated.unionByName(built.where(F.col("tool_name").isNotNull()))
+    private = F.coalesce(F.col("function").startswith("_") & F.col("tool_name").startswith("_"), F.lit(False))
+    return read.where(F.col("tool_name").isNotNull() & ~private).drop("function")
 
 
 def snippets(

@@ -28,24 +28,38 @@ def _opening(s: Column) -> Column:
     return F.lower(F.regexp_extract(s, "^([A-Za-z']+)", 1))
 
 
+def _literal_start(pattern: str) -> str:
+    """Literal text every match of a simple pattern begins with (word borders left out)."""
+    plain = pattern.replace("\\b", "")
+    for i, ch in enumerate(plain):
+        if ch in "(?[\\":
+            return plain[: i - 1] if ch == "?" else plain[:i]
+    return plain
+
+
 def prose_profile(df: DataFrame, key: str, text: str, dash: str = "---?|—", connectives=fx.CONNECTIVES) -> DataFrame:
     """Style profile per document. Everything is computed inside the row: no shuffle."""
     body = text_or_empty(text)
 
-    def hits(pattern: str) -> Column:
-        return F.regexp_count(F.col("body"), F.lit(pattern))
+    def hits(pattern: str, text: str = "body", needs: tuple[str, ...] = ()) -> Column:
+        """Number of matches; the expression is only run on text that holds the literals it needs."""
+        found = F.regexp_count(F.col(text), F.lit(pattern))
+        for literal in needs:
+            found = F.when(F.contains(F.col(text), F.lit(literal)), found).otherwise(0)
+        return found
 
-    base = df.select(F.col(key), body.alias("body"), sentences(text).alias("s")).select(
-        key, "body",
+    base = df.select(F.col(key), body.alias("body"), F.lower(body).alias("low"), sentences(text).alias("s")).select(
+        key, "body", "low",
         F.transform("s", lambda x: F.regexp_count(x, F.lit(r"(?U)\S+")).cast("double")).alias("lens"),
         F.filter(F.transform("s", _opening), lambda o: o != "").alias("openings"),
     )
     counted = base.select(
         key, "lens", "openings",
         hits(fx.WORD).cast("double").alias("w"), hits(dash).alias("dashes"),
-        sum((hits("(?iU)" + p) for p in connectives), F.lit(0)).alias("formulaic"),
-        hits("(?U)" + fx.TRIAD).alias("triads"), hits("(?U)" + fx.NOT_BUT).alias("not_but"),
-        hits("(?U)" + fx.PASSIVE).alias("passive"),
+        sum((hits("(?U)" + p, "low", (_literal_start(p),)) for p in connectives), F.lit(0)).alias("formulaic"),
+        hits("(?U)" + fx.TRIAD, "body", ("and", ",")).alias("triads"),
+        hits("(?U)" + fx.NOT_BUT, "low", ("not", "but")).alias("not_but"),
+        hits("(?U)" + fx.PASSIVE, "low").alias("passive"),
         F.size("lens").cast("double").alias("n"),
         F.aggregate("lens", F.lit(0.0), lambda acc, x: acc + x).alias("total"),
         F.aggregate("lens", F.lit(0.0), lambda acc, x: acc + x * x).alias("squares"),

@@ -83,25 +83,28 @@ def bootstrap_proportion(df: DataFrame, flags: dict[str, Column], n: int = 10_00
 def _share_draws(totals: DataFrame, n: int, seed: int) -> DataFrame:
     draws = totals.where(F.col("k") > 0).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     draws = draws.repartition("quantity", "replicate")  # replicates are the unit of work, not the totals row
-    stamp = F.lit(str(seed))
-    replicate = F.col("replicate").cast("string")
-
-    def one_draw(acc, j):
-        digest = _key_digest(stamp, F.col("quantity"), replicate, j.cast("string"))
-        return acc + F.when(hash_int(digest) % F.col("k") < F.col("s"), 1).otherwise(0)
-
-    picks = F.sequence(F.lit(1), F.least(F.col("k"), F.lit(EXACT_DRAWS)).cast("int"))
-    exact = F.aggregate(picks, F.lit(0), one_draw).cast("double")
-    digest = _key_digest(stamp, F.col("quantity"), replicate)
+    key = [F.lit(str(seed)), F.col("quantity"), F.col("replicate").cast("string")]
+    few = F.col("k") <= EXACT_DRAWS
+    # One digest carries four 32-bit numbers, hence four draws.
+    last = F.when(few, F.floor((F.col("k") - 1) / 4)).otherwise(0).cast("int")
+    digests = draws.withColumn("block", F.explode(F.sequence(F.lit(0), last))).withColumn(
+        "d", _key_digest(*key, F.col("block").cast("string"))
+    )
+    hits = [
+        F.when((F.col("block") * 4 + q < F.col("k")) & (hash_int(F.col("d"), 1 + 8 * q) % F.col("k") < F.col("s")), 1).otherwise(0)
+        for q in range(4)
+    ]
+    counted = digests.groupBy("quantity", "replicate", "k", "s").agg(F.sum(sum(hits[1:], hits[0])).alias("exact"))
+    digest = _key_digest(*key)
     u1, u2 = F.lit(1.0) - hash_uniform(digest), hash_uniform(digest, 9)
     gauss = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * F.pi() * u2)
     p = F.col("s") / F.col("k")
     limit = F.col("k") * p + F.sqrt(F.col("k") * p * (1 - p)) * gauss
-    count = F.when(F.col("k") <= EXACT_DRAWS, exact).otherwise(
+    count = F.when(few, F.col("exact").cast("double")).otherwise(
         F.least(F.col("k").cast("double"), F.greatest(F.lit(0.0), limit))
     )
-    draws = draws.select("quantity", (100.0 * count / F.col("k")).alias("draw"))
-    interval = index_percentile_interval(draws, "draw", ("quantity",))
+    shares = counted.select("quantity", (100.0 * count / F.col("k")).alias("draw"))
+    interval = index_percentile_interval(shares, "draw", ("quantity",))
     return totals.join(interval, "quantity").select(
         "quantity",
         F.bround(100.0 * F.col("s") / F.col("k"), 1).alias("value_pct"),

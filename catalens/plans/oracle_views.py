@@ -116,7 +116,7 @@ FROM classified c LEFT JOIN (VALUES {_ADJ}) a(v, r) ON c.var_name = a.v""", "cla
 view("audit", """
 SELECT f.var_name, f.credential_tier, count(*) AS declarations, count(DISTINCT server_name) AS servers,
   count(*) FILTER (is_secret) AS secret_flagged, count(*) FILTER (NOT is_secret) AS unflagged, max(audit_reason) AS audit_reason,
-  arg_min(var_description, ordinal * 100 + line) FILTER (var_description IS NOT NULL) AS example_description,
+  (list(var_description ORDER BY ordinal, line, var_description) FILTER (var_description IS NOT NULL))[1] AS example_description,
   CASE WHEN max(audit_reason) = '' THEN 'credential' ELSE max(audit_reason) END AS verdict
 FROM adjudicated f WHERE credential_tier IS NOT NULL AND var_name IS NOT NULL GROUP BY 1, 2""", "adjudicated")
 view("endpoints", "SELECT url AS remote_url, split_part(url, '/', 4) AS server_name FROM pages")

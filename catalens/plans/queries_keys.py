@@ -10,6 +10,7 @@ from catalens.operators.coding import score_counts
 from catalens.operators.sampling import with_item_ids
 from catalens.plans import bindings as b
 from catalens.plans.registry import Catalogue
+from catalens.session import materialise
 
 Q = Catalogue()
 
@@ -23,10 +24,10 @@ def latest_per_key(s, d):
 
 @Q.add("collect_targets", "J2", """
 SELECT registry_type, identifier, server_name, package_version, ordinal, line FROM packages WHERE is_latest AND registry_type IN ('npm', 'pypi')
-QUALIFY row_number() OVER (PARTITION BY registry_type, identifier ORDER BY ordinal, line) = 1""")
+QUALIFY row_number() OVER (PARTITION BY registry_type, identifier ORDER BY ordinal, line, server_name, package_version) = 1""")
 def collect_targets(s, d):
     return k.collect_targets(
-        b.packages(s, d), "registry_type", "identifier", ["ordinal", "line"], ("npm", "pypi"), "is_latest"
+        b.packages(s, d), "registry_type", "identifier", ["ordinal", "line", "server_name", "package_version"], ("npm", "pypi"), "is_latest"
     ).select("registry_type", "identifier", "server_name", "package_version", "ordinal", "line")
 
 
@@ -247,14 +248,16 @@ def evidence_table(s, d):
     from catalens.operators.sampling import seeded_sample
 
     env = b.declarations(s, d)
-    tools = ex.extract_tools(ex.select_source_files(b.source_files(s, d)))
+    tools = materialise(ex.extract_tools(ex.select_source_files(b.source_files(s, d))), "tools")
     servers = seeded_sample(env.select("server_name").distinct(), "server_name", 5, 7).select("server_name")
     items_b = with_item_ids(servers, "B", ["server_name"], 5).withColumn("tool_name", F.lit(None).cast("string"))
     some = seeded_sample(tools.select("server_name", "tool_name"), "tool_name", 5, 7).select("server_name", "tool_name")
     items_c = with_item_ids(some, "C", ["server_name", "tool_name"], 5)
+    # The drawn sample is persisted, so every evidence section is read for the same items.
+    items = materialise(items_b.unionByName(items_c), "items")
     latest = b.table(s, d, "supplier").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), "s_name", F.col("s_nationkey").alias("nation"))
-    return ev.evidence_table(items_b.unionByName(items_c), latest, env, tools, ["s_name", "nation"])
+    return ev.evidence_table(items, latest, env, tools, ["s_name", "nation"])
 
 
 @Q.add("set_diff", "J15", """

@@ -320,7 +320,7 @@ def top_vars(s, d):
 
 
 def _audit(s, d):
-    return se.rule_audit(adjudicated(s, d), ["ordinal", "line"])
+    return se.rule_audit(adjudicated(s, d), ["ordinal", "line", "var_description"])
 
 
 @Q.add("rule_audit", "A15", "SELECT * FROM audit")

@@ -120,8 +120,8 @@ def _rate(c: str) -> str:
 
 
 @Q.add("prose_profile", "X12", f"""
-WITH {_SENT}, c AS (SELECT doc_id, lens, openings, {_hits(fx.WORD, 'text')} AS w, {_hits('---?|—', 'text')} AS dashes, {_FORM} AS formulaic, {_hits(fx.TRIAD)} AS triads, {_hits(fx.NOT_BUT)} AS nb,
- {_hits(fx.PASSIVE)} AS pas, len(lens) AS n, len(list_filter(openings, lambda x: x = 'the')) AS ti FROM s2)
+WITH {_SENT}, c AS (SELECT doc_id, lens, openings, {_hits(fx.WORD, 'text')} AS w, {_hits('---?|—', 'text')} AS dashes, {_FORM} AS formulaic, {_hits(fx.TRIAD)} AS triads, {_hits('(?i)' + fx.NOT_BUT)} AS nb,
+ {_hits('(?i)' + fx.PASSIVE)} AS pas, len(lens) AS n, len(list_filter(openings, lambda x: x = 'the')) AS ti FROM s2)
 SELECT doc_id, w::BIGINT AS words, n::BIGINT AS sentences, CASE WHEN n > 0 THEN round_even(list_avg(lens), 1) ELSE 0.0::DOUBLE END AS mean_sentence_words,
  CASE WHEN n > 0 THEN round_even(list_stddev_pop(lens), 1) ELSE 0.0::DOUBLE END AS sd_sentence_words, coalesce(list_min(lens), 0)::BIGINT AS min_sentence_words,
  coalesce(list_max(lens), 0)::BIGINT AS max_sentence_words, dashes::BIGINT AS em_dashes, {_rate('dashes')} AS em_dashes_per_1000_words, formulaic::BIGINT AS formulaic_total,
@@ -226,12 +226,12 @@ _AT = f"max(draw) FILTER (pos = floor(0.025::DOUBLE * n)) AS low, max(draw) FILT
 
 
 def _proportion(parts: str) -> str:
-    exact = f"sum(CASE WHEN {digest_int('h')} % k < s THEN 1 ELSE 0 END)"
+    exact = f"sum(CASE WHEN ('0x' || substr(h, (1 + 8 * (j % 4))::INT, 8))::BIGINT % k < s THEN 1 ELSE 0 END)"
     gauss = f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {uniform('h')})) * cos(2.0::DOUBLE * pi() * {uniform('h', 9)})"
     return f"""
 WITH t AS ({parts}), r AS (SELECT quantity, k, s, unnest(range({N_BOOT})) AS r FROM t),
- small AS (SELECT quantity, k, r, 100.0::DOUBLE * {exact} / k AS draw FROM (SELECT quantity, k, s, r, md5('{SEED}:' || quantity || ':' || r || ':' || j) AS h
-   FROM (SELECT *, unnest(range(1, k + 1)) AS j FROM r WHERE k <= {EXACT_DRAWS})) GROUP BY 1, 2, 3),
+ small AS (SELECT quantity, k, r, 100.0::DOUBLE * {exact} / k AS draw FROM (SELECT quantity, k, s, r, j, md5('{SEED}:' || quantity || ':' || r || ':' || (j // 4)) AS h
+   FROM (SELECT *, unnest(range(k)) AS j FROM r WHERE k <= {EXACT_DRAWS})) GROUP BY 1, 2, 3),
  big AS (SELECT quantity, k, r, 100.0::DOUBLE * least(k::DOUBLE, greatest(0.0::DOUBLE, k * (s::DOUBLE / k) + sqrt(k * (s::DOUBLE / k) * (1 - s::DOUBLE / k)) * {gauss})) / k AS draw
    FROM (SELECT *, md5('{SEED}:' || quantity || ':' || r) AS h FROM r WHERE k > {EXACT_DRAWS})),
  dd AS (SELECT quantity, draw, row_number() OVER (PARTITION BY quantity ORDER BY draw) - 1 AS pos, count(*) OVER (PARTITION BY quantity) AS n FROM (SELECT * FROM small UNION ALL SELECT * FROM big)),

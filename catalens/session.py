@@ -32,3 +32,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/catalens-{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df, label: str):
+    """Write an intermediate table once to the shared folder and read it back, for frames used several times.
+
+    The written table cuts the lineage: a lost executor re-reads files instead of repeating the work.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
