@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from catalens import fixed_values as fx
@@ -136,8 +134,11 @@ def list_count(c, sep: str = r"\|") -> Column:
 
 
 def any_of(c, words) -> Column:
-    """True when the lower-cased text holds any of the words as a substring."""
-    text = F.lower(text_or_empty(c))
+    """True when the lower-cased text holds any of the words as a substring.
+
+    One compact expression on purpose: a chain of `contains` would make the generated method too long for the
+    JVM to compile.
+    """
     # A word that contains another one of the list adds nothing.
     needed = [w for w in words if not any(v != w and v in w for v in words)]
-    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in needed])
+    return F.lower(text_or_empty(c)).rlike("|".join(needed))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from catalens import fixed_values as fx
 from catalens.functions.numeric import col
 from catalens.functions.text import clean_description, squeeze, text_or_empty
-from catalens.operators.keys import _first_per, dedupe_richest, richness
+from catalens.operators.keys import _first_per, dedupe_richest, richness, small_side
 
 FLAGS = "(?sU)"  # a dot spans lines; letters, digits and blanks are Unicode classes
 
@@ -54,7 +54,15 @@ def select_source_files(
         & ~F.col(path).rlike("(" + "|".join(s.replace(".", r"\.") for s in fx.SKIPPED_SUFFIXES) + ")$")
         & (F.col(size) <= max_bytes)
     )
-    return _first_per(kept, [package], [F.col(path).asc()], max_files).drop("_rank")
+    # Only packages with more files than allowed need a cut, found from names alone: the text column is not
+    # read for it, and no text is shuffled as long as the list of cuts is small.
+    cuts = small_side(
+        _first_per(kept.select(package, path), [package], [F.col(path).asc()], max_files)
+        .where(F.col("_rank") == max_files).select(package, F.col(path).alias("_last"))
+    )
+    return kept.join(cuts, package, "left").where(
+        F.col("_last").isNull() | (F.col(path) <= F.col("_last"))
+    ).drop("_last")
 
 
 JS, PYTHON = ("typescript", "javascript"), ("python",)
@@ -86,34 +94,45 @@ def _idiom_hits(pattern_name: str, text) -> Column:
     return _tagged(pattern_name, _hits(text, fx.PY_CONSTRUCTOR, 1))
 
 
-def _definition() -> Column:
-    """Name, description and schema flag of a hit; each idiom's reading runs on its own hits only."""
-    kind, hit, after = F.col("extraction_pattern"), F.col("hit"), F.col("after")
-
-    def reading(name, description, schema) -> Column:
-        return F.struct(name.alias("name"), description.alias("description"), schema.alias("has_schema"))
-
-    body = F.regexp_extract(hit, FLAGS + fx.JS_CALL_WITH_BODY, 2)
-    literal_body = F.regexp_extract(hit, FLAGS + fx.JS_LITERAL, 2)
-    literal_text = F.nullif(squeeze(_group(hit, fx.JS_LITERAL, 3)), F.lit(""))
-    after_def = F.regexp_extract(after, FLAGS + fx.PY_NEXT_DEF + "(.*)", 2)
-    docstring = F.when(after.rlike(FLAGS + fx.PY_NEXT_DEF), squeeze(F.regexp_extract(after_def, FLAGS + fx.PY_DOCSTRING, 2)))
-    return (
-        F.when(kind == "ts_server_tool", reading(
-            F.trim(_group(hit, fx.JS_CALL, 1)), clean_description(_group(hit, fx.JS_CALL, 2)), F.lit(False)))
-        .when(kind == "ts_server_tool_object", reading(
-            F.trim(_group(hit, fx.JS_CALL_WITH_BODY, 1)), clean_description(_group(body, fx.JS_DESCRIPTION)),
-            body.rlike(fx.JS_SCHEMA)))
-        .when(kind == "ts_tool_literal", reading(
-            F.trim(_group(hit, fx.JS_LITERAL, 1)),
-            clean_description(F.coalesce(literal_text, _group(literal_body, fx.JS_DESCRIPTION))),
-            F.when(literal_body != "", literal_body).otherwise(F.concat(hit, after)).rlike(fx.JS_SCHEMA)))
-        .when(kind == "py_decorator", reading(
-            F.coalesce(_group(hit, fx.PY_NAME_ARGUMENT), _group(after, fx.PY_NEXT_DEF)),
-            clean_description(F.coalesce(_group(hit, fx.PY_DESCRIPTION_ARGUMENT), docstring)), F.lit(False)))
-        .otherwise(reading(
-            _group(hit, fx.PY_NAME_ARGUMENT), F.left(text_or_empty(_group(hit, fx.PY_DESCRIPTION_ARGUMENT)), F.lit(600)),
-            hit.rlike(fx.PY_SCHEMA_ARGUMENT)))
+def _read_hits(found: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Name, description and schema flag of every hit; each idiom's reading runs on its own hits only.
+
+    Bodies and tails are staged as columns of their own, since several readings use them.
+    """
+    kind, hit, after, body = F.col("extraction_pattern"), F.col("hit"), F.col("after"), F.col("_body")
+    call, with_body, literal, decorator, ctor = (kind == p for p in PATTERN_ORDER)
+    staged = found.select(
+        "*",
+        F.when(with_body, F.regexp_extract(hit, FLAGS + fx.JS_CALL_WITH_BODY, 2))
+        .when(literal, F.regexp_extract(hit, FLAGS + fx.JS_LITERAL, 2)).alias("_body"),
+        F.when(decorator, F.regexp_extract(after, FLAGS + fx.PY_NEXT_DEF + "(.*)", 2)).alias("_after_def"),
+    )
+    named = staged.select(
+        "*",
+        F.when(call, F.trim(_group(hit, fx.JS_CALL, 1)))
+        .when(with_body, F.trim(_group(hit, fx.JS_CALL_WITH_BODY, 1)))
+        .when(literal, F.trim(_group(hit, fx.JS_LITERAL, 1)))
+        .when(decorator, F.coalesce(_group(hit, fx.PY_NAME_ARGUMENT), _group(after, fx.PY_NEXT_DEF)))
+        .otherwise(_group(hit, fx.PY_NAME_ARGUMENT)).alias("tool_name"),
+    )
+    private = decorator & F.col("tool_name").startswith("_")
+    described = named.where((text_or_empty("tool_name") != "") & ~private).select(
+        "*",
+        F.when(call, _group(hit, fx.JS_CALL, 2))
+        .when(literal, F.nullif(squeeze(_group(hit, fx.JS_LITERAL, 3)), F.lit("")))
+        .when(decorator, _group(hit, fx.PY_DESCRIPTION_ARGUMENT))
+        .when(ctor, _group(hit, fx.PY_DESCRIPTION_ARGUMENT)).alias("_own"),
+        F.when(with_body | literal, _group(body, fx.JS_DESCRIPTION))
+        .when(decorator, squeeze(F.regexp_extract("_after_def", FLAGS + fx.PY_DOCSTRING, 2))).alias("_inner"),
+        F.when(with_body, body.rlike(fx.JS_SCHEMA))
+        .when(literal, F.when(body != "", body).otherwise(F.concat(hit, after)).rlike(fx.JS_SCHEMA))
+        .when(ctor, hit.rlike(fx.PY_SCHEMA_ARGUMENT)).otherwise(False).alias("has_schema"),
+    )
+    description = F.when(ctor, F.left(text_or_empty("_own"), F.lit(600))).otherwise(
+        clean_description(F.coalesce("_own", "_inner"))
+    )
+    return described.select(
+        *keep, "tool_name", description.alias("tool_description"), "has_schema", "extraction_pattern", "position"
     )
 
 
@@ -131,12 +150,7 @@ def scan_files(
 
     hits = F.when(F.col(language).isin(*JS), of(JS)).when(F.col(language).isin(*PYTHON), of(PYTHON))
     found = files.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
-    read = found.select(*keep, "extraction_pattern", "position", _definition().alias("t"))
-    private = (F.col("extraction_pattern") == "py_decorator") & F.col("t.name").startswith("_")
-    return read.where((text_or_empty("t.name") != "") & ~private).select(
-        *keep, F.col("t.name").alias("tool_name"), F.col("t.description").alias("tool_description"),
-        F.col("t.has_schema").alias("has_schema"), "extraction_pattern", "position",
-    )
+    return _read_hits(found, keep)
 
 
 def extract_calls_js(files: DataFrame, keep: Sequence[str], **columns: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalens import fixed_values as fx
-from catalens.functions.credentials import classify_credential, loose_name_hint, permissive_hint, verdict_hint
+from catalens.functions.credentials import (
+    credential_words, loose_name_hint, reason_of, tails, tier_of, verdict_hint, word_before,
+)
 from catalens.functions.numeric import pct
-from catalens.operators.keys import _first_per
+from catalens.functions.text import any_of
 from catalens.operators.metric import keyed_counts, long_form, rows_of
 
 
@@ -17,14 +19,29 @@ def adjudication_list(spark, entries=fx.ADJUDICATED) -> DataFrame:
 
 
 def classify_declarations(env: DataFrame, name: str = "var_name", description: str = "var_description") -> DataFrame:
-    """Add both rules' results to declared variables."""
-    return env.withColumn("_c", classify_credential(name, description)).select(
-        "*",
-        F.col("_c.tier").alias("credential_tier"),
-        F.col("_c.reason").alias("credential_reason"),
-        permissive_hint(name, description).alias("looks_like_credential"),
-        loose_name_hint(name).alias("name_hint"),
-    ).drop("_c")
+    """Add both rules' results to declared variables.
+
+    The steps are separate projections: each intermediate value is used several times and is not inlined
+    into its uses, which keeps it computed once and the generated code short.
+    """
+    last, two, three = tails("_words")
+    staged = (
+        env.withColumn("_words", credential_words(name))
+        .select("*", last.alias("_last"), two.alias("_two"), three.alias("_three"))
+        .select(
+            "*", tier_of(F.col("_last"), F.col("_two")).alias("_tier"),
+            word_before(F.col("_last"), F.col("_two"), F.col("_three")).alias("_before"),
+        )
+        .withColumn("credential_reason", reason_of(F.col("_words"), F.col("_tier"), F.col("_before"), description))
+        .withColumn("name_hint", loose_name_hint(name))
+    )
+    return staged.select(
+        *env.columns,
+        F.when(F.col("credential_reason") == "credential", F.col("_tier")).alias("credential_tier"),
+        "credential_reason",
+        (F.col("name_hint") | any_of(description, fx.LOOSE_HINTS)).alias("looks_like_credential"),
+        "name_hint",
+    )
 
 
 def apply_adjudication(classified: DataFrame, audit: DataFrame, name: str = "var_name") -> DataFrame:
@@ -118,16 +135,22 @@ def rule_audit(
     description: str = "var_description",
 ) -> DataFrame:
     """Every distinct flagged name and tier with its counts, first description and verdict."""
-    flagged = classified.where(F.col("credential_tier").isNotNull() & F.col(name).isNotNull())
-    counts = flagged.groupBy(name, "credential_tier").agg(
-        F.count(F.lit(1)).alias("declarations"), F.count_distinct(server).alias("servers"),
-        F.count_if("is_secret").alias("secret_flagged"), F.count_if(~F.col("is_secret")).alias("unflagged"),
+    # Cells per (name, tier, server) first. Rows the rule does not flag are dropped after that: a filter in
+    # front would be pushed below the rule and make it run twice.
+    known = F.col(description).isNotNull()
+    at = F.struct(*ordinal)
+    keys = [name, "credential_tier"]
+    cells = classified.groupBy(*keys, server).agg(
+        F.count(F.lit(1)).alias("c"), F.count_if("is_secret").alias("secret"),
+        F.count_if(F.col("credential_tier").isNotNull() & F.col(name).isNotNull()).alias("fires"),
         F.max("audit_reason").alias("audit_reason"),
-    )
-    first = _first_per(
-        flagged.where(F.col(description).isNotNull()), [name, "credential_tier"], [F.col(c).asc() for c in ordinal]
-    ).select(name, "credential_tier", F.col(description).alias("example_description"))
-    return counts.join(first, [name, "credential_tier"], "left").withColumn(
+        F.min_by(F.when(known, F.col(description)), F.when(known, at)).alias("text"), F.min(F.when(known, at)).alias("at"),
+    ).where(F.col("fires") > 0)
+    return cells.groupBy(*keys).agg(
+        F.sum("c").alias("declarations"), F.count(server).alias("servers"), F.sum("secret").alias("secret_flagged"),
+        (F.sum("c") - F.sum("secret")).alias("unflagged"), F.max("audit_reason").alias("audit_reason"),
+        F.min_by("text", "at").alias("example_description"),
+    ).withColumn(
         "verdict", F.when(F.col("audit_reason") == "", "credential").otherwise(F.col("audit_reason"))
     ).orderBy("credential_tier", F.desc("unflagged"), F.desc("declarations"), name)
 

@@ -58,6 +58,12 @@ def _key_digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+def _workers(df: DataFrame) -> int:
+    """Tasks for work that multiplies few rows by many replicates. An explicit number, because adaptive
+    execution would merge such small inputs into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 EXACT_DRAWS = 5_000
 
 
@@ -82,7 +88,7 @@ def bootstrap_proportion(df: DataFrame, flags: dict[str, Column], n: int = 10_00
 
 def _share_draws(totals: DataFrame, n: int, seed: int) -> DataFrame:
     draws = totals.where(F.col("k") > 0).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.repartition("quantity", "replicate")  # replicates are the unit of work, not the totals row
+    draws = draws.repartition(_workers(totals), "quantity", "replicate")  # replicates are the unit of work, not the totals row
     key = [F.lit(str(seed)), F.col("quantity"), F.col("replicate").cast("string")]
     few = F.col("k") <= EXACT_DRAWS
     # One digest carries four 32-bit numbers, hence four draws.
@@ -128,7 +134,7 @@ def bootstrap_cluster(
     sums = [f"{kind}{i}" for i in range(len(flags)) for kind in ("num", "den")]
     point = per_cluster.agg(*[F.sum(c).alias(c) for c in sums])
     # One digest carries four 32-bit numbers, hence four replicates.
-    blocks = per_cluster.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))))
+    blocks = per_cluster.repartition(_workers(df), "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))))
     digest = _key_digest(F.lit(str(seed)), F.coalesce("cluster", F.lit("")), F.col("block").cast("string"))
     hashed = blocks.withColumn("d", digest)
     weights = [poisson1(hash_uniform(F.col("d"), 1 + 8 * q)) for q in range(4)]
@@ -173,7 +179,7 @@ def bootstrap_spearman(df: DataFrame, a: str, b: str, key: str, n: int = 10_000,
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.col(key).cast("string").alias("key"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
     )
-    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))))
+    blocks = rows.repartition(_workers(df), "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))))
     digest = _key_digest(F.lit(str(seed)), F.coalesce("key", F.lit("")), F.col("block").cast("string"))
     hashed = blocks.withColumn("d", digest)
     weights = [poisson1(hash_uniform(F.col("d"), 1 + 8 * q)) for q in range(4)]

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from catalens.session import spread
+
 AS_OF = "2002-01-01"
 
 DECLARED_NAMES = (
@@ -24,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that expensive per-row expressions run over."""
+    return spread(table(spark, sf_dir, name))
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as published versions of their customer's component."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -73,7 +80,7 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as declared environment variables."""
     names = F.array(*[F.lit(n) for n in DECLARED_NAMES])
     line = F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
+    return heavy(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("server_name"),
         F.get(names, F.pmod("l_partkey", F.lit(len(DECLARED_NAMES))).cast("int")).alias("var_name"),
         F.when(line == 1, "Absolute path to the value").when(line == 2, "Refill rate of the token bucket").when(
@@ -117,9 +124,10 @@ def description_of(text) -> Column:
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files: registration code in the file's language, followed by the whole document."""
-    docs = table(spark, sf_dir, "documents")
-    lang, source = F.col("lang"), F.col("source")
-    i, d = F.col("doc_id").cast("string"), description_of(F.col("text"))
+    docs = heavy(spark, sf_dir, "documents").select(
+        "lang", "source", "text", F.col("doc_id").cast("string").alias("i"), description_of(F.col("text")).alias("d")
+    )
+    lang, source, i, d = (F.col(c) for c in ("lang", "source", "i", "d"))
     js = F.concat(
         F.lit('server.tool("alpha_'), i, F.lit('", "'), d, F.lit('", shape);\n'),
         F.lit('server.registerTool("beta_'), i, F.lit('", { description: "Does \\"beta\\"", inputSchema: shape });\n'),
@@ -133,7 +141,6 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('# Tool(name="old_'), i, F.lit('", description="gone")\n'),
     )
     code = F.when(lang.isin("en", "fr"), js).otherwise(py)
-    text = F.concat(code, F.col("text"))
     path = (
         F.when(lang == "en", F.concat(F.lit("src/d"), i, F.lit(".ts")))
         .when(lang == "fr", F.concat(F.lit("lib/d"), i, F.lit(".js")))
@@ -144,7 +151,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         F.concat(kind, F.lit(":"), source).alias("package_key"), source.alias("server_name"),
         kind.alias("registry_type"), path.alias("path"),
-        F.octet_length(text).cast("bigint").alias("bytes"), text.alias("text"),
+        F.octet_length("text").cast("bigint").alias("bytes"), F.concat(code, F.col("text")).alias("text"),
     )
 
 

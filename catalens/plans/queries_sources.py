@@ -224,7 +224,7 @@ def manifest_totals(s, d):
 # --- payloads -------------------------------------------------------------------------------------
 def _payload(s, d, *parts):
     """Events with a JSON text column built from their own columns."""
-    return b.table(s, d, "events").select("event_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("payload"))
+    return b.heavy(s, d, "events").select("event_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("payload"))
 
 
 
@@ -305,7 +305,7 @@ def project_releases(s, d):
     ok = F.concat(
         F.lit('[{"tag_name": "v'), n.cast("string"), F.lit('", "name": "'), kind, F.lit('", "published_at": "2024-02-01T00:00:00Z", "prerelease": true, "draft": false, "assets": [{"id": 1}, {"id": 2}]}, {"tag_name": "v0"}]'))
     payload = F.when(kind == "error", '{"__http_error__": 404}').when(kind == "view", "[]").otherwise(ok)
-    df = b.table(s, d, "events").select(F.concat(F.lit("o/r"), i).alias("repo"), payload.alias("payload"))
+    df = b.heavy(s, d, "events").select(F.concat(F.lit("o/r"), i).alias("repo"), payload.alias("payload"))
     return pa.project_releases(df, "repo")
 
 

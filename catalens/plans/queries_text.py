@@ -98,7 +98,7 @@ _NUM = "regexp_extract_all(text, '(\\d[\\d,]*\\.?\\d*)', 1)"
 WITH n AS (SELECT doc_id, unnest(list_transform({_NUM}, lambda x: replace(x, ',', ''))) AS number FROM documents)
 SELECT DISTINCT doc_id, number FROM (SELECT * FROM n UNION ALL SELECT doc_id, regexp_replace(number, '\\.0$', '') FROM n WHERE ends_with(number, '.0'))""")
 def numbers_in(s, d):
-    return pr.numbers_in(b.table(s, d, "documents"), "doc_id", "text")
+    return pr.numbers_in(b.heavy(s, d, "documents"), "doc_id", "text")
 
 
 def _hits(p: str, text: str = "plain") -> str:
@@ -128,7 +128,7 @@ SELECT doc_id, w::BIGINT AS words, n::BIGINT AS sentences, CASE WHEN n > 0 THEN
  {_rate('formulaic')} AS formulaic_per_1000_words, {_rate('triads')} AS triads_per_1000_words, nb::BIGINT AS not_x_but_y, {_rate('pas')} AS passive_per_1000_words,
  ti::BIGINT AS the_initial_sentences, {pct('ti', 'n')} AS the_initial_pct FROM c""")
 def prose_profile(s, d):
-    return pr.prose_profile(b.table(s, d, "documents"), "doc_id", "text")
+    return pr.prose_profile(b.heavy(s, d, "documents"), "doc_id", "text")
 
 
 @Q.add("top_openings", "X12", f"""
@@ -136,7 +136,7 @@ WITH {_SENT}, o AS (SELECT doc_id, unnest(openings) AS opening FROM s2), c AS (S
 SELECT doc_id, opening, sentences, row_number() OVER (PARTITION BY doc_id ORDER BY sentences DESC, opening) AS rank FROM c
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sentences DESC, opening) <= 5""")
 def top_openings(s, d):
-    return pr.top_openings(b.table(s, d, "documents"), "doc_id", "text").withColumn("rank", F.col("rank").cast("bigint"))
+    return pr.top_openings(b.heavy(s, d, "documents"), "doc_id", "text").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @Q.add("section_profile", "X13", f"""
@@ -145,7 +145,7 @@ WITH p AS (SELECT page_id, html, regexp_extract_all(html, '<(?:h[1-6]|b|title)>(
 SELECT page_id, i - 1 AS section, t[i] AS title, {words('c[i + 1]')} AS words, len(regexp_extract_all(c[i + 1], '<a href=')) AS refs,
  {pct(words('c[i + 1]'), words('html'))} AS share_pct FROM u""")
 def section_profile(s, d):
-    return pr.section_profile(b.table(s, d, "pages"), "page_id", "html", "<(?:h[1-6]|b|title)>([^<]*)<", "<a href=")
+    return pr.section_profile(b.heavy(s, d, "pages"), "page_id", "html", "<(?:h[1-6]|b|title)>([^<]*)<", "<a href=")
 
 
 # --- sampling -------------------------------------------------------------------------------------

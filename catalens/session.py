@@ -42,3 +42,13 @@ def materialise(df, label: str):
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Redistribute a scan that has fewer splits than half the cores, before heavy work per row.
+
+    Only a table stored in a handful of row groups is affected; a table with enough splits is returned as it
+    is, without a shuffle. The number of splits comes from file metadata, no data is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
