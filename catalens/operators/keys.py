@@ -177,24 +177,24 @@ def extractor_agreement(a: DataFrame, b: DataFrame, key: str, item: str, names:
 
     Comparable means that the second extractor looked at the key at all; otherwise its columns stay empty.
     """
-    tagged = a.select(key, item, F.lit(True).alias("in_a")).unionByName(
-        b.select(key, item, F.lit(False).alias("in_a"))
+    tagged = a.select(key, item, F.lit(True).alias("_in_a")).unionByName(
+        b.select(key, item, F.lit(False).alias("_in_a"))
     )
     flags = tagged.groupBy(key, item).agg(
-        F.bool_or("in_a").alias("a"), F.bool_or(~F.col("in_a")).alias("b")
+        F.bool_or("_in_a").alias("_a"), F.bool_or(~F.col("_in_a")).alias("_b")
     )
     has = F.col(item).isNotNull()
     sizes = flags.groupBy(key).agg(
-        F.bool_or("b").alias("comparable"),
-        F.count_if(F.col("a") & has).alias("items_a"),
-        F.count_if(F.col("b") & has).alias("items_b"),
-        F.count_if(F.col("a") & ~F.col("b") & has).alias("only_a"),
-        F.count_if(F.col("b") & ~F.col("a") & has).alias("only_b"),
+        F.bool_or("_b").alias("comparable"),
+        F.count_if(F.col("_a") & has).alias("items_a"),
+        F.count_if(F.col("_b") & has).alias("items_b"),
+        F.count_if(F.col("_a") & ~F.col("_b") & has).alias("only_a"),
+        F.count_if(F.col("_b") & ~F.col("_a") & has).alias("only_b"),
     )
-    one_sided = flags.where((F.col("a") != F.col("b")) & has)
-    listed = _first_per(one_sided, [key, "a"], [F.col(item).asc()], names).groupBy(key).agg(
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("a"), F.col(item)))), "|").alias("only_a_names"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("b"), F.col(item)))), "|").alias("only_b_names"),
+    one_sided = flags.where((F.col("_a") != F.col("_b")) & has)
+    listed = _first_per(one_sided, [key, "_a"], [F.col(item).asc()], names).groupBy(key).agg(
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_a"), F.col(item)))), "|").alias("only_a_names"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("_b"), F.col(item)))), "|").alias("only_b_names"),
     )
     known = F.col("comparable")
     return sizes.join(listed, key, "left").select(
@@ -229,11 +229,11 @@ def siblings(df: DataFrame, parent: str, item: str, n: int) -> DataFrame:
 
 def set_diff(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct values with the side they occur on: left, right or both."""
-    both = a.select(F.col(column), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        b.select(F.col(column), F.lit(0).alias("l"), F.lit(1).alias("r"))
+    both = a.select(F.col(column), F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        b.select(F.col(column), F.lit(0).alias("_l"), F.lit(1).alias("_r"))
     )
-    grouped = both.groupBy(column).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    side = F.when((F.col("l") == 1) & (F.col("r") == 1), "both").when(F.col("l") == 1, "left").otherwise("right")
+    grouped = both.groupBy(column).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    side = F.when((F.col("_l") == 1) & (F.col("_r") == 1), "both").when(F.col("_l") == 1, "left").otherwise("right")
     return grouped.select(column, side.alias("side"))
 
 
@@ -249,13 +249,13 @@ def pending(targets: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFra
 
 def pending_counts(targets: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How many targets there are, how many of them are done and how many are pending."""
-    flagged = targets.select(*keys, F.lit(1).alias("t"), F.lit(0).alias("d")).unionByName(
-        done.select(*keys, F.lit(0).alias("t"), F.lit(1).alias("d"))
+    flagged = targets.select(*keys, F.lit(1).alias("_t"), F.lit(0).alias("_d")).unionByName(
+        done.select(*keys, F.lit(0).alias("_t"), F.lit(1).alias("_d"))
     )
-    per_key = flagged.groupBy(*keys).agg(F.sum("t").alias("t"), F.max("d").alias("d"))
+    per_key = flagged.groupBy(*keys).agg(F.sum("_t").alias("_t"), F.max("_d").alias("_d"))
     zero = F.lit(0)
     return per_key.agg(
-        F.coalesce(F.sum("t"), zero).cast("bigint").alias("targets"),
-        F.coalesce(F.sum(F.when(F.col("d") == 1, F.col("t"))), zero).cast("bigint").alias("done"),
-        F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("t"))), zero).cast("bigint").alias("pending"),
+        F.coalesce(F.sum("_t"), zero).cast("bigint").alias("targets"),
+        F.coalesce(F.sum(F.when(F.col("_d") == 1, F.col("_t"))), zero).cast("bigint").alias("done"),
+        F.coalesce(F.sum(F.when(F.col("_d") == 0, F.col("_t"))), zero).cast("bigint").alias("pending"),
     )

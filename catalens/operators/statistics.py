@@ -191,13 +191,14 @@ def bootstrap_spearman(df: DataFrame, a: str, b: str, key: str, n: int = 10_000,
         ])),
     ).where((F.col("w") > 0) & (F.col("replicate") < n))
 
-    def ranks(side: str) -> DataFrame:
-        per_value = cells.groupBy("replicate", side).agg(F.sum("w").alias("c"))
-        before = Window.partitionBy("replicate").orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("c").over(before), F.lit(0))
-        return per_value.select("replicate", side, (below + (F.col("c") + 1) / 2.0).alias(f"r{side}"))
-
-    ranked = cells.join(ranks("x"), ["replicate", "x"]).join(ranks("y"), ["replicate", "y"])
+    # Running weights up to and including a value's ties, minus half of the ties: average ranks for both sides
+    # from one shuffle by replicate.
+    one = Window.partitionBy("replicate")
+    upto = {side: F.sum("w").over(one.orderBy(side)) for side in ("x", "y")}  # default frame: ties included
+    ties = {side: F.sum("w").over(Window.partitionBy("replicate", side)) for side in ("x", "y")}
+    ranked = cells.select(
+        "replicate", "w", *[(upto[side] - (ties[side] - 1) / 2.0).alias(f"r{side}") for side in ("x", "y")]
+    )
     draws = ranked.groupBy("replicate").agg(
         _pearson(F.col("rx"), F.col("ry"), F.col("w").cast("double")).alias("draw")
     )
