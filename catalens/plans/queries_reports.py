@@ -9,7 +9,7 @@ from catalens.functions import text as tx, vocab as vo
 from catalens.operators import census as ce, coding as co, extraction as ex, interface as it, keys as k, security as se
 from catalens.plans import bindings as b
 from catalens.plans.oracle_views import any_of, pct, quoted, words
-from catalens.plans.queries_keys import signals, tools_and_strict
+from catalens.plans.queries_keys import signals, stored_signals, tools_and_strict
 from catalens.plans.registry import Catalogue
 
 Q = Catalogue()
@@ -520,7 +520,7 @@ SELECT u.metric, u.v::DOUBLE AS value FROM l, LATERAL (VALUES ('items compared',
  ('mean releases', round_even(ab, 2)), ('items where releases > versions', bm), ('items where the counts are equal', eq), ('items where versions > releases', am),
  ('Spearman correlation between the counts', round_even(rho, 3))) u(metric, v)""")
 def signal_comparison(s, d):
-    return it.signal_comparison(signals(s, d), "a", "b", ("versions", "releases"))
+    return it.signal_comparison(stored_signals(s, d), "a", "b", ("versions", "releases"))
 
 
 @Q.add("agreement_bands", "A44", """

@@ -10,7 +10,7 @@ from catalens.operators import agreement as ag, evidence as ev, extraction as ex
 from catalens.operators.statistics import EXACT_DRAWS
 from catalens.plans import bindings as b
 from catalens.plans.oracle_views import NWS, WS, digest_int, pct, poisson1, squeeze, uniform, words
-from catalens.plans.queries_keys import PAIRS_SQL, coder_pairs, signals
+from catalens.plans.queries_keys import PAIRS_SQL, coder_pairs, stored_signals
 from catalens.plans.registry import Catalogue
 
 Q = Catalogue()
@@ -308,7 +308,7 @@ WITH x AS (SELECT a, b, r, md5('{SEED}:' || name || ':' || (r // 4)) AS h FROM (
  rk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS y FROM signals)
 SELECT (SELECT round_even(corr(x, y), 3) FROM rk) AS value, round_even(low, 3) AS ci95_low, round_even(high, 3) AS ci95_high, (SELECT count(*) FROM signals) AS n FROM i""")
 def bootstrap_spearman(s, d):
-    return st.bootstrap_spearman(signals(s, d), "a", "b", "name", N_BOOT, SEED)
+    return st.bootstrap_spearman(stored_signals(s, d), "a", "b", "name", N_BOOT, SEED)
 
 
 @Q.add("interval_table", "T10", f"""
