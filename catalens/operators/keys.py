@@ -191,8 +191,9 @@ def extractor_agreement(a: DataFrame, b: DataFrame, key: str, item: str, names:
         F.count_if(F.col("_a") & ~F.col("_b") & has).alias("only_a"),
         F.count_if(F.col("_b") & ~F.col("_a") & has).alias("only_b"),
     )
-    one_sided = flags.where((F.col("_a") != F.col("_b")) & has)
-    listed = _first_per(one_sided, [key, "_a"], [F.col(item).asc()], names).groupBy(key).agg(
+    # No filter on the item here: it would be pushed below the grouping, and the shuffle could not be shared.
+    one_sided = flags.where(F.col("_a") != F.col("_b"))
+    listed = _first_per(one_sided, [key, "_a"], [F.col(item).asc_nulls_last()], names).groupBy(key).agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("_a"), F.col(item)))), "|").alias("only_a_names"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("_b"), F.col(item)))), "|").alias("only_b_names"),
     )
