@@ -9,7 +9,7 @@ from catalens.functions import text as tx, vocab as vo
 from catalens.operators import census as ce, coding as co, extraction as ex, interface as it, keys as k, security as se
 from catalens.plans import bindings as b
 from catalens.plans.oracle_views import any_of, pct, quoted, words
-from catalens.plans.queries_keys import signals, stored_signals, tools_and_strict
+from catalens.plans.queries_keys import signals, stored_signals, stored_tools_and_strict, tools_and_strict
 from catalens.plans.registry import Catalogue
 
 Q = Catalogue()
@@ -539,7 +539,7 @@ SELECT u.metric, u.v::DOUBLE AS value FROM l, LATERAL (VALUES ('validation sampl
  ('estimated recall on comparable packages (%)', round_even(100.0::DOUBLE * (b - ob)::DOUBLE / greatest(1, b)::DOUBLE, 1)),
  ('candidate false positive rate (%)', round_even(100.0::DOUBLE * oa::DOUBLE / greatest(1, a)::DOUBLE, 1))) u(metric, v)""")
 def extraction_quality(s, d):
-    _, tools, strict = tools_and_strict(s, d)
+    tools, strict = stored_tools_and_strict(s, d)
     return it.extraction_quality(k.extractor_agreement(tools, strict, "package_key", "tool_name"))
 
 

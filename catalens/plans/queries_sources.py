@@ -109,7 +109,7 @@ def read_coded_csv(s, d):
     path = scratch_dir(s, "sheet")
     r = b.raters(s, d)
     line = F.concat_ws(",", F.col("doc_id").cast("string"), "lang", F.concat(F.lit(" "), F.col("quality").cast("string")), F.col("toxic").cast("string"), F.lit('"seen, twice"'))
-    fence = s.createDataFrame([("﻿```csv",), ("",), ("﻿" + ",".join(_SHEET),), ("```",)], "value string")
+    fence = s.createDataFrame([("\ufeff```csv",), ("",), ("\ufeff" + ",".join(_SHEET),), ("```",)], "value string")
     r.select(line.alias("value")).unionByName(fence).write.text(path)
     return rd.read_coded_csv(s, path, _SHEET)
 

@@ -15,7 +15,7 @@ async def delta(
 ):
     """Does
     delta."""
-@mcp.server.tool(name="eps", description="Does eps")
+@app.server.tool(name="eps", description="Does eps")
 def inner(): pass
 @app.tool()
 def _hidden(): pass

@@ -15,7 +15,7 @@ def test_malformed_lines_are_split_off(spark, tmp_path):
 
 
 def test_coded_sheet_with_mark_fences_and_quotes(spark, tmp_path):
-    (tmp_path / "s.csv").write_text('﻿```csv\n\nid,note\n1,"a, b"\r\n2,\n```\n', encoding="utf-8")
+    (tmp_path / "s.csv").write_text('\ufeff```csv\n\nid,note\n1,"a, b"\r\n2,\n```\n', encoding="utf-8")
     assert sorted(map(tuple, rd.read_coded_csv(spark, str(tmp_path / "s.csv"), ["id", "note"]).collect())) == [("1", "a, b"), ("2", "")]
 
 
