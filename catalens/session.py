@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +17,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+#: Folders of intermediate tables that this process has written.
+_MADE: list[str] = []
+
 
 def build_session(app: str = "catalens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; cluster settings stay with the cluster."""
@@ -26,18 +32,37 @@ def build_session(app: str = "catalens", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder (a temporary one when unset, as in tests)."""
+    """A fresh folder below the cluster's shared checkpoint folder.
+
+    Without that setting only a local master may go on, in a temporary folder that is removed at exit: on a cluster
+    every executor would write to its own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/catalens-{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/catalens-{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written, once their results are read; the number of folders."""
+    jvm, done = spark.sparkContext._jvm, 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def materialise(df, label: str):
     """Write an intermediate table once to the shared folder and read it back, for frames used several times.
 
-    The written table cuts the lineage: a lost executor re-reads files instead of repeating the work.
+    The written table cuts the lineage: a lost executor re-reads files instead of repeating the work. Its true size is
+    known to the planner, which broadcasts it only when it is small.
     """
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
