@@ -61,7 +61,8 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return filter_captures(captures(pages), list_entries(pages))
+    filtered = filter_captures(captures(pages), list_entries(pages))
+    return filtered.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "valid_from", "valid_to")})
 
 
 QUERIES = {

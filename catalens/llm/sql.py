@@ -69,8 +69,8 @@ WITH captured AS (
     arg_max({{'rule': rule, 'valid_from': valid_from, 'valid_to': valid_to}}, (length(rule), rule)) AS top
   FROM found GROUP BY ALL
 )
-SELECT c.page_id, c.url, c.fetched_on, c.host, c.captures, coalesce(b.n_active, 0) AS n_active, coalesce(b.lists, '') AS lists,
-  b.top.rule AS rule, b.top.valid_from AS valid_from, b.top.valid_to AS valid_to, b.top IS NOT NULL AS blocked
+SELECT c.page_id, c.url, c.fetched_on::VARCHAR AS fetched_on, c.host, c.captures, coalesce(b.n_active, 0) AS n_active, coalesce(b.lists, '') AS lists,
+  b.top.rule AS rule, b.top.valid_from::VARCHAR AS valid_from, b.top.valid_to::VARCHAR AS valid_to, b.top IS NOT NULL AS blocked
 FROM captured c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS NOT DISTINCT FROM b.url
   AND c.fetched_on IS NOT DISTINCT FROM b.fetched_on
 """
