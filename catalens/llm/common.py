@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows per Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS = 1000
 
-__all__ = ["BATCH_ROWS", "WORD", "batched", "lower_words", "materialise", "stored", "table", "unit", "word_count", "words_in"]
+__all__ = ["BATCH_ROWS", "WORD", "batched", "lower_words", "ship_with_tasks", "stored", "table", "unit", "word_count", "words_in"]
+
+
+def ship_with_tasks(module: str) -> None:
+    """Send the functions of a module to the tasks by value, so that executors need not have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship_with_tasks(__name__)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,13 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import sql
+from catalens.llm import quality, sentencepiece, sql, toxicity
 from catalens.llm.common import table
+from catalens.llm.labels import labelled, remainder
 from catalens.llm.mixing import mixing_plan
 from catalens.llm.sharding import shard_documents
 from catalens.llm.url_filters import filter_captures, host_of, path_of
 
 
+TOKENIZER_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder(3) == 1
+    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels"), "toxic", ~held, toxicity.CLASS_ROWS))
+    scored = toxicity.score_documents(docs, model, ["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+                         "evidence", "toxic_ll", "ordinary_ll", "letters")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), remainder(5) == 0
+    weights = quality.fit(labelled(docs, table(spark, sf_dir, "labels"), "quality", ~held, quality.CLASS_ROWS))
+    scored = quality.score_documents(docs, weights, ["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece.encode_documents(docs, sentencepiece.load_vocabulary(TOKENIZER_MODEL), ["doc_id"], check=True)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
@@ -66,6 +90,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op9_sharding": op9_sharding,
     "op10_url_filters": op10_url_filters,
