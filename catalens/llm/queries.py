@@ -9,6 +9,7 @@ from catalens.llm import quality, sentencepiece, sql, toxicity
 from catalens.llm.common import table
 from catalens.llm.labels import labelled, remainder
 from catalens.llm.mixing import mixing_plan
+from catalens.llm.near_dedup import duplicate_groups
 from catalens.llm.sharding import shard_documents
 from catalens.llm.url_filters import filter_captures, host_of, path_of
 
@@ -42,6 +43,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -94,8 +99,9 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL = {"op5_mixing": sql.MIXING, "op10_url_filters": sql.URL_FILTERS}
+ORACLE_SQL = {"op5_mixing": sql.MIXING, "op8_near_duplicates": sql.NEAR_DUPLICATES, "op10_url_filters": sql.URL_FILTERS}
