@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import quality, sentencepiece, sql, toxicity
+from catalens.llm import language_model, quality, sentencepiece, sql, toxicity
 from catalens.llm.common import table
 from catalens.llm.labels import labelled, remainder
 from catalens.llm.mixing import mixing_plan
@@ -43,6 +43,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op7_language_model": op7_language_model,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_url_filters": op10_url_filters,
