@@ -9,6 +9,7 @@ from catalens.llm import language_model, quality, sentencepiece, sql, toxicity
 from catalens.llm.common import table
 from catalens.llm.labels import labelled, remainder
 from catalens.llm.mixing import mixing_plan
+from catalens.llm.multi_index import nearest_neighbours
 from catalens.llm.near_dedup import duplicate_groups
 from catalens.llm.sharding import shard_documents
 from catalens.llm.url_filters import filter_captures, host_of, path_of
@@ -43,6 +44,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest_neighbours(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"), remainder(5) == 1)
 
@@ -103,6 +109,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_model": op7_language_model,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
