@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalens.llm import language_model, quality, sentencepiece, sql, toxicity
 from catalens.llm.common import table
+from catalens.llm.fingerprints import fingerprint_versions
 from catalens.llm.labels import labelled, remainder
 from catalens.llm.mixing import mixing_plan
 from catalens.llm.multi_index import nearest_neighbours
@@ -33,6 +34,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece.encode_documents(docs, sentencepiece.load_vocabulary(TOKENIZER_MODEL), ["doc_id"], check=True)
@@ -107,6 +112,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_fingerprints": op3_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_nearest_neighbours": op6_nearest_neighbours,
