@@ -41,16 +41,34 @@ def _entries(key: Column, sign: Column, third: Column) -> Column:
         sign.cast("int").alias("n"), key.alias("key"), check.alias("check")) for s in range(3)])
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _summed(entries: Column) -> Column:
-    """Entries in order of cells, those of a cell added up, without cells that came to nothing."""
-    def add(cells: Column, x: Column) -> Column:
-        last = F.element_at(cells, -1)
-        both = F.struct(x["cell"].alias("cell"), (last["n"] + x["n"]).alias("n"),
-                        last["key"].bitwiseXOR(x["key"]).alias("key"), last["check"].bitwiseXOR(x["check"]).alias("check"))
-        return F.when((F.size(cells) > 0) & (F.try_element_at(cells, F.lit(-1))["cell"] == x["cell"]),
-                      F.concat(F.slice(cells, F.lit(1), F.size(cells) - 1), F.array(both))).otherwise(F.concat(cells, F.array(x)))
-
-    summed = F.aggregate(F.array_sort(entries), F.array().cast(_CELLS), add)
+    """Entries in order of cells, those of a cell added up, without cells that came to nothing.
+
+    Every run of one cell in the sorted entries is sliced out and added up, so the work follows the number of entries.
+    """
+    def add(x: Column, y: Column) -> Column:
+        return F.struct(x["cell"].alias("cell"), (x["n"] + y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"),
+                        x["check"].bitwiseXOR(y["check"]).alias("check"))
+
+    def run(ordered: Column, ends: Column):
+        def one(end: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.lit(1)).otherwise(F.get(ends, i - 1) + 1)
+            first = F.element_at(ordered, end)
+            return _with(start, lambda s: F.when(s == end, first).otherwise(
+                F.aggregate(F.slice(ordered, s, end - s), first, add)))
+        return one
+
+    def ends_of(ordered: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(ordered))
+        return F.filter(places, lambda i: (i == F.size(ordered)) | (F.get(ordered, i)["cell"] != F.get(ordered, i - 1)["cell"]))
+
+    summed = _with(F.array_sort(entries), lambda ordered: F.when(F.size(ordered) == 0, ordered).otherwise(
+        _with(ends_of(ordered), lambda ends: F.transform(ends, run(ordered, ends)))))
     return F.filter(summed, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
 
@@ -74,9 +92,9 @@ def peel(difference: Column, cells: Column) -> Column:
     def one_round(state: Column, _: Column) -> Column:
         pure = F.filter(state["left"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"], F.lit(3)) == c["check"]))
         keys = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
-        removed = F.flatten(F.transform(keys, lambda c: _entries(c["key"], -c["n"], third)))
-        return F.when(F.size(state["left"]) == 0, state).otherwise(F.struct(
-            _summed(F.concat(state["left"], removed)).alias("left"), F.concat(state["found"], keys).alias("found")))
+        return F.when(F.size(state["left"]) == 0, state).otherwise(_with(keys, lambda ks: F.when(F.size(ks) == 0, state).otherwise(
+            F.struct(_summed(F.concat(state["left"], F.flatten(F.transform(ks, lambda c: _entries(c["key"], -c["n"], third)))))
+                     .alias("left"), F.concat(state["found"], ks).alias("found")))))
 
     empty = F.array().cast("array<struct<n:int,key:bigint>>")
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(difference.alias("left"), empty.alias("found")), one_round)
@@ -97,16 +115,16 @@ def fingerprint(keys: Column) -> Column:
 def differing_keys(left: Column, right: Column) -> Column:
     """Number of paragraphs in one text only, found by subtracting and peeling sketches, larger ones on failure; -1 if none do.
 
-    The first size suits versions that share half of their paragraphs, the last one is six times the paragraphs of both.
+    The first size is enough for most pairs that share nothing, the last one is twelve times the paragraphs of both.
     """
     together = F.size(left) + F.size(right)
-    first = F.greatest(F.lit(LEAST_CELLS // 3), F.ceil(together * 0.25))
+    first = F.greatest(F.lit(LEAST_CELLS // 3), F.ceil(together * 0.5))
     sizes = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (first * F.pow(F.lit(2.0), i)).cast("int") * 3)
 
     def attempt(found: Column, cells: Column) -> Column:
         peeled = peel(subtract(sketch(left, cells), sketch(right, cells)), cells)
-        return F.when(found >= 0, found).otherwise(F.aggregate(
-            F.array(peeled), F.lit(-1), lambda _, p: F.when(F.size(p["left"]) == 0, F.size(p["found"])).otherwise(F.lit(-1))))
+        return F.when(found >= 0, found).otherwise(
+            _with(peeled, lambda p: F.when(F.size(p["left"]) == 0, F.size(p["found"])).otherwise(F.lit(-1))))
 
     return F.when(left == right, F.lit(0)).otherwise(F.aggregate(sizes, F.lit(-1), attempt))
 
