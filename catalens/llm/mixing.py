@@ -61,6 +61,6 @@ def mixing_plan(docs: DataFrame, seed: int = 42, max_repeat: int = 3) -> DataFra
 
 def mix(docs: DataFrame, seed: int = 42, max_repeat: int = 3) -> DataFrame:
     """The mixed table itself: every document as many times as the plan takes it, with the columns of docs."""
-    plan = mixing_plan(docs, seed, max_repeat).filter("_copies > 0")
-    return (plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"), "doc_id", "source", "text")
+    plan = mixing_plan(packed, seed, max_repeat).filter("_copies > 0")
+    return plan.select("_document", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_document.*")

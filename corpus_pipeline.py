@@ -19,18 +19,23 @@ from catalens.llm.queries import TOKENIZER_MODEL
 TOXIC_FROM, GOOD_FROM = 0.7, 0.3
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column, beside their text, so that no column's name meets those of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7."""
     rows = labelled(docs, table(spark, sf_dir, "labels"), "toxic", remainder(3) != 1, toxicity.CLASS_ROWS)
-    scored = toxicity.score_documents(docs, toxicity.fit(rows), [*docs.columns])
-    return scored.filter(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    scored = toxicity.score_documents(_packed(docs), toxicity.fit(rows), ["document"])
+    return scored.filter(F.col("score") < TOXIC_FROM).select("document.*")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.3."""
     rows = labelled(docs, table(spark, sf_dir, "labels"), "quality", remainder(5) != 0, quality.CLASS_ROWS)
-    scored = quality.score_documents(docs, quality.fit(rows), [*docs.columns])
-    return scored.filter(F.col("score") >= GOOD_FROM).select(*docs.columns)
+    scored = quality.score_documents(_packed(docs), quality.fit(rows), ["document"])
+    return scored.filter(F.col("score") >= GOOD_FROM).select("document.*")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
