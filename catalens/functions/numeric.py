@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -31,11 +33,9 @@ def hash_uniform(digest, start: int = 1) -> Column:
     return hash_int(digest, start).cast("double") / F.lit(4294967296.0)
 
 
-# Cumulative probabilities of the Poisson(1) distribution: P(X <= 0), P(X <= 1), ...
-POISSON1_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
+# Cumulative probabilities of the Poisson(1) distribution, P(X <= 0), P(X <= 1), ..., as far as 32 bits tell them from 1.
+POISSON1_CDF = tuple(
+    p for p in (math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(20)) if 1 - p > 2.0**-33
 )
 
 

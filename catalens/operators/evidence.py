@@ -81,18 +81,34 @@ def fact_sheet(tables: dict[str, tuple[DataFrame, list]], n: int = 40) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_claims(claims: DataFrame, facts: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Status of each claim (label, source, key_value, field, expected) against a fact sheet.
+def claim_cells(tables: dict[str, tuple[DataFrame, list]]) -> DataFrame:
+    """Every cell of whole result tables under each of its row's keys: (source, key_field, key_value, field, value).
 
-    A fact row is addressed by any of its cells holding `key_value`. Claims are the small side and are only
+    `tables` maps a name to (frame, key columns); a cell is found by the value of a named key column only.
+    """
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(source).alias("source"), F.inline(F.array(*[
+            F.struct(
+                F.lit(k).alias("key_field"), F.col(k).cast("string").alias("key_value"),
+                F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
+            for k in keys for c in df.columns
+        ])))
+        for source, (df, keys) in tables.items()
+    ])
+
+
+def check_claims(claims: DataFrame, cells: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """Status of each claim (label, source, key_field, key_value, field, expected) against the cells of whole tables.
+
+    Where several rows hold the key, the value nearest to the claim counts. Claims are the small side and are only
     matched by equality.
     """
-    sources = facts.select("source").distinct().withColumn("_table", F.lit(True))
-    addressed = claims.join(
-        facts.select("source", "row_no", F.col("value").alias("key_value")).distinct(), ["source", "key_value"]
+    sources = cells.select("source").distinct().withColumn("_table", F.lit(True))
+    values = cells.select("source", "key_field", "key_value", "field", F.col("value").try_cast("double").alias("actual"))
+    hits = (
+        claims.join(values, ["source", "key_field", "key_value", "field"])
+        .groupBy("label").agg(F.min_by("actual", F.abs(F.col("actual") - F.col("expected"))).alias("actual"))
     )
-    cells = facts.select("source", "row_no", "field", F.col("value").try_cast("double").alias("actual"))
-    hits = addressed.join(cells, ["source", "row_no", "field"]).groupBy("label").agg(F.min_by("actual", "row_no").alias("actual"))
     status = (
         F.when(F.col("_table").isNull(), "table missing")
         .when(F.col("actual").isNull(), "row missing")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from catalens import fixed_values as fx
 from catalens.functions.numeric import col
 from catalens.functions.text import clean_description, squeeze, text_or_empty
-from catalens.operators.keys import _first_per, dedupe_richest, richness, small_side
+from catalens.operators.keys import _first_per, dedupe_richest, richness
+from catalens.session import materialise
 
 FLAGS = "(?sU)"  # a dot spans lines; letters, digits and blanks are Unicode classes
 
@@ -42,23 +43,27 @@ def language_of(path, registry_type=None) -> Column:
 
 def select_source_files(
     files: DataFrame, package: str = "package_key", path: str = "path", size: str = "bytes",
-    registry_type: str | None = "registry_type", max_bytes: int = fx.MAX_FILE_BYTES,
-    max_files: int = fx.MAX_FILES_PER_PACKAGE,
+    registry_type: str | None = "registry_type", max_bytes: int | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Files worth scanning: a known language, outside vendored and test trees, not minified, within the size
-    cap, at most `max_files` per package in path order (both caps are part of the extraction rule)."""
+    """Files worth scanning: a known language, outside vendored and test trees, not minified.
+
+    All such files are kept, whatever their number and size; a caller may set a largest size in bytes and a number
+    of files per package, which takes the first in path order."""
     dirs = F.split(F.regexp_replace(F.col(path), "/?[^/]*$", ""), "/")
     kept = files.withColumn("language", language_of(path, registry_type)).where(
         F.col("language").isNotNull()
         & ~F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in fx.SKIPPED_DIRS]))
         & ~F.col(path).rlike("(" + "|".join(s.replace(".", r"\.") for s in fx.SKIPPED_SUFFIXES) + ")$")
-        & (F.col(size) <= max_bytes)
     )
-    # Only packages with more files than allowed need a cut, found from names alone: the text column is not
-    # read for it, and no text is shuffled as long as the list of cuts is small.
-    cuts = small_side(
+    if max_bytes is not None:
+        kept = kept.where(F.col(size) <= max_bytes)
+    if max_files is None:
+        return kept
+    # Only packages with more files than allowed need a cut, found from names alone: the text column is not read for it.
+    cuts = materialise(
         _first_per(kept.select(package, path), [package], [F.col(path).asc()], max_files)
-        .where(F.col("_rank") == max_files).select(package, F.col(path).alias("_last"))
+        .where(F.col("_rank") == max_files).select(package, F.col(path).alias("_last")), "cuts"
     )
     return kept.join(cuts, package, "left").where(
         F.col("_last").isNull() | (F.col(path) <= F.col("_last"))

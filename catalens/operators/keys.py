@@ -17,12 +17,6 @@ def _first_per(df: DataFrame, keys: Sequence, order: Sequence[Column], n: int =
     return df.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= n)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a narrow table for broadcasting if it has at most `max_rows` rows (checked by a bounded count);
-    a larger one is returned as it is and joined by a shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def latest_per_key(df: DataFrame, key: str, flag: str, ts: str, ordinal: str) -> DataFrame:
     """Latest row per key: flagged rows first, then the greatest timestamp, then the earliest ordinal."""
     order = [F.coalesce(F.col(flag), F.lit(False)).desc(), text_or_empty(ts).desc(), F.col(ordinal).asc()]

@@ -49,8 +49,9 @@ def with_item_ids(sample: DataFrame, prefix: str, order: list[str], n: int) -> D
 def rater_subset(b: DataFrame, c: DataFrame, n: int, b_target: str, c_target: str) -> DataFrame:
     """Items a second rater codes: the first half of n from part B, the rest from part C."""
     half = n // 2
-    left = b.orderBy("item_id").limit(half).select("item_id", F.lit("B").alias("part"), F.col(b_target).alias("target"))
-    right = c.orderBy("item_id").limit(n - half).select(
+    number = F.regexp_extract("item_id", r"(\d+)$", 1).cast("long")  # B1000 comes after B101
+    left = b.orderBy(number, "item_id").limit(half).select("item_id", F.lit("B").alias("part"), F.col(b_target).alias("target"))
+    right = c.orderBy(number, "item_id").limit(n - half).select(
         "item_id", F.lit("C").alias("part"), F.col(c_target).alias("target")
     )
     return left.unionByName(right)

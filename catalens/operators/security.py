@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalens import fixed_values as fx
 from catalens.functions.credentials import (
@@ -11,6 +11,7 @@ from catalens.functions.credentials import (
 from catalens.functions.numeric import pct
 from catalens.functions.text import any_of
 from catalens.operators.metric import keyed_counts, long_form, rows_of
+from catalens.session import materialise
 
 
 def adjudication_list(spark, entries=fx.ADJUDICATED) -> DataFrame:
@@ -44,13 +45,19 @@ def classify_declarations(env: DataFrame, name: str = "var_name", description: s
     )
 
 
-def apply_adjudication(classified: DataFrame, audit: DataFrame, name: str = "var_name") -> DataFrame:
-    """Correct the whole-word rule by an adjudication table and derive the flags the reports use.
+def apply_adjudication(classified: DataFrame, audit: DataFrame | None = None, name: str = "var_name") -> DataFrame:
+    """Correct the whole-word rule by an adjudication list and derive the flags the reports use.
 
-    The table is small by nature but caller-supplied, so the join strategy is left to its measured size.
+    The fixed list is a map literal, so declarations are neither joined nor shuffled by their few hot names. A caller's
+    table is stored first: the planner then broadcasts it by its true size, or joins by a shuffle that it may split.
     """
-    verdicts = audit.select(F.col("var_name").alias("_name"), "audit_reason").dropDuplicates(["_name"])
-    joined = classified.join(verdicts, classified[name] == verdicts["_name"], "left").drop("_name")
+    if audit is None:
+        reasons = F.create_map(*[F.lit(x) for entry in fx.ADJUDICATED for x in entry])
+        joined = classified.withColumn("audit_reason", F.try_element_at(reasons, F.col(name)))
+    else:
+        verdicts = audit.select(F.col("var_name").alias("_name"), "audit_reason").dropDuplicates(["_name"])
+        verdicts = materialise(verdicts, "adjudication")
+        joined = classified.join(verdicts, classified[name] == verdicts["_name"], "left").drop("_name")
     fires = F.col("credential_tier").isNotNull()
     listed = F.col("audit_reason").isNotNull()
     return joined.select(
@@ -184,7 +191,7 @@ def rule_decomposition(classified: DataFrame, server: str = "server_name", name:
             F.sum("c").alias("declarations"), F.count_distinct(server).alias("servers"),
             F.count_distinct(name).alias("distinct_names"),
         )
-        .withColumn("share_pct", pct("declarations", rows_of(flagged)))
+        .withColumn("share_pct", pct("declarations", F.sum("declarations").over(Window.partitionBy())))
         .withColumn("basis", F.lit("all published versions, no secret flag"))
     )
 

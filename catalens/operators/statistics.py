@@ -64,16 +64,16 @@ def _workers(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-EXACT_DRAWS = 5_000
+METHODS = ("draws", "normal")
 
 
-def bootstrap_proportion(df: DataFrame, flags: dict[str, Column], n: int = 10_000, seed: int = 0) -> DataFrame:
+def bootstrap_proportion(df: DataFrame, flags: dict[str, Column], n: int = 10_000, seed: int = 0, method: str = "draws") -> DataFrame:
     """Percentile bootstrap of shares: quantity, value, low, high, n; all quantities in one pass.
 
     Resampling k yes/no rows only depends on k and the number s of yes rows, so the data is reduced to
-    (k, s) before any replicate exists. Up to EXACT_DRAWS rows every single draw is made (a hashed index
-    below s counts as a yes). Above that the binomial count is drawn from its normal limit, which differs
-    from it by less than the reported tenth of a percent.
+    (k, s) before any replicate exists. The caller names the method, whatever the number of rows: `draws` makes every
+    single draw (a hashed index below s counts as a yes; k * n hashes), `normal` draws the binomial count from its normal
+    limit (n hashes), which from some thousand rows on differs by less than the reported tenth of a percent.
     """
     wide = df.agg(
         F.count(F.lit(1)).alias("k"), *[F.count_if(c).alias(f"s{i}") for i, c in enumerate(flags.values())]
@@ -83,14 +83,16 @@ def bootstrap_proportion(df: DataFrame, flags: dict[str, Column], n: int = 10_00
         for i, label in enumerate(flags)
     ]
     totals = wide.select(F.inline(F.array(*entries)))
-    return _share_draws(totals, n, seed)
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
+    return _share_draws(totals, n, seed, method == "draws")
 
 
-def _share_draws(totals: DataFrame, n: int, seed: int) -> DataFrame:
+def _share_draws(totals: DataFrame, n: int, seed: int, single: bool) -> DataFrame:
     draws = totals.where(F.col("k") > 0).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     draws = draws.repartition(_workers(totals), "quantity", "replicate")  # replicates are the unit of work, not the totals row
     key = [F.lit(str(seed)), F.col("quantity"), F.col("replicate").cast("string")]
-    few = F.col("k") <= EXACT_DRAWS
+    few = F.lit(single)
     # One digest carries four 32-bit numbers, hence four draws.
     last = F.when(few, F.floor((F.col("k") - 1) / 4)).otherwise(0).cast("int")
     digests = draws.withColumn("block", F.explode(F.sequence(F.lit(0), last))).withColumn(

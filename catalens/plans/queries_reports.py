@@ -258,7 +258,7 @@ def classified(s, d):
 
 
 def adjudicated(s, d):
-    return se.apply_adjudication(classified(s, d), se.adjudication_list(s))
+    return se.apply_adjudication(classified(s, d))
 
 
 @Q.add("permissive_hint", "X1", """

@@ -181,10 +181,18 @@ def cache_stats(s, d):
     return rq.cache_stats(_cache(s, d))
 
 
-@Q.add("digest_files", "S11")
+@Q.add("digest_files", "S11", """
+SELECT 'month=' || month AS folder, sum(octet_length(encode(line)))::BIGINT AS bytes, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS sha256
+FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_orderkey || chr(10) AS line FROM orders) GROUP BY month""")
 def digest_files(s, d):
-    """No SQL: the digests are of the table files themselves."""
-    return ig.digest_files(s, d, root=".*/", exclude_suffixes=(".tmp",), glob="*.parquet")
+    """Digests of a landed tree: the order keys of every month, in order, as one file in the month's folder."""
+    path = scratch_dir(s, "tree")
+    keys = b.table(s, d, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", F.col("o_orderkey").cast("string").alias("value"))
+    landed = keys.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", "value")
+    landed.write.partitionBy("month").text(path)
+    found = ig.digest_files(s, path, root=f"{path.rsplit('/', 1)[-1]}/", glob="*.txt")
+    return found.select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
 
 
 _DIGEST = "sha256(doc_id || chr(1) || text || chr(1) || lang)"
@@ -211,7 +219,8 @@ def verify_manifest(s, d):
 
 
 @Q.add("verification_counts", "S13", f"""
-SELECT count(*) FILTER (status = 'ok') AS verified, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'MISMATCH') AS mismatched FROM ({_VERIFY})""")
+SELECT count(*) FILTER (status = 'ok') AS verified, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status = 'MISMATCH') AS mismatched,
+ count(*) FILTER (status = 'UNVERIFIED') AS unverified FROM ({_VERIFY})""")
 def verification_counts(s, d):
     return ig.verification_counts(_verified(s, d))
 

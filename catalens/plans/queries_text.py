@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalens import fixed_values as fx
 from catalens.functions import text as tx, vocab as vo
 from catalens.operators import agreement as ag, evidence as ev, extraction as ex, prose as pr, sampling as sa, statistics as st
-from catalens.operators.statistics import EXACT_DRAWS
 from catalens.plans import bindings as b
 from catalens.plans.oracle_views import NWS, WS, digest_int, pct, poisson1, squeeze, uniform, words
 from catalens.plans.queries_keys import PAIRS_SQL, coder_pairs, stored_signals
@@ -225,15 +224,16 @@ N_BOOT, SEED = 400, 20260928
 _AT = f"max(draw) FILTER (pos = floor(0.025::DOUBLE * n)) AS low, max(draw) FILTER (pos = floor(0.975::DOUBLE * n) - 1) AS high"
 
 
-def _proportion(parts: str) -> str:
+def _proportion(parts: str, method: str = "draws") -> str:
+    single = "true" if method == "draws" else "false"
     exact = f"sum(CASE WHEN ('0x' || substr(h, (1 + 8 * (j % 4))::INT, 8))::BIGINT % k < s THEN 1 ELSE 0 END)"
     gauss = f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {uniform('h')})) * cos(2.0::DOUBLE * pi() * {uniform('h', 9)})"
     return f"""
 WITH t AS ({parts}), r AS (SELECT quantity, k, s, unnest(range({N_BOOT})) AS r FROM t),
  small AS (SELECT quantity, k, r, 100.0::DOUBLE * {exact} / k AS draw FROM (SELECT quantity, k, s, r, j, md5('{SEED}:' || quantity || ':' || r || ':' || (j // 4)) AS h
-   FROM (SELECT *, unnest(range(k)) AS j FROM r WHERE k <= {EXACT_DRAWS})) GROUP BY 1, 2, 3),
+   FROM (SELECT *, unnest(range(k)) AS j FROM r WHERE {single})) GROUP BY 1, 2, 3),
  big AS (SELECT quantity, k, r, 100.0::DOUBLE * least(k::DOUBLE, greatest(0.0::DOUBLE, k * (s::DOUBLE / k) + sqrt(k * (s::DOUBLE / k) * (1 - s::DOUBLE / k)) * {gauss})) / k AS draw
-   FROM (SELECT *, md5('{SEED}:' || quantity || ':' || r) AS h FROM r WHERE k > {EXACT_DRAWS})),
+   FROM (SELECT *, md5('{SEED}:' || quantity || ':' || r) AS h FROM r WHERE NOT {single})),
  dd AS (SELECT quantity, draw, row_number() OVER (PARTITION BY quantity ORDER BY draw) - 1 AS pos, count(*) OVER (PARTITION BY quantity) AS n FROM (SELECT * FROM small UNION ALL SELECT * FROM big)),
  c AS (SELECT quantity, {_AT} FROM dd GROUP BY 1)
 SELECT quantity, round_even(100.0::DOUBLE * s / k, 1) AS value_pct, round_even(low, 1) AS ci95_low, round_even(high, 1) AS ci95_high, k AS n FROM t JOIN c USING (quantity)"""
@@ -246,10 +246,10 @@ def bootstrap_proportion(s, d):
 
 
 @Q.add("bootstrap_proportion_many_rows", "T7", _proportion("""
-SELECT 'returned' AS quantity, count(*) AS k, count(*) FILTER (l_returnflag = 'R') AS s FROM lineitem UNION ALL SELECT 'large', count(*), count(*) FILTER (l_quantity > 45) FROM lineitem"""))
+SELECT 'returned' AS quantity, count(*) AS k, count(*) FILTER (l_returnflag = 'R') AS s FROM lineitem UNION ALL SELECT 'large', count(*), count(*) FILTER (l_quantity > 45) FROM lineitem""", "normal"))
 def bootstrap_proportion_many_rows(s, d):
     return st.bootstrap_proportion(
-        b.table(s, d, "lineitem"), {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") > 45}, N_BOOT, SEED)
+        b.table(s, d, "lineitem"), {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") > 45}, N_BOOT, SEED, "normal")
 
 
 def _cluster(cells: str, label: str) -> str:
@@ -330,29 +330,30 @@ WITH p AS (SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY 1), g
  UNION ALL SELECT 'flags', row_no, 'l_returnflag', l_returnflag FROM gr UNION ALL SELECT 'flags', row_no, 'l_linestatus', l_linestatus FROM gr UNION ALL SELECT 'flags', row_no, 'lines', lines::VARCHAR FROM gr)"""
 
 
-def _facts(s, d):
+def _fact_tables(s, d):
     priorities = b.table(s, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
     flags = b.table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("lines"))
-    return ev.fact_sheet({"priorities": (priorities, ["o_orderpriority"]), "flags": (flags, ["l_returnflag", "l_linestatus"])}, 3)
+    return {"priorities": (priorities, ["o_orderpriority"]), "flags": (flags, ["l_returnflag", "l_linestatus"])}
 
 
 @Q.add("fact_sheet", "S14", _FACTS + " SELECT * FROM facts")
 def fact_sheet(s, d):
-    return _facts(s, d)
+    return ev.fact_sheet(_fact_tables(s, d), 3)
 
 
-@Q.add("check_claims", "J16", _FACTS + """,
- o AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
-SELECT 'orders ' || o_orderpriority AS label, 'priorities' AS source, n::DOUBLE AS expected, CASE WHEN o_orderpriority < '4' THEN n::DOUBLE END AS actual,
- CASE WHEN o_orderpriority < '4' THEN 'ok' ELSE 'row missing' END AS status FROM o
-UNION ALL SELECT 'wrong ' || o_orderpriority, 'priorities', n + 1.0::DOUBLE, CASE WHEN o_orderpriority < '4' THEN n::DOUBLE END, CASE WHEN o_orderpriority < '4' THEN 'mismatch' ELSE 'row missing' END FROM o
-UNION ALL SELECT 'absent ' || o_orderpriority, 'nowhere', n::DOUBLE, NULL, 'table missing' FROM o""")
+@Q.add("check_claims", "J16", """
+WITH o AS (SELECT o_orderpriority, count(*)::DOUBLE AS n FROM orders GROUP BY 1)
+SELECT 'orders ' || o_orderpriority AS label, 'priorities' AS source, n AS expected, n AS actual, 'ok' AS status FROM o
+UNION ALL SELECT 'wrong ' || o_orderpriority, 'priorities', n + 1, n, 'mismatch' FROM o
+UNION ALL SELECT 'row ' || o_orderpriority, 'flags', n, NULL, 'row missing' FROM o
+UNION ALL SELECT 'absent ' || o_orderpriority, 'nowhere', n, NULL, 'table missing' FROM o""")
 def check_claims(s, d):
     counts = b.table(s, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("n"))
     claims = counts.select(F.inline(F.array(*[
         F.struct(
             F.concat(F.lit(word), F.lit(" "), F.col("o_orderpriority")).alias("label"), F.lit(source).alias("source"),
+            F.lit("o_orderpriority").alias("key_field"),
             F.col("o_orderpriority").alias("key_value"), F.lit("orders").alias("field"), (F.col("n") + shift).alias("expected"))
-        for word, source, shift in (("orders", "priorities", 0.0), ("wrong", "priorities", 1.0), ("absent", "nowhere", 0.0))
+        for word, source, shift in (("orders", "priorities", 0.0), ("wrong", "priorities", 1.0), ("row", "flags", 0.0), ("absent", "nowhere", 0.0))
     ])))
-    return ev.check_claims(claims, _facts(s, d))
+    return ev.check_claims(claims, ev.claim_cells(_fact_tables(s, d)))

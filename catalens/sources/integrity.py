@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalens.functions.text import text_or_empty
-
 LARGEST_HASHED = 2_000_000_000  # a binary cell holds less than 2 GiB
 
 
@@ -44,17 +42,18 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
 
 
 def digest_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """SHA-256 per row over the named columns."""
-    cells = [text_or_empty(F.col(c).cast("string")) for c in columns]
+    """SHA-256 per row over the named columns; a null cell has a mark of its own, so it differs from an empty one."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns]
     return df.select(key, F.sha2(F.concat_ws("\u0001", *cells), 256).alias("sha256"))
 
 
 def verify_manifest(manifest: DataFrame, actual: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
-    """Status per manifest entry: ok, MISSING or MISMATCH."""
+    """Status per manifest entry: ok, MISSING, MISMATCH, or UNVERIFIED where either side has no digest."""
     found = actual.select(key, F.col(digest).alias("_actual"), F.lit(True).alias("_there"))
     status = (
         F.when(F.col("_there").isNull(), "MISSING")
-        .when(F.col(digest).eqNullSafe(F.col("_actual")), "ok")
+        .when(F.col(digest).isNull() | F.col("_actual").isNull(), "UNVERIFIED")
+        .when(F.col(digest) == F.col("_actual"), "ok")
         .otherwise("MISMATCH")
     )
     return manifest.join(found, key, "left").select(key, status.alias("status"))
@@ -65,4 +64,5 @@ def verification_counts(verified: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ok").alias("verified"),
         F.count_if(F.col("status") == "MISSING").alias("missing"),
         F.count_if(F.col("status") == "MISMATCH").alias("mismatched"),
+        F.count_if(F.col("status") == "UNVERIFIED").alias("unverified"),
     )

@@ -10,8 +10,11 @@ CORRUPT = "_corrupt"
 
 
 def read_entries(spark: SparkSession, path: str, schema: str = ENTRY) -> DataFrame:
-    """Nested catalogue entries, one JSON object per line; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """Nested catalogue entries, one JSON object per line; blank lines are skipped, a malformed line fails the read.
+
+    `read_jsonl` sets malformed lines apart instead.
+    """
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -75,6 +75,11 @@ def test_source_selection(spark):
     assert ex.select_source_files(npm, max_bytes=0).count() == 0
 
 
+def test_no_limit_unless_asked_for(spark):
+    src = files(spark, [("big", "npm", f"{i:03}.js", "x") for i in range(450)] + [("big", "npm", "long.js", "y" * 500_000)])
+    assert ex.select_source_files(src).count() == 451
+
+
 def test_file_limit_per_package(spark):
     src = files(spark, [("big", "npm", f"{i:03}.js", "x") for i in range(20)] + [("small", "npm", "a.js", "x")])
     kept = [(r.package_key, r.path) for r in ex.select_source_files(src, max_files=5).collect()]

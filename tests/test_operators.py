@@ -190,3 +190,11 @@ def test_flatten_handles_missing_blocks(spark, tmp_path):
     assert (bare.registry_types, bare.env_var_count, bare.is_latest, bare.has_packages, bare.status) == ([], 0, False, False, None)
     assert [(r.var_name, r.is_secret, r.is_required) for r in fl.extract_env_vars(df).orderBy("var_name").collect()] == [("A", True, False), ("B", False, False)]
     assert fl.extract_packages(df).count() == 2 and fl.extract_remotes(df).count() == 2
+
+
+def test_rater_subset_goes_by_number(spark):
+    from catalens.operators import sampling
+
+    items = lambda p: spark.createDataFrame([(f"{p}{i:03d}", f"t{i}") for i in range(1, 1201)], "item_id string, target string")
+    got = {r.item_id for r in sampling.rater_subset(items("B"), items("C"), 2100, "target", "target").collect()}
+    assert got == {f"B{i:03d}" for i in range(1, 1051)} | {f"C{i:03d}" for i in range(1, 1051)}

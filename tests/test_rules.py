@@ -43,9 +43,10 @@ def test_adjudication_only_demotes_names_the_rule_fires_on(spark):
     df = spark.createDataFrame(
         [("OURA_CREDENTIALS", False), ("ONE_CONNECTION_KEYS", True), ("DB_PASSWORD", False)], "var_name string, is_secret boolean"
     ).withColumn("var_description", F.lit(None).cast("string"))
-    out = apply_adjudication(classify_declarations(df), adjudication_list(spark))
-    got = {r.var_name: (r.audit_demoted, r.credential_named, r.credential_named_unflagged) for r in out.collect()}
-    assert got == {"OURA_CREDENTIALS": (True, False, False), "ONE_CONNECTION_KEYS": (True, False, False), "DB_PASSWORD": (False, True, True)}
+    for audit in (None, adjudication_list(spark)):
+        out = apply_adjudication(classify_declarations(df), audit)
+        got = {r.var_name: (r.audit_demoted, r.credential_named, r.credential_named_unflagged) for r in out.collect()}
+        assert got == {"OURA_CREDENTIALS": (True, False, False), "ONE_CONNECTION_KEYS": (True, False, False), "DB_PASSWORD": (False, True, True)}
 
 
 def test_secret_verdict_per_server(spark):

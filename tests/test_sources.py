@@ -1,6 +1,7 @@
 import hashlib
 import urllib.parse
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalens.operators import evidence as ev, prose as pr
@@ -41,10 +42,11 @@ def test_file_digests_and_verification(spark, tmp_path):
     found = ig.digest_files(spark, str(tmp_path), root=f"{tmp_path.name}/", exclude_suffixes=(".tmp",))
     assert {r.path: r.sha256 for r in found.collect()} == {n: hashlib.sha256(b).hexdigest() for n, b in (("a.txt", b"one"), ("c.txt", b"two"))}
     assert tuple(ig.manifest_totals(found).first()) == (2, 6)
-    manifest = spark.createDataFrame([("a.txt", hashlib.sha256(b"one").hexdigest()), ("c.txt", "0"), ("gone", "1")], "path string, sha256 string")
+    manifest = spark.createDataFrame([("a.txt", hashlib.sha256(b"one").hexdigest()), ("c.txt", "0"), ("gone", "1"), ("null", None)], "path string, sha256 string")
+    found = found.unionByName(spark.createDataFrame([("null", 3, None)], found.schema))
     checked = ig.verify_manifest(manifest, found)
-    assert {r.path: r.status for r in checked.collect()} == {"a.txt": "ok", "c.txt": "MISMATCH", "gone": "MISSING"}
-    assert tuple(ig.verification_counts(checked).first()) == (1, 1, 1)
+    assert {r.path: r.status for r in checked.collect()} == {"a.txt": "ok", "c.txt": "MISMATCH", "gone": "MISSING", "null": "UNVERIFIED"}
+    assert tuple(ig.verification_counts(checked).first()) == (1, 1, 1, 1)
 
 
 def test_ingest_appends_only_new_pages(spark, tmp_path):
@@ -66,11 +68,38 @@ def test_sinks_return_the_row_count(spark, tmp_path):
 
 def test_claims(spark):
     table = spark.createDataFrame([("servers", 35.0), ("versions", 114.0)], "metric string, value double")
-    facts = ev.fact_sheet({"census": (table, ["metric"])})
+    table = table.unionByName(spark.createDataFrame([(f"m{i}", float(i)) for i in range(60)] + [("late", 114.0)], table.schema))
     claims = spark.createDataFrame(
-        [("ok", "census", "servers", "value", 35.04), ("off", "census", "versions", "value", 115.0), ("row", "census", "x", "value", 1.0), ("table", "t", "x", "value", 1.0)],
-        "label string, source string, key_value string, field string, expected double")
-    assert {r.label: r.status for r in ev.check_claims(claims, facts).collect()} == {"ok": "ok", "off": "mismatch", "row": "row missing", "table": "table missing"}
+        [("ok", "census", "metric", "servers", "value", 35.04), ("off", "census", "metric", "versions", "value", 115.0),
+         ("late", "census", "metric", "m55", "value", 55.0), ("other column", "census", "metric", "114.0", "value", 7.0),
+         ("row", "census", "metric", "x", "value", 1.0), ("table", "t", "metric", "x", "value", 1.0)],
+        "label string, source string, key_field string, key_value string, field string, expected double")
+    cells = ev.claim_cells({"census": (table, ["metric"])})
+    assert {r.label: r.status for r in ev.check_claims(claims, cells).collect()} == {
+        "ok": "ok", "off": "mismatch", "late": "ok", "other column": "row missing", "row": "row missing", "table": "table missing"}
+
+
+def test_null_and_empty_cells_have_different_digests(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "")], "k int, t string")
+    got = {r.k: r.sha256 for r in ig.digest_rows(df, "k", ["t"]).collect()}
+    assert got[1] != got[2] == got[3]
+
+
+def test_a_malformed_entry_fails_the_read(spark, tmp_path):
+    (tmp_path / "e.jsonl").write_text('{"server": {"name": "a"}}\n{broken\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        rd.read_entries(spark, str(tmp_path / "e.jsonl")).collect()
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from catalens import session
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        session.scratch_dir(Unset, "x")
 
 
 def test_numbers_and_prose(spark):
