@@ -107,7 +107,7 @@ def _matrix(column, width: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(column) else np.empty((0, width))
 
 
-def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
+def nearest_neighbours(rows: DataFrame, is_query: Column | str, k: int = 20, id_col: str = "vec_id",
                        vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, id, score: the k found neighbours of every row that is_query (a condition on the column id) picks.
 
