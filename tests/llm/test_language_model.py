@@ -71,8 +71,8 @@ def test_training_lowers_the_loss_on_unseen_text():
     texts = [np.append(np.tile([1, 2, 3, 4] if i % 2 else [5, 6, 7], 12), 0) for i in range(80)]
     counts = np.bincount(np.concatenate(texts), minlength=8).astype(float)
     p = gru.initial(counts, np.full(gru.TAILS, 0.5))
-    q = gru.train(p, [texts[i] for i in rng.permutation(60)])
-    assert gru.log_probabilities(q, texts[60:]).sum() > 0.5 * gru.log_probabilities(p, texts[60:]).sum()
+    q = gru.train(p, [texts[i] for i in rng.permutation(60)], passes=40)
+    assert gru.log_probabilities(q, texts[60:]).sum() > 0.3 * gru.log_probabilities(p, texts[60:]).sum()
     assert all((a == b).all() for a, b in zip(gru.unpacked(gru.packed(q), q).values(), (q[k] for k in sorted(q))))
 
 
