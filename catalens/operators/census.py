@@ -12,7 +12,7 @@ from catalens.functions.text import (
     month_of, name_flags, namespace, text_or_empty, to_time, url_flags, url_host, word_count,
 )
 from catalens.operators.keys import outer_merge_zero
-from catalens.operators.metric import distribution, exact_quantiles, long_form, metric_block, rows_of
+from catalens.operators.metric import distribution, long_form, metric_block, quantile_columns, rows_of, value_positions
 
 
 def census_overview(versions: DataFrame, latest: DataFrame) -> DataFrame:
@@ -120,8 +120,9 @@ def publishing_timeline(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 def count_distribution(df: DataFrame, c: str, names=("versions_published", "servers", "servers_pct")) -> DataFrame:
     """Frequency of frequencies."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(names[0])).agg(F.count(F.lit(1)).alias(names[1]))
-    return counts.withColumn(names[2], pct(F.col(names[1]), rows_of(df))).orderBy(names[0])
+    counts = df.groupBy(F.col(c).alias(names[0])).agg(F.count(F.lit(1)).alias(names[1]))
+    shared = counts.withColumn(names[2], pct(F.col(names[1]), F.sum(names[1]).over(Window.partitionBy())))
+    return shared.where(F.col(names[0]).isNotNull()).orderBy(names[0])
 
 
 def capped_histogram(df: DataFrame, c: str, cap: int = 20, names=("bucket", "rows")) -> DataFrame:
@@ -151,9 +152,11 @@ def description_issues(df: DataFrame, description: str, title: str) -> DataFrame
 def description_stats(df: DataFrame, description: str) -> DataFrame:
     """Mean, median and 90th percentile of the length, mean word count."""
     lengths = df.select(F.length(text_or_empty(description)).alias("len"), word_count(description).alias("words"))
-    means = lengths.agg(F.avg("len").alias("mean_len"), F.avg("words").alias("mean_words"))
-    quantiles = exact_quantiles(lengths, "len", {"p50": 0.5, "p90": 0.9})
-    wide = means.select("*", quantiles.select(F.struct("p50", "p90")).scalar().alias("q")).select("*", "q.*")
+    picks, quantiles = quantile_columns({"p50": 0.5, "p90": 0.9})
+    rows = F.sum("c").cast("double")
+    wide = value_positions(lengths, "len", sums={"words": F.col("words")}).agg(
+        F.max("n").alias("n"), (F.sum(F.col("v") * F.col("c")) / rows).alias("mean_len"), (F.sum("words") / rows).alias("mean_words"), *picks
+    ).select("mean_len", "mean_words", *quantiles)
     cells = [
         ("description length (chars)", (F.bround("mean_len", 1),)),
         ("description length p50", (F.bround("p50", 1),)),
@@ -180,7 +183,7 @@ def naming_conventions(df: DataFrame, name: str) -> DataFrame:
 
 
 def group_compare(df: DataFrame, predicates: dict[str, Column], value: str, flagged: Column) -> DataFrame:
-    """Size, median, mean and flagged share of overlapping groups, one row per predicate."""
+    """Size, median, mean and flagged share of overlapping groups, one row per predicate; zeros for an empty group."""
     labels = F.array_compact(F.array(*[F.when(p, F.lit(label)) for label, p in predicates.items()]))
     # Unfolding happens after the rows are reduced to (groups, value, flag) cells with counts.
     cells = (
@@ -188,18 +191,15 @@ def group_compare(df: DataFrame, predicates: dict[str, Column], value: str, flag
         .groupBy("labels", "v", "hit").agg(F.count(F.lit(1)).alias("c"))
         .select(F.explode("labels").alias("group"), "v", "hit", "c")
     )
-    return (
-        cells.groupBy("group", "v").agg(
-            F.sum("c").alias("c"), F.sum(F.when(F.col("hit"), F.col("c")).otherwise(0)).alias("hits")
-        )
-        .groupBy("group")
-        .agg(
-            F.sum("c").alias("servers"),
-            F.percentile("v", 0.5, F.col("c")).alias("median_versions"),
-            F.bround(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 2).alias("mean_versions"),
-            pct(F.sum("hits"), F.sum("c")).alias("share_deprecated_pct"),
-        )
-    )
+    picks, quantiles = quantile_columns({"median_versions": 0.5})
+    hits = F.when(F.col("hit"), F.col("c")).otherwise(0)
+    placed = value_positions(cells, "v", ["group"], weight="c", sums={"hits": hits})
+    found = placed.groupBy("group").agg(
+        F.max("n").alias("n"), F.sum("c").alias("servers"), F.sum(F.col("v") * F.col("c")).alias("total"), F.sum("hits").alias("hits"), *picks
+    ).select("group", "servers", *quantiles, F.bround(F.col("total") / F.col("servers"), 2).alias("mean_versions"),
+             pct("hits", "servers").alias("share_deprecated_pct"))
+    labelled = df.sparkSession.createDataFrame([(label,) for label in predicates], "group string")
+    return labelled.join(found, "group", "left").na.fill(0)
 
 
 def endpoint_hygiene(df: DataFrame, url: str, key: str, strict_compat: bool = False) -> DataFrame:
@@ -269,12 +269,12 @@ def release_gaps(df: DataFrame, key: str, ts: str, bucket: str = "yyyy-MM-dd") -
 def release_cadence(df: DataFrame, key: str, ts: str) -> DataFrame:
     """Gap statistics: number, mean, median, 90th percentile, short and long gaps."""
     gaps = release_gaps(df, key, ts)
-    quantiles = exact_quantiles(gaps, "gap_days", {"p50": 0.5, "p90": 0.9})
-    wide = gaps.agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg("gap_days").alias("mean"),
-        F.count_if(F.col("gap_days") < 1).cast("double").alias("short"),
-        F.count_if(F.col("gap_days") > 180).cast("double").alias("long"),
-    ).select("*", quantiles.select(F.struct("p50", "p90")).scalar().alias("q")).select("*", "q.*")
+    picks, quantiles = quantile_columns({"p50": 0.5, "p90": 0.9})
+    counted = lambda when: F.coalesce(F.sum(F.when(when, F.col("c"))), F.lit(0)).cast("double")
+    wide = value_positions(gaps, "gap_days").agg(
+        counted(F.lit(True)).alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
+        counted(F.col("v") < 1).alias("short"), counted(F.col("v") > 180).alias("long"), *picks,
+    ).select("n", "mean", "short", "long", *quantiles)
     cells = [
         ("release-to-release gaps", (F.col("n"),)),
         ("mean gap (days)", (F.bround("mean", 1),)),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalens import fixed_values as fx
 from catalens.functions.numeric import pct
 from catalens.functions.text import list_count, text_or_empty
 from catalens.functions.vocab import auth_family, classify_evidence, classify_miss, normalize_bool, to_int
-from catalens.operators.metric import long_form, rows_of
+from catalens.operators.metric import long_form
 
 
 def _trimmed(c: str) -> Column:
@@ -129,7 +129,7 @@ def crosstabs(df: DataFrame, fields: list[str], names=("field", "value", "rows",
     entries = [F.struct(F.lit(f).alias(field), F.trim(text_or_empty(F.col(f).cast("string"))).alias(value)) for f in fields]
     return (
         df.select(F.inline(F.array(*entries))).groupBy(field, value).agg(F.count(F.lit(1)).alias(rows))
-        .withColumn(share, pct(rows, rows_of(df)))
+        .withColumn(share, pct(rows, F.sum(rows).over(Window.partitionBy(field))))  # every row has each field once
     )
 
 
@@ -141,7 +141,7 @@ def rates_by(df: DataFrame, stratum: str, rates: dict[str, Column], count: str =
             F.count(F.lit(1)).alias(count),
             *[pct(F.count_if(c), F.count(F.lit(1))).alias(name) for name, c in rates.items()],
         )
-        .withColumn("share_pct", pct(count, rows_of(df)))
+        .withColumn("share_pct", pct(count, F.sum(count).over(Window.partitionBy())))
     )
 
 

@@ -72,11 +72,12 @@ def distribution(
     """Rows, distinct keys and share of rows per value of an attribute."""
     value, rows, keys, share = names
     base = df.select(col(attribute).alias(value), *([F.col(key).alias("_key")] if key else []))
-    if drop_null:
-        base = base.where(F.col(value).isNotNull())
-    aggs = [F.count(F.lit(1)).alias(rows)] + ([F.count_distinct("_key").alias(keys)] if key else [])
-    total = rows_of(df) if total is None else total
-    return base.groupBy(value).agg(*aggs).withColumn(share, pct(F.col(rows), total))
+    counted = F.when(F.col(value).isNotNull(), F.col("_key")) if drop_null else F.col("_key")
+    aggs = [F.count(F.lit(1)).alias(rows)] + ([F.count_distinct(counted).alias(keys)] if key else [])
+    # The rows without a value are one more group, so the total comes from the groups and the data is read once.
+    total = F.sum(rows).over(Window.partitionBy()) if total is None else total
+    shared = base.groupBy(value).agg(*aggs).withColumn(share, pct(F.col(rows), total))
+    return shared.where(F.col(value).isNotNull()) if drop_null else shared
 
 
 def magnitude_bin(c: Column) -> Column:
@@ -85,18 +86,18 @@ def magnitude_bin(c: Column) -> Column:
     return F.when(c == 0, 0).when(c > 0, size).otherwise(-size).cast("bigint")
 
 
-def value_positions(df: DataFrame, value, by: Sequence[str] = (), weight=None) -> DataFrame:
+def value_positions(df: DataFrame, value, by: Sequence[str] = (), weight=None, sums: dict[str, Column] | None = None) -> DataFrame:
     """Distinct values with their count, the rows below them and the group size.
 
     The running count is built in two levels (offsets per bin, then inside each bin), so the sorted
-    domain is never gathered into one task: the top level holds bins, not rows.
+    domain is never gathered into one task: the top level holds bins, not rows. `sums` are added up per value.
     """
-    by = list(by)
+    by, sums = list(by), sums or {}
     weight = F.lit(1) if weight is None else col(weight)
     counted = (
         df.where(col(value).isNotNull())
         .groupBy(*by, col(value).cast("double").alias("v"))
-        .agg(F.sum(weight.cast("bigint")).alias("c"))
+        .agg(F.sum(weight.cast("bigint")).alias("c"), *[F.sum(c).alias(name) for name, c in sums.items()])
         .withColumn("bin", magnitude_bin(F.col("v")))
     )
     whole = Window.partitionBy(*by)
@@ -112,14 +113,20 @@ def value_positions(df: DataFrame, value, by: Sequence[str] = (), weight=None) -
     return (
         counted.join(bins, [*by, "bin"])
         .withColumn("below", F.col("offset") + F.coalesce(F.sum("c").over(inside), F.lit(0)))
-        .select(*by, "v", "c", "below", "n")
+        .select(*by, "v", "c", "below", "n", *sums)
     )
 
 
 def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles, one column per entry of `probabilities`; a row per group."""
     by = list(by)
-    placed = value_positions(df, value, by)
+    picks, results = quantile_columns(probabilities)
+    out = value_positions(df, value, by).groupBy(*by).agg(F.max("n").alias("n"), *picks)
+    return out.select(*by, *results)
+
+
+def quantile_columns(probabilities: dict[str, float]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over value positions, and the quantiles made of them next to a column n of the group size."""
     picks = []
     for name, p in probabilities.items():
         rank = F.lit(float(p)) * (F.col("n") - 1)
@@ -127,10 +134,9 @@ def exact_quantiles(df: DataFrame, value, probabilities: dict[str, float], by: S
         for suffix, at in (("lo", low), ("hi", high)):
             hit = (F.col("below") <= at) & (at < F.col("below") + F.col("c"))
             picks.append(F.max(F.when(hit, F.col("v"))).alias(f"{name}_{suffix}"))
-    out = placed.groupBy(*by).agg(F.max("n").alias("n"), *picks)
     results = []
     for name, p in probabilities.items():
         rank = F.lit(float(p)) * (F.col("n") - 1)
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         results.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
-    return out.select(*by, *results)
+    return picks, results

@@ -498,11 +498,13 @@ def by_language(s, d):
 
 
 @Q.add("group_compare", "A35", """
-SELECT "group", count(*) AS servers, median(version_count)::DOUBLE AS median_versions, round_even(avg(version_count), 2) AS mean_versions,
+WITH g AS (SELECT "group", count(*) AS servers, median(version_count)::DOUBLE AS median_versions, round_even(avg(version_count), 2) AS mean_versions,
  round_even(100.0::DOUBLE * count(*) FILTER (status = 'deprecated') / count(*), 1) AS share_deprecated_pct FROM (SELECT l.*, unnest(list_filter([
  CASE WHEN has_repository THEN 'declares a repository' END, CASE WHEN NOT has_repository THEN 'does not declare a repository' END, CASE WHEN has_packages THEN 'ships a package' END,
  CASE WHEN NOT has_packages THEN 'hosted only (no package)' END, CASE WHEN title IS NOT NULL THEN 'has a title' END, CASE WHEN title IS NULL THEN 'has no title' END],
- lambda x: x IS NOT NULL)) AS "group" FROM latest_counts l) GROUP BY 1""")
+ lambda x: x IS NOT NULL)) AS "group" FROM latest_counts l) GROUP BY 1)
+SELECT "group", coalesce(servers, 0) AS servers, coalesce(median_versions, 0) AS median_versions, coalesce(mean_versions, 0) AS mean_versions, coalesce(share_deprecated_pct, 0) AS share_deprecated_pct
+FROM (VALUES ('declares a repository'), ('does not declare a repository'), ('ships a package'), ('hosted only (no package)'), ('has a title'), ('has no title')) v("group") LEFT JOIN g USING ("group")""")
 def group_compare(s, d):
     return ce.group_compare(latest(s, d), {
         "declares a repository": F.col("has_repository"), "does not declare a repository": ~F.col("has_repository"),
