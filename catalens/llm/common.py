@@ -14,7 +14,7 @@ from catalens.session import materialise
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows per Arrow batch: texts can be long, so batches stay small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 __all__ = ["BATCH_ROWS", "WORD", "batched", "lower_words", "ship_with_tasks", "stored", "table", "unit", "word_count", "words_in"]
 

@@ -37,7 +37,7 @@ def shingle_sets(texts: list[bytes | None], seen: dict[bytes, int], width: int =
     A text of fewer words has its whole word sequence as the one shingle, a text without words or null an empty set.
     """
     words = [lower_words(t) for t in texts]
-    if len(seen) > 500_000:
+    if len(seen) > 150_000:
         seen.clear()
     for w in set().union(*words).difference(seen):
         seen[w] = xxh3_64_intdigest(w)

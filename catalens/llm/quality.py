@@ -41,7 +41,7 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 def token_hashes(texts: list[str | None], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every token of the texts one after the other, and the number of tokens of each text."""
     found = [TOKENS.findall(t) if t else [] for t in texts]
-    if len(seen) > 500_000:
+    if len(seen) > 150_000:
         seen.clear()
     for token in set().union(*found).difference(seen):
         seen[token] = zlib.crc32(token.encode("utf-8", "surrogatepass"))

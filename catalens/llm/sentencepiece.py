@@ -29,9 +29,9 @@ ship_with_tasks(__name__)
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Words and pairs of pieces a task remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters of documents whose distinct words are sorted together.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 #: Loss of score for a character no piece covers, below the least piece score, as unigram models count it.
 UNKNOWN_LOSS = 10.0
 

@@ -39,24 +39,25 @@ STRENGTH = 1.0
 #: A class has a probability of its own where its count is this many standard deviations off what is shared.
 DEVIATIONS = 4.5
 #: Word scores a task remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Words are runs of letters; in Spark's and Python's terms the same characters.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class ToxicityModel:
-    """grams: log-probabilities (toxic, ordinary) of seen grams; back: of leaving a context for the
-    shared model; shared: lower orders."""
+    """grams: log-probability of seen grams in both classes; own: (toxic, ordinary) where they differ; back: of leaving a
+    context for the shared model; shared: lower orders."""
 
-    grams: dict[str, tuple[float, float]]
+    grams: dict[str, float]
+    own: dict[str, tuple[float, float]]
     back: dict[str, float]
     shared: dict[str, float]
     shared_back: dict[str, float]
     floor: float
     slope: float = 1.0
     offset: float = 0.0
-    seen: dict[str, tuple[float, float, int]] = field(default_factory=dict, repr=False)
+    seen: dict[str, tuple[float, float]] = field(default_factory=dict, repr=False)
 
     def letter(self, gram: str) -> float:
         """Log-probability of the last letter of a gram after the others, in the shared model."""
@@ -67,18 +68,22 @@ class ToxicityModel:
             return self.floor
         return self.shared_back.get(gram[:-1], 0.0) + self.letter(gram[1:])
 
-    def word(self, word: str) -> tuple[float, float, int]:
-        """Toxic and ordinary log-likelihood of a word and its number of predicted letters, the end mark included."""
+    def word(self, word: str) -> tuple[float, float]:
+        """Toxic and ordinary log-likelihood of a word's letters and its end mark."""
         marked, toxic, ordinary = f"<{word}>", 0.0, 0.0
         for end in range(2, len(marked) + 1):
             gram = marked[max(0, end - ORDER):end]
+            own = self.own.get(gram)
+            if own is not None:
+                toxic += own[0]
+                ordinary += own[1]
+                continue
             both = self.grams.get(gram)
             if both is None:
-                low = self.letter(gram[1:])
-                both = (self.back.get(gram[:-1], 0.0) + low,) * 2
-            toxic += both[0]
-            ordinary += both[1]
-        return toxic, ordinary, len(marked) - 1
+                both = self.back.get(gram[:-1], 0.0) + self.letter(gram[1:])
+            toxic += both
+            ordinary += both
+        return (toxic, toxic) if toxic == ordinary else (toxic, ordinary)
 
     def document(self, text: str | None) -> tuple[float, float, int]:
         """Sums over all words of the whole text."""
@@ -90,10 +95,10 @@ class ToxicityModel:
             seen[w] = self.word(w)
         toxic, ordinary, letters = 0.0, 0.0, 0
         for w in words:
-            a, b, n = seen[w]
+            a, b = seen[w]
             toxic += a
             ordinary += b
-            letters += n
+            letters += len(w) + 1
         return toxic, ordinary, letters
 
     def score(self, evidence: float) -> float:
@@ -148,7 +153,7 @@ def _smooth(counts: dict[str, tuple[int, int]]) -> ToxicityModel:
             probability[gram] = (n - DISCOUNT + DISCOUNT * kinds[ctx] * probability[gram[1:]]) / mass[ctx]
         shared_back |= {ctx: math.log(DISCOUNT * kinds[ctx] / mass[ctx]) for ctx in mass}
     shared = {g: math.log(p) for g, p in probability.items()}
-    model = ToxicityModel({}, {}, shared, shared_back, math.log(floor))
+    model = ToxicityModel({}, {}, {}, shared, shared_back, math.log(floor))
     mass, kinds = defaultdict(lambda: [0, 0]), defaultdict(int)
     for gram, pair in counts.items():
         kinds[gram[:-1]] += 1
@@ -159,7 +164,9 @@ def _smooth(counts: dict[str, tuple[int, int]]) -> ToxicityModel:
         n, low = mass[gram[:-1]], math.exp(model.letter(gram[1:]))
         both = (max(sum(pair) - DISCOUNT, 0.0) + DISCOUNT * kinds[gram[:-1]] * low) / sum(n)
         own = [math.log((max(pair[c] - DISCOUNT, 0.0) + STRENGTH * both) / (n[c] + STRENGTH)) for c in (0, 1)]
-        model.grams[gram] = tuple(own) if _departs(pair, n, own) else (math.log(both),) * 2
+        model.grams[gram] = math.log(both)
+        if _departs(pair, n, own):
+            model.own[gram] = tuple(own)
     return model
 
 
@@ -206,7 +213,7 @@ def evidence_of(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
     import pyarrow as pa
 
     spark = batched(docs.sparkSession)
-    shipped = spark.sparkContext.broadcast((model.grams, model.back, model.shared, model.shared_back, model.floor))
+    shipped = spark.sparkContext.broadcast((model.grams, model.own, model.back, model.shared, model.shared_back, model.floor))
     kept = docs.select(*keep).schema
     schema = T.StructType([*kept.fields, T.StructField("toxic_ll", T.DoubleType()), T.StructField("ordinary_ll", T.DoubleType()),
                            T.StructField("letters", T.LongType())])

@@ -51,13 +51,14 @@ def test_toxicity_sums_equal_a_plain_evaluation(corpus):
     _, docs, labels = corpus
     model = toxicity.fit(labelled(docs, labels, "toxic", F.lit(True), 1000))
     text = "Zorgan the rolimer, unseen XYZ ñandú"
-    by_word = [model.word(w) for w in ("zorgan", "the", "rolimer", "unseen", "xyz", "ñandú")]
+    by_word = [(*model.word(w), len(w) + 1) for w in ("zorgan", "the", "rolimer", "unseen", "xyz", "ñandú")]
     assert model.document(text) == pytest.approx(tuple(map(sum, zip(*by_word))))
+    assert model.word("zorgan")[0] > model.word("zorgan")[1] + 2 and model.word("unseen")[0] == model.word("unseen")[1]
     assert model.document(None) == model.document("12 !!") == (0.0, 0.0, 0)
     # Both classes' probabilities of the letters after a seen context sum to at most one.
     context = "<th"
-    total = [sum(math.exp(p[c]) for g, p in model.grams.items() if g[:-1] == context) for c in (0, 1)]
-    assert all(0.5 < t < 1.2 for t in total)
+    total = sum(math.exp(p) for g, p in model.grams.items() if g[:-1] == context)
+    assert 0.5 < total <= 1.0
 
 
 def test_quality_on_held_out_rows(corpus):
