@@ -90,7 +90,8 @@ def test_signature_is_the_least_offer_of_all_permutations():
 
 def test_linked_at_the_edge():
     a = np.arange(100, dtype=np.uint64)
-    assert linked(a, a[:75]) and not linked(a, a[:74]) and not linked(a[:75], np.append(a[:74], np.uint64(500)) + np.uint64(2))
+    assert linked(a, a[:75]) and not linked(a, a[:74])
+    assert linked(a[:80], a[10:90]) and not linked(a[:80], a[12:92]) and linked(a[12:92], a[10:90])
 
 
 def test_components_of_chains_and_stars(spark):
