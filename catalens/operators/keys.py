@@ -166,10 +166,14 @@ def disagreements(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.where(~F.col(a).eqNullSafe(F.col(b)))
 
 
-def extractor_agreement(a: DataFrame, b: DataFrame, key: str, item: str, names: int = 12) -> DataFrame:
+def extractor_agreement(
+    a: DataFrame, b: DataFrame, key: str, item: str, names: int = 12, scanned: DataFrame | None = None
+) -> DataFrame:
     """Two extractors compared as sets per key: sizes, one-sided counts and the first one-sided names.
 
-    Comparable means that the second extractor looked at the key at all; otherwise its columns stay empty.
+    Comparable means that the second extractor looked at the key at all; otherwise its columns stay empty. `scanned` says
+    so for every key in question (key, parsed), also for keys where neither found anything; without it, a key counts as
+    looked at if the second extractor found something.
     """
     tagged = a.select(key, item, F.lit(True).alias("_in_a")).unionByName(
         b.select(key, item, F.lit(False).alias("_in_a"))
@@ -192,6 +196,9 @@ def extractor_agreement(a: DataFrame, b: DataFrame, key: str, item: str, names:
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("_b"), F.col(item)))), "|").alias("only_b_names"),
     )
     known = F.col("comparable")
+    if scanned is not None:
+        sizes = scanned.select(key, F.col("parsed").alias("comparable")).join(sizes.drop("comparable"), key, "left").na.fill(
+            0, ["items_a", "items_b", "only_a", "only_b"])
     return sizes.join(listed, key, "left").select(
         key, "comparable", "items_a",
         F.when(known, F.col("items_b")).alias("items_b"),

@@ -162,15 +162,16 @@ view("strict", """
 SELECT package_key, path, u.* FROM files, LATERAL (VALUES ('delta_' || i, 'strict_decorator'),
   ('eps_' || source, 'strict_decorator'), ('zeta_' || i, 'strict_ctor')) u(tool_name, extraction_pattern) WHERE lang = 'de'""", "files")
 view("agreed", """
-SELECT package_key, bool_or(b) AS comparable, count(*) FILTER (a AND tool_name IS NOT NULL) AS items_a,
-  CASE WHEN bool_or(b) THEN count(*) FILTER (b AND tool_name IS NOT NULL) END AS items_b,
-  CASE WHEN bool_or(b) THEN count(*) FILTER (a AND NOT b AND tool_name IS NOT NULL) ELSE 0 END AS only_a,
-  CASE WHEN bool_or(b) THEN count(*) FILTER (b AND NOT a AND tool_name IS NOT NULL) ELSE 0 END AS only_b,
-  CASE WHEN bool_or(b) THEN coalesce(array_to_string(list_slice(list(tool_name ORDER BY tool_name) FILTER (a AND NOT b), 1, 12), '|'), '') ELSE '' END AS only_a_names,
-  CASE WHEN bool_or(b) THEN coalesce(array_to_string(list_slice(list(tool_name ORDER BY tool_name) FILTER (b AND NOT a), 1, 12), '|'), '') ELSE '' END AS only_b_names
-FROM (SELECT package_key, tool_name, bool_or(side = 'a') AS a, bool_or(side = 'b') AS b FROM (
-  SELECT package_key, tool_name, 'a' AS side FROM tools UNION ALL SELECT package_key, tool_name, 'b' FROM strict) GROUP BY 1, 2) GROUP BY 1""",
-     "tools", "strict")
+SELECT package_key, parsed AS comparable, count(tool_name) FILTER (a) AS items_a,
+  CASE WHEN parsed THEN count(tool_name) FILTER (b) END AS items_b,
+  CASE WHEN parsed THEN count(tool_name) FILTER (a AND NOT b) ELSE 0 END AS only_a,
+  CASE WHEN parsed THEN count(tool_name) FILTER (b AND NOT a) ELSE 0 END AS only_b,
+  CASE WHEN parsed THEN coalesce(array_to_string(list_slice(list(tool_name ORDER BY tool_name) FILTER (a AND NOT b), 1, 12), '|'), '') ELSE '' END AS only_a_names,
+  CASE WHEN parsed THEN coalesce(array_to_string(list_slice(list(tool_name ORDER BY tool_name) FILTER (b AND NOT a), 1, 12), '|'), '') ELSE '' END AS only_b_names
+FROM (SELECT package_key, bool_or(language = 'python') AS parsed FROM files GROUP BY 1) LEFT JOIN (
+  SELECT package_key, tool_name, bool_or(side = 'a') AS a, bool_or(side = 'b') AS b FROM (
+  SELECT package_key, tool_name, 'a' AS side FROM tools UNION ALL SELECT package_key, tool_name, 'b' FROM strict) GROUP BY 1, 2) USING (package_key) GROUP BY 1, 2""",
+     "tools", "strict", "files")
 view("signals", """
 SELECT l.name, l.version_count AS a, coalesce(e.n, 0) AS b FROM latest_counts l
 LEFT JOIN (SELECT name, count(*) AS n FROM versions WHERE price > 200000 GROUP BY name) e USING (name) WHERE l.has_repository""",

@@ -208,15 +208,18 @@ def tools_and_strict(s, d):
 
 
 def stored_tools_and_strict(s, d):
-    """Both extractors' results as written tables, for comparisons that read them several times."""
-    _, tools, strict = tools_and_strict(s, d)
-    return materialise(tools.select("package_key", "tool_name"), "tools"), materialise(strict.select("package_key", "tool_name"), "strict")
+    """Both extractors' results as written tables, for comparisons that read them several times, and the packages
+    scanned with whether the second extractor, which reads Python only, could parse any of their files."""
+    files, tools, strict = tools_and_strict(s, d)
+    scanned = files.groupBy("package_key").agg(F.bool_or(F.col("language") == "python").alias("parsed"))
+    return (materialise(tools.select("package_key", "tool_name"), "tools"),
+            materialise(strict.select("package_key", "tool_name"), "strict"), scanned)
 
 
 @Q.add("extractor_agreement", "J12", "SELECT * FROM agreed")
 def extractor_agreement(s, d):
-    tools, strict = stored_tools_and_strict(s, d)
-    return k.extractor_agreement(tools, strict, "package_key", "tool_name")
+    tools, strict, scanned = stored_tools_and_strict(s, d)
+    return k.extractor_agreement(tools, strict, "package_key", "tool_name", scanned=scanned)
 
 
 @Q.add("extractor_agreement_links", "J12", """

@@ -541,8 +541,8 @@ SELECT u.metric, u.v::DOUBLE AS value FROM l, LATERAL (VALUES ('validation sampl
  ('estimated recall on comparable packages (%)', round_even(100.0::DOUBLE * (b - ob)::DOUBLE / greatest(1, b)::DOUBLE, 1)),
  ('candidate false positive rate (%)', round_even(100.0::DOUBLE * oa::DOUBLE / greatest(1, a)::DOUBLE, 1))) u(metric, v)""")
 def extraction_quality(s, d):
-    tools, strict = stored_tools_and_strict(s, d)
-    return it.extraction_quality(k.extractor_agreement(tools, strict, "package_key", "tool_name"))
+    tools, strict, scanned = stored_tools_and_strict(s, d)
+    return it.extraction_quality(k.extractor_agreement(tools, strict, "package_key", "tool_name", scanned=scanned))
 
 
 # --- hand-coded sheets ----------------------------------------------------------------------------

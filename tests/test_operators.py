@@ -49,6 +49,10 @@ def test_extractor_agreement_sizes_add_up(spark):
     assert p.items_a - p.only_a == p.items_b - p.only_b
     assert (got["q"].comparable, got["q"].items_b, got["q"].only_a) == (False, None, 0)
     assert (got["r"].comparable, got["r"].items_a, got["r"].items_b) == (True, 0, 0)
+    scanned = spark.createDataFrame([("p", True), ("q", True), ("s", True), ("t", False)], "k string, parsed boolean")
+    got = {r.k: r for r in k.extractor_agreement(a, b, "k", "i", scanned=scanned).collect()}
+    assert (got["q"].items_a, got["q"].items_b, got["q"].only_a, got["q"].only_a_names) == (1, 0, 1, "z")  # a pure false positive
+    assert (got["s"].items_a, got["s"].items_b) == (0, 0) and got["t"].items_b is None and set(got) == {"p", "q", "s", "t"}
 
 
 def test_siblings_exclude_self(spark):
