@@ -104,23 +104,31 @@ _SHEET = ["item_id", "part", "quality", "toxic", "notes"]
 
 
 @Q.add("read_coded_csv", "S4", """
-SELECT doc_id::VARCHAR AS item_id, lang AS part, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic, 'seen, twice' AS notes FROM raters""")
+SELECT doc_id::VARCHAR AS item_id, lang AS part, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic, 'seen,' || chr(10) || '"twice"' AS notes FROM raters""")
 def read_coded_csv(s, d):
-    path = scratch_dir(s, "sheet")
-    r = b.raters(s, d)
-    line = F.concat_ws(",", F.col("doc_id").cast("string"), "lang", F.concat(F.lit(" "), F.col("quality").cast("string")), F.col("toxic").cast("string"), F.lit('"seen, twice"'))
-    fence = s.createDataFrame([("\ufeff```csv",), ("",), ("\ufeff" + ",".join(_SHEET),), ("```",)], "value string")
-    r.select(line.alias("value")).unionByName(fence).write.text(path)
+    """Sheets of a thousand ids, every other one with its columns in reverse, fenced, marked and with line breaks in cells."""
+    path = scratch_dir(s, "sheets")
+    cells = F.array(F.col("doc_id").cast("string"), "lang", F.concat(F.lit(" "), F.col("quality").cast("string")),
+                    F.col("toxic").cast("string"), F.lit('"seen,\n""twice"""'))
+    header, sheet = F.array(*[F.lit(c) for c in _SHEET]), F.floor(F.col("doc_id") / 1000)
+    ordered = lambda c: F.array_join(F.when(F.col("sheet") % 2 == 0, c).otherwise(F.reverse(c)), ",")
+    lines = b.raters(s, d).select(sheet.alias("sheet"), cells.alias("cells")).withColumn("line", ordered(F.col("cells")))
+    texts = lines.groupBy("sheet").agg(F.concat(
+        F.lit("\ufeff```csv\n\n"), ordered(header), F.lit("\r\n"), F.array_join(F.collect_list("line"), "\r\n"), F.lit("\n```")).alias("value"))
+    texts.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return rd.read_coded_csv(s, path, _SHEET)
 
 
 @Q.add("repair_arity", "S5", """
 SELECT doc_id::VARCHAR AS a, CASE WHEN lang = 'en' THEN 'B' ELSE 'C' END AS b, quality::VARCHAR AS c, CASE WHEN lang = 'en' THEN toxic::VARCHAR ELSE '' END AS d,
- CASE WHEN lang = 'en' THEN '' ELSE toxic::VARCHAR END AS e, lang <> 'en' AS repaired FROM raters""")
+ CASE WHEN lang = 'en' THEN '' ELSE toxic::VARCHAR END AS e, lang NOT IN ('en', 'fr') AS repaired, CASE WHEN lang = 'fr' THEN 'more|cells' ELSE '' END AS surplus FROM raters""")
 def repair_arity(s, d):
     part = F.when(F.col("lang") == "en", "B").otherwise("C")
-    lines = b.raters(s, d).select(F.concat_ws(",", F.col("doc_id").cast("string"), part, F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("line"))
-    return rd.repair_arity(lines, "line", ["a", "b", "c", "d", "e"], 3, F.get("cells", 1) == "C")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), part, F.col("quality").cast("string"), F.when(F.col("lang") == "fr", F.lit("")),
+                       F.col("toxic").cast("string"))
+    lines = b.raters(s, d).select(F.concat(line, F.when(F.col("lang") == "fr", F.lit(",more,cells")).otherwise(F.lit(""))).alias("line"))
+    repaired = rd.repair_arity(lines, "line", ["a", "b", "c", "d", "e"], 3, F.get("cells", 1) == "C")
+    return repaired.withColumn("surplus", F.array_join("surplus", "|"))
 
 
 _TABLE = "SELECT l_returnflag, l_linestatus, count(*) AS lines, round_even(avg(l_quantity), 1) AS mean_quantity FROM lineitem GROUP BY 1, 2"

@@ -17,14 +17,18 @@ def test_malformed_lines_are_split_off(spark, tmp_path):
 
 def test_coded_sheet_with_mark_fences_and_quotes(spark, tmp_path):
     (tmp_path / "s.csv").write_text('\ufeff```csv\n\nid,note\n1,"a, b"\r\n2,\n```\n', encoding="utf-8")
-    assert sorted(map(tuple, rd.read_coded_csv(spark, str(tmp_path / "s.csv"), ["id", "note"]).collect())) == [("1", "a, b"), ("2", "")]
+    (tmp_path / "t.csv").write_text('note,x, "id" \n"two\n\nlines, ""q""",9,3\n', encoding="utf-8")
+    (tmp_path / "u.csv").write_text("", encoding="utf-8")
+    assert sorted(map(tuple, rd.read_coded_csv(spark, str(tmp_path), ["id", "note", "none"]).collect())) == [
+        ("1", "a, b", ""), ("2", "", ""), ("3", 'two\n\nlines, "q"', "")]
 
 
 def test_arity_repair(spark):
-    df = spark.createDataFrame([("1,C,x,y",), ("2,B,x,y",), ("3,C",), ("4,C,x,,y",)], "line string")
+    df = spark.createDataFrame([("1,C,x,y",), ("2,B,x,y",), ("3,C",), ("4,C,x,,y",), ("5,C,x,,y,z,w",)], "line string")
     out = rd.repair_arity(df, "line", ["i", "p", "a", "b", "c"], 2, F.get("cells", 1) == "C")
     assert [tuple(r) for r in out.orderBy("i").collect()] == [
-        ("1", "C", "", "x", "y", True), ("2", "B", "x", "y", "", False), ("3", "C", "", "", "", False), ("4", "C", "x", "", "y", False)]
+        ("1", "C", "", "x", "y", True, []), ("2", "B", "x", "y", "", False, []), ("3", "C", "", "", "", False, []),
+        ("4", "C", "x", "", "y", False, []), ("5", "C", "x", "", "y", False, ["z", "w"])]
 
 
 def test_request_key_equals_form_encoding(spark):
