@@ -30,11 +30,13 @@ ship_with_tasks(__name__)
 #: Frequent words of the network, the end of a text included.
 FREQUENT = 1024
 #: Tokens of a block, about; a longer document is a block of its own.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 4_000_000
 #: Documents of the bounded first training, the first in hash order.
 WARM_DOCUMENTS = 400
 #: One of so many training documents takes part in the averaged training, in every partition.
 TRAIN_SHARE = 16
+#: Tokens a copy of the network is trained on at a time.
+TRAIN_TOKENS = 400_000
 #: Weight vectors averaged by one task, and by the driver.
 AVERAGED = 64
 
@@ -112,7 +114,7 @@ def _trained(docs: DataFrame, weights: dict, frequent: dict[bytes, int], passes:
             for text in batch.column(0).to_pylist():
                 texts.append(_symbols(lower_words(text), known, len(known) + 1, seen))
                 pending += len(texts[-1])
-                if pending >= BLOCK_TOKENS // 4:
+                if pending >= TRAIN_TOKENS:
                     p, tokens, texts, pending = gru.train(p, texts, passes, rate), tokens + pending, [], 0
                     seen.clear()
         p, tokens = gru.train(p, texts, passes, rate), tokens + pending
