@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catalens.llm.common import stored
+
 #: Characters of a paragraph piece.
 PIECE = 300
 #: Least cells of a sketch; a sketch's cells are a multiple of three.
@@ -169,8 +171,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     tops = ranged.groupBy("_range").agg(F.max("doc_id").alias("_top"))
     before = (tops.withColumn("_to", F.lag("_range").over(Window.orderBy(F.desc("_range"))))
               .withColumn("_to", F.coalesce("_to", F.min("_range").over(Window.partitionBy()))))
-    joined = ranged.join(F.broadcast(before.withColumnRenamed("_range", "_r")), (F.col("_range") == F.col("_r"))
-                         & F.col("doc_id").eqNullSafe(F.col("_top")))  # a row per range, of RANGE_ROWS rows each
+    # A row per RANGE_ROWS documents: stored, so that the planner broadcasts it only while it is small.
+    before = stored(before.withColumnRenamed("_range", "_r"), "range-tops")
+    joined = ranged.join(before, (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_top")))
     first = (joined.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).filter("_n = 1")
              .withColumn("_range", F.col("_to")).select(*ranged.columns).withColumn("_copy", F.lit(1)))
     rows = ranged.withColumn("_copy", F.lit(0)).union(first)
