@@ -27,14 +27,14 @@ def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(text_or_empty(c), r"(?U)\s+", " "))
 
 
-def clean_description(c, cap: int = fx.DESCRIPTION_CAP) -> Column:
-    """Resolve string escapes, squeeze whitespace and keep at most `cap` characters."""
+def clean_description(c, cap: int | None = None) -> Column:
+    """Resolve string escapes and squeeze whitespace; a caller may keep at most `cap` characters."""
     out = text_or_empty(c)
     for escaped, plain in (
         ("\\n", " "), ("\\t", " "), ("\\r", " "), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\"),
     ):
         out = F.replace(out, F.lit(escaped), F.lit(plain))
-    return F.left(squeeze(out), F.lit(cap))
+    return squeeze(out) if cap is None else F.left(squeeze(out), F.lit(cap))
 
 
 def to_time(c) -> Column:

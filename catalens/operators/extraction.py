@@ -133,7 +133,7 @@ def _read_hits(found: DataFrame, keep: Sequence[str]) -> DataFrame:
         .when(literal, F.when(body != "", body).otherwise(F.concat(hit, after)).rlike(fx.JS_SCHEMA))
         .when(ctor, hit.rlike(fx.PY_SCHEMA_ARGUMENT)).otherwise(False).alias("has_schema"),
     )
-    description = F.when(ctor, F.left(text_or_empty("_own"), F.lit(600))).otherwise(
+    description = F.when(ctor, text_or_empty("_own")).otherwise(
         clean_description(F.coalesce("_own", "_inner"))
     )
     return described.select(

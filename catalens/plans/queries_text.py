@@ -84,7 +84,7 @@ def snippets(s, d):
 
 
 @Q.add("clean_description", "P21", f"""
-SELECT turn, conv_id, left({squeeze("replace(replace(text, '.', ' '), 'a', '\"')")}, 900) AS cleaned FROM conversations""")
+SELECT turn, conv_id, {squeeze("replace(replace(text, '.', ' '), 'a', '\"')")} AS cleaned FROM conversations""")
 def clean_description(s, d):
     escaped = F.replace(F.replace("text", F.lit("."), F.lit("\\n")), F.lit("a"), F.lit('\\"'))
     return b.table(s, d, "conversations").select("turn", "conv_id", tx.clean_description(escaped).alias("cleaned"))

@@ -92,3 +92,12 @@ def test_snippets_take_context_and_the_first_hits(spark):
     terms = spark.createDataFrame([("p", ["alpha", "beta"]), ("q", ["zzz"])], "package_key string, terms array<string>")
     got = [(r.path, r.line_no, r.snippet) for r in ex.snippets(src, terms, n=2).orderBy("rank").collect()]
     assert got == [("a.js", 2, "zero\none alpha\ntwo\nthree\nfour"), ("a.js", 6, "four\nfive alpha beta\nsix")]
+
+
+def test_long_definitions_are_found_whole(spark):
+    name, words = "n" * 300, "very long words " * 400
+    js = f'server.tool("{name}", "{words}", x)\nserver.registerTool("b", {{ description: "{words}", z: 1 }})\nconst t = {{ name: "c", {"k: 1, " * 900}description: "{words}" }}'
+    py = f'Tool({"a=1, " * 700}name="{name}", description="{words}")\n@app.tool({"b=2, " * 300}name="d", description="{words}")\ndef f(): pass\n'
+    src = files(spark, [("p", "npm", "a.js", js), ("p", "pypi", "b.py", py)])
+    got = {r.tool_name: len(r.tool_description) for r in ex.scan_files(ex.select_source_files(src), ["path"]).collect()}
+    assert set(got) == {name, "b", "c", "d"} and min(got.values()) >= len(words) - 1
