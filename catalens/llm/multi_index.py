@@ -141,7 +141,8 @@ def nearest_neighbours(rows: DataFrame, is_query: Column | str, k: int = 20, id_
     parts = np.maximum(1, -(-sizes // GROUP_ROWS))
 
     queries = index.filter(is_query).select(F.col("id").alias("query_id"), "vector")
-    enough = _visit_length(index, queries, books, weights, k, recall)
+    # At least k different vectors besides the query's own, so that k rows are found wherever there are as many.
+    enough = max(k + 2.0, _visit_length(index, queries, books, weights, k, recall))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

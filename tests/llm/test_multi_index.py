@@ -76,3 +76,10 @@ def test_odd_vectors_take_no_part(spark):
     for empty in (frame.limit(0), frame.filter("vec_id is null"), frame.filter("vec_id = 140")):
         assert mi.nearest_neighbours(empty, QUERY).count() == 0
     assert mi.nearest_neighbours(frame.filter("vec_id = 0"), QUERY).count() == 0
+
+
+def test_all_candidates_if_there_are_few(spark):
+    rng = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(0, 380, 19)], "vec_id long, embedding array<float>")
+    got = mi.nearest_neighbours(frame, QUERY).collect()
+    assert {r.query_id for r in got} == {0} and sorted(r["rank"] for r in got) == list(range(1, 20))
