@@ -165,19 +165,24 @@ def naming_conventions(s, d):
 @Q.add("name_flags", "P24, P11", """
 SELECT doc_id, name, split_part(name, '/', 1) AS namespace, split_part(name, '/', -1) AS local_part, contains(name, '_') AS underscore,
  regexp_matches(name, '[a-z][A-Z]') AS camel, contains(name, '-') AS dash, regexp_matches(name, '^[a-z]+[_-][a-z]') AS verb_noun
-FROM (SELECT doc_id, replace(left(text, 24), ' ', '_') AS name FROM documents)""")
+FROM (SELECT doc_id, replace(text, ' ', '_') AS name FROM documents)""")
 def name_flags(s, d):
-    named = b.table(s, d, "documents").select("doc_id", F.replace(F.left("text", F.lit(24)), F.lit(" "), F.lit("_")).alias("name"))
+    named = b.table(s, d, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("_")).alias("name"))
     return named.select("doc_id", "name", tx.name_parts("name").alias("p"), tx.identifier_flags("name").alias("f")).select(
         "doc_id", "name", "p.*", "f.*")
 
 
 # --- endpoints ------------------------------------------------------------------------------------
 @Q.add("url_flags", "P24", """
-SELECT page_id, nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1), '') AS scheme, nullif(regexp_extract(url, '://([^/:?#]+)', 1), '') AS host,
- starts_with(url, 'http:') AS plaintext, false AS bare_ip, false AS localhost FROM pages""")
+SELECT page_id, nullif(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1), '') AS scheme,
+ CASE page_id % 7 WHEN 0 THEN '10.1.2.3' WHEN 1 THEN 'localhost' ELSE nullif(regexp_extract(url, '://([^/:?#]+)', 1), '') END AS host,
+ starts_with(url, 'http:') AS plaintext, page_id % 7 = 0 AS bare_ip, page_id % 7 = 1 AS localhost FROM pages""")
 def url_flags(s, d):
-    return b.table(s, d, "pages").select(
+    """Pages, every seventh on a bare address and every seventh on the local host."""
+    host = F.when(F.col("page_id") % 7 == 0, "://10.1.2.3").when(F.col("page_id") % 7 == 1, "://localhost")
+    pages = b.table(s, d, "pages").withColumn(
+        "url", F.when(F.col("page_id") % 7 < 2, F.regexp_replace("url", F.lit("://[^/:?#]+"), host)).otherwise(F.col("url")))
+    return pages.select(
         "page_id", tx.url_scheme("url").alias("scheme"), tx.url_host("url").alias("host"), tx.url_flags("url").alias("f")
     ).select("page_id", "scheme", "host", "f.*")
 
