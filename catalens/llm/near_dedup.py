@@ -167,8 +167,6 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    # The planner may prefilter the wide side of a join by a bounded Bloom filter of the narrow side's keys.
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     source = docs.select("doc_id", "text")
     rows = stored(shingle_rows(source), "shingle-rows")
     named = rows.filter("doc_id is not null and n_shingles > 0")
@@ -177,9 +175,16 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     shared = banded.groupBy("key").agg(F.min("cid").alias("center"), F.max("cid").alias("last")).filter("center < last")
     members = stored(banded.join(shared, "key").select("key", "cid", "center").distinct(), "bucket-members")
     wanted = stored(members.select("cid").distinct(), "candidates")
-    # A comparison on the narrow side, true of every id, lets the planner make that filter.
+    # Whatever the size of the texts, the planner may prefilter them by a bounded Bloom filter of the wanted ids; the
+    # comparison on the narrow side, true of every id, lets it do so. The table is written here, so the setting goes back.
+    least = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(least)
+    spark.conf.set(least, "0")
     texts = source.join(wanted.filter(F.col("cid") >= F.lit(-(1 << 63))).withColumnRenamed("cid", "doc_id"), "doc_id")
-    sets = stored(shingle_set_table(texts).distinct(), "candidate-sets")
+    try:
+        sets = stored(shingle_set_table(texts).distinct(), "candidate-sets")
+    finally:
+        spark.conf.set(least, before)
     first = stored(confirmed(members.filter("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct(),
                              sets), "star-links")
     # The sets of a doc_id that several classes hold belong together.
