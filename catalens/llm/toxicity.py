@@ -117,9 +117,14 @@ def fit(rows: DataFrame) -> ToxicityModel:
     marked = words.select("label", "n", F.concat(F.lit("<"), "w", F.lit(">")).alias("w"))
     gram = F.transform(F.sequence(F.lit(2), F.length("w")), lambda e: F.expr("w").substr(
         F.greatest(F.lit(1), e - (ORDER - 1)), F.least(F.lit(ORDER), e)))
-    counted = (marked.select("label", "n", F.explode(gram).alias("gram")).groupBy("gram").pivot("label", [0, 1])
-               .agg(F.sum("n"))).fillna(0).collect()
-    model = _smooth({r["gram"]: (r["1"], r["0"]) for r in counted})
+    counted = marked.select("n", "label", F.explode(gram).alias("gram")).groupBy("gram").agg(
+        *[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (1, 0)])
+    # Grams of a single document are left to the shared model, as in pruned n-gram models.
+    table = counted.filter("n1 + n0 > 1").toArrow()
+    counts = dict(zip(table["gram"].to_pylist(), zip(table["n1"].to_pylist(), table["n0"].to_pylist())))
+    del table
+    model = _smooth(counts)
+    del counts
     points = sorted((r["x"], r["label"]) for r in evidence_of(rows.filter(held), model, ["label"]).select(
         (F.col("toxic_ll") - F.col("ordinary_ll")).alias("d"), "letters", "label")
         .withColumn("x", F.col("d") / F.greatest("letters", F.lit(1))).collect())
@@ -152,7 +157,9 @@ def _smooth(counts: dict[str, tuple[int, int]]) -> ToxicityModel:
             ctx = gram[:-1]
             probability[gram] = (n - DISCOUNT + DISCOUNT * kinds[ctx] * probability[gram[1:]]) / mass[ctx]
         shared_back |= {ctx: math.log(DISCOUNT * kinds[ctx] / mass[ctx]) for ctx in mass}
+    del continuation
     shared = {g: math.log(p) for g, p in probability.items()}
+    del probability
     model = ToxicityModel({}, {}, {}, shared, shared_back, math.log(floor))
     mass, kinds = defaultdict(lambda: [0, 0]), defaultdict(int)
     for gram, pair in counts.items():
