@@ -1,8 +1,8 @@
 """A small gated recurrent language model in numpy, with a class-factored output softmax.
 
 The vocabulary is a list of frequent words, of which the first is the end of a text, and TAILS tail classes that stand for
-all other words by their looks. Frequent words lie in groups of GROUP by frequency; the network predicts a group or a tail
-class from its state, and then the word within the group. Weights start so that the model is the unigram model of the
+all other words by their looks. Frequent words lie in groups by frequency, of GROUP or of the square root of their number;
+the network predicts a group or a tail class from its state, and then the word within the group. Weights start so that the model is the unigram model of the
 counts; truncated backpropagation then fits the rest.
 """
 
@@ -15,6 +15,7 @@ from catalens.llm.common import ship_with_tasks
 ship_with_tasks(__name__)
 
 HIDDEN = 32
+#: Least words of a group.
 GROUP = 32
 TAILS = 8
 #: Steps of a window: of truncated backpropagation, and between output layers when scoring.
@@ -39,17 +40,18 @@ def tail_class(word: bytes) -> int:
 def initial(counts: np.ndarray, tail_mass: np.ndarray) -> dict[str, np.ndarray]:
     """Weights of the unigram model: counts of the frequent words (the end first), mass of the tail classes."""
     rng, n = np.random.default_rng(SEED), len(counts)
-    groups = -(-n // GROUP)
-    word_bias = np.full(groups * GROUP, -1e9)
+    width = max(GROUP, int(np.ceil(np.sqrt(n))))
+    groups = -(-n // width)
+    word_bias = np.full(groups * width, -1e9)
     word_bias[:n] = np.log(counts + 0.5)
-    word_bias = word_bias.reshape(groups, GROUP)
+    word_bias = word_bias.reshape(groups, width)
     group_mass = np.log(np.exp(word_bias).sum(axis=1))
     f = np.float32
     return {
         "E": (rng.normal(0, 0.1, (n + TAILS + 1, 3 * HIDDEN))).astype(f),
         "U": (rng.normal(0, 1, (HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(f),
         "Wc": np.zeros((HIDDEN, groups + TAILS), f), "bc": np.concatenate((group_mass, np.log(tail_mass))).astype(f),
-        "Ww": np.zeros((groups, HIDDEN, GROUP), f), "bw": word_bias.astype(f)}
+        "Ww": np.zeros((groups, HIDDEN, width), f), "bw": word_bias.astype(f)}
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -71,8 +73,8 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def _output(p: dict, states: np.ndarray, target: np.ndarray, grad: dict | None = None):
     """Natural-log probability of each target after its state; with grad, adds the loss's gradients and returns the states'."""
-    groups, frequent = len(p["Ww"]), p["E"].shape[0] - TAILS - 1
-    cls = np.where(target < frequent, target // GROUP, target - frequent + groups)
+    (groups, _, width), frequent = p["Ww"].shape, p["E"].shape[0] - TAILS - 1
+    cls = np.where(target < frequent, target // width, target - frequent + groups)
     lc = _log_softmax(states @ p["Wc"] + p["bc"])
     out, at = lc[np.arange(len(target)), cls].astype(np.float64), np.arange(len(target))
     if grad is not None:
@@ -86,7 +88,7 @@ def _output(p: dict, states: np.ndarray, target: np.ndarray, grad: dict | None =
     for g in range(groups):
         rows = order[edges[g]:edges[g + 1]]
         if len(rows):
-            s, inside = states[rows], target[rows] - g * GROUP
+            s, inside = states[rows], target[rows] - g * width
             lw = _log_softmax(s @ p["Ww"][g] + p["bw"][g])
             k = np.arange(len(rows))
             out[rows] += lw[k, inside]
@@ -128,15 +130,19 @@ def log_probabilities(p: dict, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(p: dict, texts: list[np.ndarray], passes: int = PASSES, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Truncated backpropagation with Adam over the texts one after the other; states start anew at every text."""
+def train(p: dict, texts: list[np.ndarray], passes: int = PASSES, rate: float = RATE,
+          most_lanes: int = TRAIN_LANES) -> dict[str, np.ndarray]:
+    """Truncated backpropagation with Adam over the texts one after the other; states start anew at every text.
+
+    Rows of E move only in the steps that read them, so a step's work does not follow the number of words.
+    """
     p = {k: v.copy() for k, v in p.items()}
     if not texts:
         return p
     flat = np.concatenate(texts)
     before = np.concatenate(([p["E"].shape[0] - 1], flat[:-1]))
     before = np.where(before == 0, p["E"].shape[0] - 1, before)  # after an end comes a start
-    lanes = int(max(1, min(TRAIN_LANES, len(flat) // (4 * TRAIN_STEPS))))
+    lanes = int(max(1, min(most_lanes, len(flat) // (4 * TRAIN_STEPS))))
     length = len(flat) // lanes
     xs, ys = (a[:lanes * length].reshape(lanes, length).T for a in (before, flat))
     m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
@@ -145,7 +151,7 @@ def train(p: dict, texts: list[np.ndarray], passes: int = PASSES, rate: float =
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t0 in range(0, length, TRAIN_STEPS):
             x, y = xs[t0:t0 + TRAIN_STEPS], ys[t0:t0 + TRAIN_STEPS]
-            grad, kept, states = {k: np.zeros_like(w) for k, w in p.items()}, [], []
+            grad, kept, states = {k: np.zeros_like(w) for k, w in p.items() if k != "E"}, [], []
             gates, start = p["E"][x], x == p["E"].shape[0] - 1
             for t in range(len(x)):
                 h = np.where(start[t][:, None], 0, h).astype(np.float32)
@@ -163,15 +169,18 @@ def train(p: dict, texts: list[np.ndarray], passes: int = PASSES, rate: float =
                 dgates[t] = np.concatenate((du[:, :2 * HIDDEN], dc), axis=1)
                 grad["U"] += h0.T @ du
                 dh = np.where(start[t][:, None], 0, dh * z + du @ p["U"].T)
-            np.add.at(grad["E"], x.reshape(-1), dgates.reshape(-1, 3 * HIDDEN))
+            by_row = np.argsort(x, axis=None, kind="stable")
+            used, edges = np.unique(x.reshape(-1)[by_row], return_index=True)
+            grad["E"] = np.add.reduceat(dgates.reshape(-1, 3 * HIDDEN)[by_row], edges, axis=0)
             n += 1
             step = rate * (1 - n / (total + 1)) * np.sqrt(1 - 0.999 ** n) / (1 - 0.9 ** n)
             scale = 1.0 / x.size
             for k in p:
-                g = grad[k] * scale
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                p[k] -= (step * m[k] / (np.sqrt(v[k]) + 1e-8)).astype(np.float32)
+                g, at = grad[k] * scale, used if k == "E" else ...
+                mk = m[k][at] + 0.1 * (g - m[k][at])
+                vk = v[k][at] + 0.001 * (g * g - v[k][at])
+                m[k][at], v[k][at] = mk, vk
+                p[k][at] -= (step * mk / (np.sqrt(vk) + 1e-8)).astype(np.float32)
     return p
 
 

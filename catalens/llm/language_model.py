@@ -4,7 +4,7 @@
    sequences of places in that list. A word crosses the network once per block, not once per occurrence.
 2. Counts are summed over all blocks by word. The most frequent words and the mass of the tail classes set up the
    network as the unigram model of the counts; it is trained on a bounded sample first, then every partition of the corpus
-   trains a copy on a share of its training documents and the copies' weights are averaged.
+   trains a copy on all of its training documents and the copies' weights are averaged.
 3. Every block gets the counts of its words back and scores its documents whole, window by window with the state carried.
 
 A tail word's probability is that of its class after the state, times its smoothed share of the class's training tokens;
@@ -27,18 +27,19 @@ from catalens.llm.common import batched, lower_words, ship_with_tasks, stored
 
 ship_with_tasks(__name__)
 
-#: Frequent words of the network, the end of a text included.
-FREQUENT = 1024
+#: Least frequent words of the network, the end of a text included. All words counted sqrt(training tokens) / ROOT_SHARE
+#: times take part besides, so the words grow with the input and the weights stay far smaller than the corpus.
+FREQUENT, ROOT_SHARE = 1024, 10
 #: Tokens of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 4_000_000
 #: Documents of the bounded first training, the first in hash order.
 WARM_DOCUMENTS = 400
-#: One of so many training documents takes part in the averaged training, in every partition.
-TRAIN_SHARE = 16
-#: Tokens a copy of the network is trained on at a time.
-TRAIN_TOKENS = 400_000
-#: Weight vectors averaged by one task, and by the driver.
-AVERAGED = 64
+#: Tokens a copy of the network is trained on at a time, and texts side by side.
+TRAIN_TOKENS, TRAIN_LANES = 400_000, 256
+#: Copies of the network, unless there are more cores; a copy goes through several partitions then.
+COPIES = 64
+#: Bytes of weights averaged by one task, and by the driver.
+AVERAGED_BYTES = 64_000_000
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def _symbols(words: list[bytes], frequent: dict[bytes, int], size: int, seen: di
 
 
 def _trained(docs: DataFrame, weights: dict, frequent: dict[bytes, int], passes: int, rate: float) -> DataFrame:
-    """A row (tokens, weights) per partition of docs (text): a copy of the network trained on the partition's texts."""
+    """A row (tokens, moved) per partition of docs (text): how far training on the partition's texts moved the weights."""
     import pyarrow as pa
 
     shipped = docs.sparkSession.sparkContext.broadcast((gru.packed(weights), {k: v.shape for k, v in weights.items()}, frequent))
@@ -115,36 +116,38 @@ def _trained(docs: DataFrame, weights: dict, frequent: dict[bytes, int], passes:
                 texts.append(_symbols(lower_words(text), known, len(known) + 1, seen))
                 pending += len(texts[-1])
                 if pending >= TRAIN_TOKENS:
-                    p, tokens, texts, pending = gru.train(p, texts, passes, rate), tokens + pending, [], 0
+                    p, tokens, texts, pending = gru.train(p, texts, passes, rate, TRAIN_LANES), tokens + pending, [], 0
                     seen.clear()
-        p, tokens = gru.train(p, texts, passes, rate), tokens + pending
+        p, tokens = gru.train(p, texts, passes, rate, TRAIN_LANES), tokens + pending
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([gru.packed(p).tobytes()], pa.binary())],
-                                             ["tokens", "weights"])
+            moved = (gru.packed(p) - flat).astype(np.float16).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([moved], pa.binary())], ["tokens", "moved"])
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "tokens long, weights binary")
+    copies = docs.select(F.col("text").cast("binary")).coalesce(max(COPIES, docs.sparkSession.sparkContext.defaultParallelism))
+    return copies.mapInArrow(run, "tokens long, moved binary")
 
 
-def _averaged(copies: DataFrame, like: dict) -> dict | None:
-    """Mean of the weights by tokens; groups of about AVERAGED copies are averaged by tasks until so few are left."""
+def _averaged(copies: DataFrame, start: dict) -> dict:
+    """The start moved by the mean of the copies by tokens; tasks average groups of AVERAGED_BYTES until one is left."""
     import pyarrow as pa
 
     def mean(rows) -> tuple[int, np.ndarray]:
         total, part = 0, 0.0
         for n, w in rows:
-            total, part = total + n, part + n * np.frombuffer(w, np.float32).astype(np.float64)
-        return total, (part / total).astype(np.float32)
+            total, part = total + n, part + n * np.frombuffer(w, np.float16).astype(np.float64)
+        return total, part / total
 
     def merge(group: pa.Table) -> pa.Table:
-        n, w = mean(zip(group["tokens"].to_pylist(), group["weights"].to_pylist()))
-        return pa.table({"tokens": pa.array([n], pa.int64()), "weights": pa.array([w.tobytes()], pa.binary())})
+        n, w = mean(zip(group["tokens"].to_pylist(), group["moved"].to_pylist()))
+        return pa.table({"tokens": pa.array([n], pa.int64()), "moved": pa.array([w.astype(np.float16).tobytes()], pa.binary())})
 
-    copies = stored(copies, "trained")
-    while (count := copies.count()) > AVERAGED:
-        dealt = copies.withColumn("g", F.pmod(F.xxhash64("weights"), F.lit(count // AVERAGED + 1)))
-        copies = stored(dealt.groupBy("g").applyInArrow(merge, "tokens long, weights binary"), "averaged")
-    rows = sorted((r["tokens"], bytes(r["weights"])) for r in copies.collect())
-    return gru.unpacked(mean(rows)[1], like) if rows else None
+    flat, copies = gru.packed(start), stored(copies, "trained")
+    together = max(2, AVERAGED_BYTES // (2 * len(flat)))
+    while (count := copies.count()) > together:
+        dealt = copies.withColumn("g", F.pmod(F.xxhash64("moved"), F.lit(-(-count // together))))
+        copies = stored(dealt.groupBy("g").applyInArrow(merge, "tokens long, moved binary"), "averaged")
+    rows = sorted((r["tokens"], bytes(r["moved"])) for r in copies.collect())
+    return gru.unpacked((flat + mean(rows)[1]).astype(np.float32), start) if rows else start
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -159,14 +162,15 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     words = blocks.filter("code is not null").select("block", "code", "word", "k", "n")
     counts = stored(words.groupBy("word").agg(F.sum("n").alias("c"), F.first("k").alias("k")).filter("c > 0"), "lm-counts")
     ends = blocks.filter("code is null and not held_out").count()
-    frequent = counts.orderBy(F.desc("c"), "word").limit(FREQUENT - 1).collect()
     totals = counts.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    n_all = ends + sum(r["c"] for r in totals)
+    often = counts.filter(F.col("c") >= n_all ** 0.5 / ROOT_SHARE).count()
+    frequent = counts.orderBy(F.desc("c"), "word").limit(max(FREQUENT - 1, often)).collect()
     mass = np.full(gru.TAILS, 0.5)
     for r in totals:
         mass[r["k"]] += r["c"] + 0.5 * r["v"]
     for r in frequent:
         mass[r["k"]] -= r["c"] + 0.5
-    n_all = ends + sum(r["c"] for r in totals)
     v_all = sum(r["v"] for r in totals) + (ends > 0)
     known = {bytes(r["word"]): i + 1 for i, r in enumerate(frequent)}
     size = len(known) + 1
@@ -178,11 +182,10 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     seen: dict[bytes, int] = {}
     warm = [_symbols(lower_words(r["text"].encode()), known, size, seen) for r in first.collect()]
     weights = gru.train(weights, warm)
-    share = train.filter(F.pmod(mark, F.lit(TRAIN_SHARE)) == 0)
-    weights = _averaged(_trained(share, weights, known, 1, gru.RATE / 4), weights) or weights
+    weights = _averaged(_trained(train, weights, known, 1, gru.RATE / 4), weights)
 
     symbol_rows = [(bytearray(w), i) for w, i in known.items()]
-    symbols = spark.createDataFrame(symbol_rows, "word binary, sym int")  # at most FREQUENT rows
+    symbols = spark.createDataFrame(symbol_rows, "word binary, sym int")  # a row per frequent word
     sized = counts.join(F.broadcast(symbols), "word", "left").select("word", "c", "sym")
     back = words.join(sized, "word", "left").select(
         F.col("block").alias("home"), "code", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("sym", F.col("k") + size).alias("sym"))

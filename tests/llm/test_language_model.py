@@ -82,3 +82,25 @@ def test_odd_rows(edge_documents):
     assert score_documents(edge_documents.limit(0), remainder(5) == 1).count() == 0
     alone = score_documents(edge_documents.filter("doc_id = 4"), remainder(1) == 0).collect()[0]
     assert (alone.train_tokens, alone.n_known, alone.held_out) == (0, 0, True)
+
+
+def test_all_training_documents_and_all_frequent_words_reach_the_network(documents, monkeypatch):
+    from catalens.llm import language_model as lm
+
+    rows = [(i, " ".join(f"v{k}" for k in range(40))) for i in range(120)] + [(200, None), (201, "once")]
+    seen, trained = [], lm._trained
+    monkeypatch.setattr(lm, "FREQUENT", 8)
+    monkeypatch.setattr(lm, "_trained", lambda docs, p, words, *rest: seen.append((docs.count(), set(words))) or trained(docs, p, words, *rest))
+    got = score_documents(documents(rows).repartition(3), remainder(5) == 1)
+    assert got.count() == len(rows)
+    assert seen == [(sum(not _held(i) and t is not None for i, t in rows), {f"v{k}".encode() for k in range(40)})]
+
+
+def test_larger_groups_are_a_distribution_and_training_keeps_unread_rows():
+    p = gru.initial(np.arange(5000.0, 0, -1), np.full(gru.TAILS, 3.0))
+    assert p["Ww"].shape[2] == 71
+    every = np.arange(5000 + gru.TAILS)
+    assert np.exp(gru._output(p, np.ones((len(every), gru.HIDDEN), np.float32), every)).sum() == pytest.approx(1.0, abs=1e-3)
+    q = gru.train(p, [np.append(np.tile([3, 4], 60), 0)], passes=2)
+    moved = np.flatnonzero((q["E"] != p["E"]).any(axis=1))
+    assert set(moved) == {3, 4, len(p["E"]) - 1}
