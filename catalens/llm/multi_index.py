@@ -6,7 +6,8 @@ hold enough different vectors; the rows of these cells are ranked by their exact
 
 How many are enough is measured: for a fixed number of queries the true neighbours are found by comparison with all rows,
 and the visit goes as far as RECALL of these neighbours need. Codebooks come from a bounded sample; every row is indexed.
-Cells are gathered into groups of about GROUP_ROWS rows, and a cell larger than that is split, so no task holds more.
+Cells are gathered into groups of about GROUP_ROWS rows, and a cell larger than that is split; queries are dealt into blocks of
+about QUERY_ROWS, and every block meets the rows of every group on its own. So no call holds more of either, but for chance.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ ship_with_tasks(__name__)
 CENTROIDS, SAMPLE = 64, 8192
 #: Queries compared with all rows to set the length of a visit, and the share of their neighbours it must reach.
 MEASURED, RECALL = 128, 0.96
-GROUP_ROWS = 4096
+#: Rows of a group and queries of a block, about.
+GROUP_ROWS, QUERY_ROWS = 4096, 16_384
 
 
 def k_means(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -143,31 +145,33 @@ def nearest_neighbours(rows: DataFrame, is_query: Column | str, k: int = 20, id_
     queries = index.filter(is_query).select(F.col("id").alias("query_id"), "vector")
     # At least k different vectors besides the query's own, so that k rows are found wherever there are as many.
     enough = max(k + 2.0, _visit_length(index, queries, books, weights, k, recall))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for query_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cells = np.array(visit(np.array(vector), books, weights, enough), np.int32)
+            vectors = _matrix(pa.chunked_array([batch.column(1)]), width)
+            for query_id, vector, block in zip(batch.column(0).to_pylist(), vectors, batch.column(2).to_pylist()):
+                cells = np.array(visit(vector, books, weights, enough), np.int32)
                 for g in np.unique(group[cells]):
                     own = cells[group[cells] == g]
                     for part in range(int(parts[own].max())):
                         here = own[parts[own] > part]
-                        out.append((query_id, vector, int(g), part, here.tobytes()))
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.binary())
+                        out.append((query_id, vector, int(g), part, block, here.tobytes()))
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)],
-                                             ["query_id", "vector", "g", "part", "cells"])
+                                             ["query_id", "vector", "g", "part", "block", "cells"])
 
     def rerank(asked: pa.Table, held: pa.Table) -> pa.Table:
         cell = held["cell"].to_numpy()
         order = np.argsort(cell, kind="stable")
         ids, vectors, cell = held["id"].to_numpy()[order], _matrix(held["vector"], width)[order], cell[order]
         found: list[tuple] = []
-        for query_id, vector, cells in zip(asked["query_id"].to_pylist(), asked["vector"].to_pylist(), asked["cells"].to_pylist()):
+        for query_id, vector, cells in zip(asked["query_id"].to_pylist(), _matrix(asked["vector"], width), asked["cells"].to_pylist()):
             cells = np.frombuffer(cells, np.int32)
             spans = zip(np.searchsorted(cell, cells), np.searchsorted(cell, cells, "right"))
             at = np.concatenate([np.arange(a, b) for a, b in spans] or [np.empty(0, np.int64)])
-            found += [(query_id, i, s) for i, s in best_of(ids[at], vectors[at], np.array(vector), query_id, k)]
+            found += [(query_id, i, s) for i, s in best_of(ids[at], vectors[at], vector, query_id, k)]
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "id": pa.array([f[1] for f in found], pa.int64()),
                          "score": pa.array([f[2] for f in found], pa.float64())})
 
@@ -175,9 +179,12 @@ def nearest_neighbours(rows: DataFrame, is_query: Column | str, k: int = 20, id_
                                   "cell int, g long, parts int")  # at most CENTROIDS squared rows
     held = (index.join(F.broadcast(spots), "cell").withColumn("part", F.pmod(F.xxhash64("id", "vector"), F.col("parts")).cast("int"))
             .select("g", "part", "cell", "id", "vector"))
-    asked = queries.mapInArrow(route, "query_id long, vector array<double>, g long, part int, cells binary")
-    found = asked.groupBy("g", "part").cogroup(held.select(F.col("g").alias("hg"), F.col("part").alias("hp"), "cell", "id", "vector")
-                                               .groupBy("hg", "hp")).applyInArrow(rerank, "query_id long, id long, score double")
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id", "vector", F.lit("block")), F.lit(blocks)).cast("int"))
+    asked = dealt.mapInArrow(route, "query_id long, vector array<double>, g long, part int, block int, cells binary")
+    met = held.select(F.col("g").alias("hg"), F.col("part").alias("hp"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("hb"),
+                      "cell", "id", "vector")
+    found = asked.groupBy("g", "part", "block").cogroup(met.groupBy("hg", "hp", "hb")).applyInArrow(
+        rerank, "query_id long, id long, score double")
     return _first(found, k)
 
 

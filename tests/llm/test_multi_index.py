@@ -83,3 +83,28 @@ def test_all_candidates_if_there_are_few(spark):
     frame = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(0, 380, 19)], "vec_id long, embedding array<float>")
     got = mi.nearest_neighbours(frame, QUERY).collect()
     assert {r.query_id for r in got} == {0} and sorted(r["rank"] for r in got) == list(range(1, 20))
+
+
+def test_queries_meet_a_group_in_blocks(clustered, monkeypatch, tmp_path):
+    ids, _, frame = clustered
+    whole = {(r.query_id, r["rank"], r.id, r.score) for r in mi.nearest_neighbours(frame, QUERY).collect()}
+    monkeypatch.setattr(mi, "QUERY_ROWS", 20, raising=False)
+    n = int((ids % 20 == 0).sum())
+    apply, sizes = mi.best_of, str(tmp_path)
+
+    def noted(*args):
+        import inspect
+        import os
+        import uuid
+
+        asked = inspect.currentframe().f_back.f_locals.get("asked")
+        if asked is not None:
+            open(os.path.join(sizes, f"{asked.num_rows}-{uuid.uuid4().hex}"), "w").close()
+        return apply(*args)
+
+    monkeypatch.setattr(mi, "best_of", noted)
+    assert {(r.query_id, r["rank"], r.id, r.score) for r in mi.nearest_neighbours(frame, QUERY).collect()} == whole
+    import os
+
+    most = max(int(f.split("-")[0]) for f in os.listdir(sizes))
+    assert n > 60 and most <= 40
