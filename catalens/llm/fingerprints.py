@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraphs (DataFrame functions only).
 
-A text's paragraphs (lines, long ones in pieces of PIECE characters from the line's start) are hashed to keys; a repeated
-paragraph counts once. A sketch of m cells adds every key to one cell in each third of the table; a cell holds how many
+A text's paragraphs (pieces of lines of a few words, cut where the text itself says so: see paragraph_keys) are hashed to keys;
+a repeated paragraph counts once. A sketch of m cells adds every key to one cell in each third of the table; a cell holds how many
 keys it got, their exclusive or, and that of their check hashes. Sketches of two versions subtract cell by cell; what is
 left holds the differing paragraphs only, and peeling recovers their keys: a cell with one key gives it away, and taking
 it out of its other cells frees more. If peeling gets stuck, both versions are sketched again at twice the size.
@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 
 from catalens.llm.common import stored
 
-#: Characters of a paragraph piece.
-PIECE = 300
+#: Most characters of a paragraph piece, and least before a cut within a line.
+PIECE, LEAST_PIECE = 300, 16
+#: Where a line is cut: after punctuation, and after words of certain last letters, about one of five.
+CUT = r"[.!?;:,…؟،।][\"')\]»”’]*[ \t]+|[。！？；，、]|[dtyDTYйяςν][ \t]+"
 #: Least cells of a sketch; a sketch's cells are a multiple of three.
 LEAST_CELLS = 12
 #: Peeling rounds; each takes out all cells of one key, so few are ever needed.
@@ -30,8 +32,12 @@ _CELLS = "array<struct<cell:int,n:int,key:bigint,check:bigint>>"
 
 
 def paragraph_keys(text: Column) -> Column:
-    """Distinct 64-bit keys of the paragraphs of a text; none for null and empty texts."""
-    pieces = F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{PIECE}}}"), F.lit(0))
+    """Distinct 64-bit keys of the paragraphs of a text; none for null and empty texts.
+
+    A piece ends at the first CUT after LEAST_PIECE characters, at the line's end, or after PIECE characters without a cut. Cuts
+    follow the characters around them, so after an insertion pieces soon end at the same places again.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"[^\n]{{{LEAST_PIECE},{PIECE - 1}}}?(?:{CUT})|[^\n]{{1,{PIECE}}}"), F.lit(0))
     return F.coalesce(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))), F.array().cast("array<bigint>"))
 
 

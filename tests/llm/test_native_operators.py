@@ -22,6 +22,18 @@ def _keys(text):
     return set(re.findall(f"[^\n]{{1,{fp.PIECE}}}", text))
 
 
+def test_short_and_shifted_lines_keep_their_pieces(spark, documents):
+    words = "the cat went out and sat by the old road that day with a short red hat but not for long".split()
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(20)]
+    got = fp.fingerprint_versions(documents(rows)).collect()
+    assert all(len(t) < 300 for _, t in rows) and all(r.near_edited >= 0.2 and r.near_edited > r.near_next + 0.1 for r in got)
+    line = " ".join(f"{rng.choice(words)}{k}, {rng.choice(words)}" for k in range(400))
+    pair = spark.createDataFrame([(line, "inserted here " + line)], "a string, b string").select(
+        fp.paragraph_keys(F.col("a")).alias("a"), fp.paragraph_keys(F.col("b")).alias("b")).first()
+    assert len(set(pair.a) & set(pair.b)) > 0.9 * len(pair.a)
+
+
 def test_fingerprints_against_brute_force(documents, monkeypatch):
     monkeypatch.setattr(fp, "RANGE_ROWS", 7)
     rng = random.Random(1)
