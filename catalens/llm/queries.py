@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalens.llm import language_model, quality, sentencepiece, sql, toxicity
-from catalens.llm.common import table
+from catalens.llm import language_model, quality, sentencepiece, sql, toxicity, wavelet_shards
+from catalens.llm.collocations import collocations
+from catalens.llm.common import WORD, table
 from catalens.llm.fingerprints import fingerprint_versions
 from catalens.llm.labels import labelled, remainder
 from catalens.llm.mixing import mixing_plan
 from catalens.llm.multi_index import nearest_neighbours
 from catalens.llm.near_dedup import duplicate_groups
+from catalens.llm.periodic_runs import periodic_runs
 from catalens.llm.sharding import shard_documents
 from catalens.llm.url_filters import filter_captures, host_of, path_of
-
+from catalens.session import scratch_dir
 
 TOKENIZER_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -109,6 +111,45 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "valid_from", "valid_to")})
 
 
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) is a multiple of ten, the words from a drawn place on repeat a drawn number of words.
+
+    A null doc_id counts as an empty text.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    edited = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents")), ["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("at"), (-r["period"]).alias("q"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.at")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.q")).alias("period"), F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.q")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = scratch_dir(spark, "llm-token-shards")
+    docs = table(spark, sf_dir, "documents")
+    return wavelet_shards.document_digests(wavelet_shards.write_shards(docs, folder, public_tokenizers.path("word_bpe_49k.json"), 2))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -120,6 +161,10 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_sharding": op9_sharding,
     "op10_url_filters": op10_url_filters,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
+    "op13_token_shards": op13_token_shards,
 }
 
-ORACLE_SQL = {"op5_mixing": sql.MIXING, "op8_near_duplicates": sql.NEAR_DUPLICATES, "op10_url_filters": sql.URL_FILTERS}
+ORACLE_SQL = {"op5_mixing": sql.MIXING, "op8_near_duplicates": sql.NEAR_DUPLICATES, "op10_url_filters": sql.URL_FILTERS,
+              "op12_collocations": sql.COLLOCATIONS}

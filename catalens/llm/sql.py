@@ -98,3 +98,19 @@ SELECT c.page_id, c.url, c.fetched_on::VARCHAR AS fetched_on, c.host, c.captures
 FROM captured c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS NOT DISTINCT FROM b.url
   AND c.fetched_on IS NOT DISTINCT FROM b.fetched_on
 """
+
+#: Phrases of 2 to 5 words by grouping all n-grams.
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+ g AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m, count(*) AS f
+   FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m)) GROUP BY 1, 2, 3),
+ n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY 1),
+ c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE m > 1 AND f >= 100),
+ cut AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+ s AS (SELECT cut.lang, cut.phrase, cut.m, cut.a, cut.k, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * cut.a * n.n) // (x.f::HUGEINT * y.f) AS score
+   FROM cut JOIN g x ON x.lang = cut.lang AND x.phrase = cut.head AND x.m = cut.k JOIN g y ON y.lang = cut.lang AND y.phrase = cut.tail AND y.m = cut.m - cut.k JOIN n ON n.lang = cut.lang),
+ one AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s),
+ kept AS (SELECT * FROM one WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = one.lang AND c.m > one.m AND 100 * c.a >= 100 * one.a AND contains(' ' || c.phrase || ' ', ' ' || one.phrase || ' '))),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000"""
