@@ -16,10 +16,12 @@ its content follows from the range, so a task that runs again puts the same file
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +35,16 @@ ship_with_tasks(__name__)
 
 MAGIC = b"WVMX0001"
 #: Tokens of a shard, about (a document is never split), and documents of a range, about.
-SHARD_TOKENS, RANGE_DOCUMENTS = 2_000_000, 8_000
+SHARD_TOKENS, RANGE_DOCUMENTS = 2_000_000, 16_000
 #: Pieces of text a task remembers the ids of; bounds memory, not results.
 REMEMBERED = 600_000
 _SAMPLE = 512
 #: Where a word tokenizer of the given kind always cuts: between an ASCII letter or digit and one of these marks.
 _SEAM = re.compile(rb"([a-z0-9])([.,;:!?])")
+#: Words of the letters a to z and U+00DF to U+00FF, and the characters by which a byte-level model knows bytes: themselves where
+#: visible, else the next ones from U+0100.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WaveletMatrix:
@@ -62,7 +68,7 @@ class WaveletMatrix:
         if width <= 16:
             x = x.astype(np.uint16)
         for shift in range(width - 1, -1, -1):
-            ones = (x >> shift & 1).astype(bool)
+            ones = (x & x.dtype.type(1 << shift)) != 0
             bits = np.packbits(ones, bitorder="little")
             planes.append(np.concatenate((bits, np.zeros(-len(bits) % 8, np.uint8))).view("<u8"))
             low = x[~ones]
@@ -187,36 +193,48 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     return matrix, [None if z else i for i, z in zip(ids, null)], np.frombuffer(raw[2], "<u4").astype(np.int64)
 
 
+class Pieces(dict):
+    """Ids of pieces of text between blanks, as little-endian 32-bit bytes; what is missing is encoded when it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if _LETTERS(piece):
+            # Normalising and cutting leave small Latin-1 letters as they are; the model takes every byte as one character.
+            ids = array("I", [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTES))]).tobytes()
+        elif len(cut := _SEAM.sub(rb"\1 \2", piece).split()) > 1:
+            ids = b"".join(map(self.__getitem__, cut))
+        else:
+            ids = array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers file, as little-endian 32-bit bytes.
 
     The tokenizer lower-cases, drops white space and never joins across it, nor across a seam of an ASCII letter or digit and
-    a punctuation mark; so a text's ids are those of its blank-separated, seam-cut pieces in order, and each piece is encoded
-    by the library once as long as it is remembered. Texts that may hold the name of a special token go to the library whole.
+    a punctuation mark; so a text's ids are those of its blank-separated, seam-cut pieces in order, and the library encodes each
+    piece once as long as it is remembered. Texts that may hold the name of a special token go to the library whole.
     """
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        whole = {i: t for i, t in enumerate(texts) if t and any(s in t for s in self.special)}
-        pieces = [_SEAM.sub(rb"\1 \2", t.lower()).split() if t and i not in whole else [] for i, t in enumerate(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        self.known.update(zip(new, self._library([p.decode() for p in new])))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        for i, ids in zip(whole, self._library([t.decode() for t in whole.values()])):
-            out[i] = ids
-        return out
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.pieces = Pieces(self.tokenizer)
+
+    def encode(self, text: bytes | None) -> bytes:
+        if not text:
+            return b""
+        if self.special.search(text):
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
 
 def _put(folder: str, name: str, data: bytes) -> str:
@@ -269,10 +287,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                                               ["part", "number", "file", "tokens", "documents"])
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for doc_id, code in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 ids.append(doc_id)
-                codes.append(code + end)
+                codes.append(encoder.encode(text) + end)
                 held += len(codes[-1]) // 4
                 if held >= shard_tokens:
                     yield flush()
