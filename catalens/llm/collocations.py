@@ -10,7 +10,8 @@
    others and the first phrases of each language are DataFrame expressions.
 
 A block sends each n-gram once however often it occurs, and ranges of permuted numbers are even, so a very frequent phrase
-weighs no more than others. Blocks and ranges have a bounded size; tables of words and n-grams are joined, never sent whole.
+weighs no more than others. Blocks and ranges have a bounded size. Frequent words or n-grams are sent to the tasks while they
+are at most SENT, as counted; beyond that they are joined to the blocks that hold them. Both ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ship_with_tasks(__name__)
 
 #: Tokens of a block, about (a longer document is a block of its own), and entries of a range, about.
 BLOCK_TOKENS, RANGE_ENTRIES = 2_000_000, 2_000_000
+#: Most frequent words or n-grams of one length that are sent to the tasks (some 20 bytes a word, 8 an n-gram).
+SENT = 1_000_000
 #: Rows whose dense numbers are given in one task, about.
 NUMBERED_ROWS = 500_000
 #: Pieces end at these; inside pieces words end at blanks and tabs. A byte no UTF-8 text holds marks the end of a piece.
@@ -43,14 +46,18 @@ def words_and_breaks(text: bytes | None) -> list[bytes]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Rows of blocks (block, tokens, codes: words in order, -1 between pieces) and of their words (block, code, lang, word, n)."""
+    """Rows of blocks (block, tokens, codes: words in order, -1 between pieces; langs and words: the words by code, as lists)
+    and of their words (lang, word, n)."""
     import pyarrow as pa
 
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("codes", T.BinaryType()),
-        T.StructField("code", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("word", T.BinaryType()),
+        T.StructField("langs", T.ArrayType(T.StringType())), T.StructField("words", T.ArrayType(T.ArrayType(T.BinaryType()))),
+        T.StructField("own", T.ArrayType(T.ArrayType(T.IntegerType()))),
+        T.StructField("lang", T.StringType()), T.StructField("word", T.BinaryType()),
         T.StructField("n", T.LongType())])
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.list_(pa.binary())),
+             pa.list_(pa.list_(pa.int32())), pa.string(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -64,15 +71,15 @@ def _blocks(docs: DataFrame) -> DataFrame:
             n = np.bincount(flat[flat >= 0], minlength=size).tolist()
             yield pa.RecordBatch.from_arrays([
                 pa.array([block], pa.int64()), pa.array([sum(n)], pa.int64()), pa.array([flat.tobytes()], pa.binary()),
-                *(pa.nulls(1, k) for k in kinds[3:])], schema.names)
+                pa.array([list(codes)], kinds[3]), pa.array([[list(known) for known in codes.values()]], kinds[4]),
+                pa.array([[list(known.values()) for known in codes.values()]], kinds[5]), *(pa.nulls(1, k) for k in kinds[6:])], schema.names)
             for lang, known in codes.items():
                 words, own = list(known), list(known.values())
                 for at in range(0, len(words), 20_000):
                     part = slice(at, at + 20_000)
                     some = len(words[part])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([block] * some, pa.int64()), pa.nulls(some, pa.int64()), pa.nulls(some, pa.binary()),
-                        pa.array(own[part], pa.int32()), pa.array([lang] * some, pa.string()), pa.array(words[part], pa.binary()),
+                        *(pa.nulls(some, k) for k in kinds[:6]), pa.array([lang] * some, pa.string()), pa.array(words[part], pa.binary()),
                         pa.array([n[c] for c in own[part]], pa.int64())], schema.names)
 
         for batch in batches:
@@ -147,6 +154,58 @@ def _word_sequences(blocks: DataFrame, known: DataFrame) -> DataFrame:
     return blocks.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(run, "block long, ids binary")
 
 
+def _sent_words(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(block, ids) from block codes, with the numbers of the frequent words sent to the tasks."""
+    import pyarrow as pa
+
+    numbers: dict[str, dict[bytes, int]] = {}
+    for lang, word, id_ in zip(*(c.to_pylist() for c in frequent.select("lang", "word", "id").toArrow().columns)):
+        numbers.setdefault(lang, {})[word] = id_
+    sent = blocks.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, codes, langs, words, own = (c[row] for c in batch.columns)
+                codes, sizes = np.frombuffer(codes.as_buffer(), np.int32), [len(w) for w in words]
+                ids = np.zeros(sum(sizes) + 1, np.uint32)  # the last place serves code -1
+                for lang, known, places in zip(langs.as_py(), words, own):
+                    frequent = sent.value.get(lang, {})
+                    ids[places.values.to_numpy()] = [frequent.get(w, 0) for w in known.values.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([_squeezed(ids[codes]).tobytes()], pa.binary())], ["block", "ids"])
+
+    return blocks.select("block", "codes", "langs", "words", "own").mapInArrow(run, "block long, ids binary")
+
+
+def _sent_pairs(blocks: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
+    """(block, ids) of the next level, with the frequent pairs sent to the tasks in the order of their numbers."""
+    import pyarrow as pa
+
+    rows = sorted((r["range"], bytes(r["keys"])) for r in frequent.select("range", "keys").collect())
+    sent = blocks.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(r[1] for r in rows), np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = sent.value
+        numbers = np.arange(1, len(keys) + 1)
+        for batch in batches:
+            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out = _squeezed(_renumbered(np.frombuffer(ids, np.uint32), bits, keys, numbers))
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["block", "ids"])
+
+    return blocks.select("block", "ids").mapInArrow(run, "block long, ids binary")
+
+
+def _renumbered(ids: np.ndarray, bits: int, keys: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """At each place the number of the frequent pair that begins there, or 0; keys are sorted."""
+    at, pairs = _pairs(ids, bits)
+    out = np.zeros(len(ids), np.uint32)
+    if len(keys):
+        to = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        out[at] = np.where(keys[to] == pairs, numbers[to], 0)
+    return out
+
+
 def _filters(blocks: DataFrame, bits: int, range_bits: int) -> DataFrame:
     """(range, block, filter): the pairs of each block, cut by the upper bits of the permuted numbers."""
     import pyarrow as pa
@@ -170,8 +229,8 @@ def _filters(blocks: DataFrame, bits: int, range_bits: int) -> DataFrame:
     return blocks.select("block", "ids").mapInArrow(run, "range long, block long, filter binary")
 
 
-def _merged(filters: DataFrame, least: int, low: int) -> DataFrame:
-    """Per range one row without block (keys, counts) of its frequent pairs, and one per block (keys, places among them)."""
+def _merged(filters: DataFrame, least: int, low: int, back: bool) -> DataFrame:
+    """Per range one row without block (keys, counts) of its frequent pairs, and, if `back`, one per block (keys, places)."""
     import pyarrow as pa
 
     def run(group: pa.Table) -> pa.Table:
@@ -181,7 +240,7 @@ def _merged(filters: DataFrame, least: int, low: int) -> DataFrame:
         range_ = group["range"][0].as_py()
         top = np.uint64(range_ << low)
         rows = [(range_, None, len(keys), (keys | top).tobytes(), counts.astype(np.int64).tobytes())] if len(keys) else []
-        for block, part in zip(group["block"].to_pylist(), parts) if len(keys) else ():
+        for block, part in zip(group["block"].to_pylist(), parts) if back and len(keys) else ():
             own = quotient_filter.entries(part)[0]
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             held = keys[at] == own
@@ -219,13 +278,7 @@ def _next_sequences(blocks: DataFrame, held: DataFrame, bits: int) -> DataFrame:
         numbers = np.concatenate([np.frombuffer(p[3], np.int64) + p[1] + 1 for p in parts] or [np.empty(0, np.int64)])
         rows = []
         for block, ids in zip(left["block"].to_pylist(), left["ids"].to_pylist()):
-            ids = np.frombuffer(ids, np.uint32)
-            at, pairs = _pairs(ids, bits)
-            to = np.minimum(np.searchsorted(keys, pairs), max(0, len(keys) - 1))
-            out = np.zeros(len(ids), np.uint32)
-            if len(keys):
-                out[at] = np.where(keys[to] == pairs, numbers[to], 0)
-            out = _squeezed(out)
+            out = _squeezed(_renumbered(np.frombuffer(ids, np.uint32), bits, keys, numbers))
             if len(out):
                 rows.append((block, out.tobytes()))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.binary())})
@@ -257,20 +310,26 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
     empty table gives empty frames. Other columns of docs may have any name. Texts of any length are read whole.
     """
     blocks = stored(_blocks(docs), "phrase-blocks")
-    words = blocks.filter("code is not null").select("block", "code", "lang", "word", "n")
+    words = blocks.filter("word is not null").select("lang", "word", "n")
     sums = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-langs")
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     frequent = stored(frequent, "phrase-counts")
     frequent = stored(_numbered(frequent, ["lang", "word"], "id"), "phrase-words")
-    known = words.select("block", "code", "lang", "word").join(frequent.select("lang", "word", "id"), ["lang", "word"])
-    size = blocks.filter("codes is not null").agg(F.sum("tokens")).head()[0] or 0
+    whole = blocks.filter("codes is not null")
+    ids = frequent.count()
+    if ids <= SENT:
+        sequences = _sent_words(whole, frequent)
+    else:
+        known = whole.select("block", F.inline(F.arrays_zip("langs", "words", "own"))).select(
+            "block", F.col("langs").alias("lang"), F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("own").alias("code")))).join(frequent.select("lang", "word", "id"), ["lang", "word"])
+        sequences = _word_sequences(whole.select("block", "codes"), known.select(F.col("block").alias("of_block"), "code", "id"))
+    size = whole.agg(F.sum("tokens")).head()[0] or 0
     range_bits = max(0, (size // RANGE_ENTRIES).bit_length())
-    sequences = _word_sequences(blocks.filter("codes is not null").select("block", "codes"), known.select(F.col("block").alias("of_block"), "code", "id"))
     none = F.array().cast("array<bigint>")
     level = frequent.select(
         F.lit(1).alias("level"), "id", "lang", F.array(F.col("word").cast("string")).alias("words"), "f", none.alias("heads"),
         none.alias("tails"), *[F.lit(None).cast("long").alias(c) for c in ("left_id", "right_id", "left_f", "right_f")])
-    levels, ids = [level], frequent.count()
+    levels = [level]
     for n in range(2, longest + 1):
         if not ids:
             break
@@ -279,22 +338,26 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
         if bits > 32:
             raise ValueError("more than 2^32 frequent phrases of one length; raise the threshold")
         cut = min(range_bits, 2 * bits)
-        merged = stored(_merged(_filters(sequences, bits, cut), least, 2 * bits - cut), f"phrase-merged-{n}")
-        sizes = merged.filter("block is null").select("range", "size")
+        low = 2 * bits - cut
+        filters = _filters(sequences, bits, cut)
+        merged = stored(_merged(filters, least, low, False), f"phrase-merged-{n}")
+        sizes = merged.select("range", "size")
         # One row per range of two million entries.
         before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
         before = stored(before, f"phrase-before-{n}")
-        placed = merged.join(before, "range")
-        pairs = stored(_unfolded(placed.filter("block is null"), bits), f"phrase-pairs-{n}")
+        pairs = stored(_unfolded(merged.join(before, "range"), bits), f"phrase-pairs-{n}")
         level = stored(_phrases(pairs, levels[-1]), f"phrases-{n}").withColumn("level", F.lit(n))
         levels.append(level)
-        ids = merged.agg(F.sum(F.when(F.col("block").isNull(), F.col("size")))).head()[0] or 0
-        if n < longest:
-            sequences = _next_sequences(sequences, placed.filter("block is not null"), bits)
-    whole = levels[0]
+        ids = merged.agg(F.sum("size")).head()[0] or 0
+        if n < longest and ids <= SENT:
+            sequences = _sent_pairs(sequences, merged, bits)
+        elif n < longest:
+            held = stored(_merged(filters, least, low, True).filter("block is not null"), f"phrase-held-{n}")
+            sequences = _next_sequences(sequences, held.join(before, "range"), bits)
+    phrases = levels[0]
     for level in levels[1:]:
-        whole = whole.unionByName(level)
-    return whole, sums
+        phrases = phrases.unionByName(level)
+    return phrases, sums
 
 
 def _cut(heads: Column, tails: Column, a: Column, n: Column) -> Column:

@@ -60,7 +60,9 @@ def brute(rows, least, top):
     return sorted(out)
 
 
-def test_equals_plain_counting_over_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [1_000_000, 40, 0])
+def test_equals_plain_counting_over_several_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(co, "SENT", sent)
     monkeypatch.setattr(co, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(co, "RANGE_ENTRIES", 200)
     monkeypatch.setattr(co, "NUMBERED_ROWS", 7)
