@@ -1,8 +1,7 @@
-"""Definitions extracted from source text by distributed regular expressions.
+"""Definitions extracted from source text.
 
-A file is one row, so scanning needs no shuffle at all: each idiom is found with one `regexp_extract_all`
-per file, and the pieces of a hit are read from the (short) hit itself. Look-aheads carry the text after a
-hit where a rule has to look past it.
+A file is one row, so scanning needs no shuffle at all: one pass over the text finds the hits of every idiom with their arguments
+or bodies (see `functions.scanner`), and what a hit says is read from these by column expressions.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalens import fixed_values as fx
+from catalens.functions import scanner
 from catalens.functions.numeric import col
 from catalens.functions.text import clean_description, squeeze, text_or_empty
 from catalens.operators.keys import _first_per, dedupe_richest, richness
@@ -20,10 +20,6 @@ from catalens.session import materialise
 FLAGS = "(?sU)"  # a dot spans lines; letters, digits and blanks are Unicode classes
 
 
-def _hits(c, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(FLAGS + pattern), F.lit(group))
-
-
 def _group(c, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null when there is none or it is empty."""
     return F.nullif(F.regexp_extract(col(c), FLAGS + pattern, group), F.lit(""))
@@ -74,64 +70,30 @@ JS, PYTHON = ("typescript", "javascript"), ("python",)
 PATTERN_ORDER = ("ts_server_tool", "ts_server_tool_object", "ts_tool_literal", "py_decorator", "py_tool_ctor")
 
 
-def _tagged(pattern_name: str, hit: Column, after: Column | None = None) -> Column:
-    """Hits of one idiom as structs (pattern, position, hit, after)."""
-    name = F.lit(pattern_name).alias("extraction_pattern")
-    if after is None:
-        return F.transform(hit, lambda h, i: F.struct(
-            name, i.alias("position"), h.alias("hit"), F.lit("").alias("after")))
-    return F.transform(F.arrays_zip(hit.alias("h"), after.alias("a")), lambda z, i: F.struct(
-        name, i.alias("position"), z["h"].alias("hit"), z["a"].alias("after")))
-
-
-def _idiom_hits(pattern_name: str, text) -> Column:
-    """What each idiom keeps of a match: the whole call, its arguments or its body, and the text after it."""
-    if pattern_name == "ts_server_tool":
-        return _tagged(pattern_name, _hits(text, fx.JS_CALL))
-    if pattern_name == "ts_server_tool_object":
-        return _tagged(pattern_name, _hits(text, fx.JS_CALL_WITH_BODY))
-    if pattern_name == "ts_tool_literal":
-        past = fx.JS_LITERAL + r"(?=(.{0,%d}))" % fx.LITERAL_LOOK_PAST
-        return _tagged(pattern_name, _hits(text, fx.JS_LITERAL), _hits(text, past, 4))
-    if pattern_name == "py_decorator":
-        tail = fx.PY_DECORATOR + r"(?=(.{0,%d}))" % fx.DECORATOR_TAIL
-        return _tagged(pattern_name, _hits(text, fx.PY_DECORATOR, 1), _hits(text, tail, 2))
-    return _tagged(pattern_name, _hits(text, fx.PY_CONSTRUCTOR, 1))
-
-
 def _read_hits(found: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Name, description and schema flag of every hit; each idiom's reading runs on its own hits only.
 
-    Bodies and tails are staged as columns of their own, since several readings use them.
+    What follows the next function of a decorator is staged as a column of its own, since several readings use it.
     """
-    kind, hit, after, body = F.col("extraction_pattern"), F.col("hit"), F.col("after"), F.col("_body")
-    call, with_body, literal, decorator, ctor = (kind == p for p in PATTERN_ORDER)
+    kind, body, after = F.col("extraction_pattern"), F.col("body"), F.col("after")
+    with_body, literal, decorator, ctor = (kind == p for p in PATTERN_ORDER[1:])
+    given = F.nullif(F.trim("name"), F.lit(""))
     staged = found.select(
-        "*",
-        F.when(with_body, F.regexp_extract(hit, FLAGS + fx.JS_CALL_WITH_BODY, 2))
-        .when(literal, F.regexp_extract(hit, FLAGS + fx.JS_LITERAL, 2)).alias("_body"),
-        F.when(decorator, F.regexp_extract(after, FLAGS + fx.PY_NEXT_DEF + "(.*)", 2)).alias("_after_def"),
-    )
-    named = staged.select(
-        "*",
-        F.when(call, F.trim(_group(hit, fx.JS_CALL, 1)))
-        .when(with_body, F.trim(_group(hit, fx.JS_CALL_WITH_BODY, 1)))
-        .when(literal, F.trim(_group(hit, fx.JS_LITERAL, 1)))
-        .when(decorator, F.coalesce(_group(hit, fx.PY_NAME_ARGUMENT), _group(after, fx.PY_NEXT_DEF)))
-        .otherwise(_group(hit, fx.PY_NAME_ARGUMENT)).alias("tool_name"),
+        "*", F.when(decorator, F.regexp_extract(after, FLAGS + fx.PY_NEXT_DEF + "(.*)", 2)).alias("_after_def"),
+        F.when(decorator, F.coalesce(_group(body, fx.PY_NAME_ARGUMENT), _group(after, fx.PY_NEXT_DEF)))
+        .when(ctor, _group(body, fx.PY_NAME_ARGUMENT)).otherwise(given).alias("tool_name"),
     )
     private = decorator & F.col("tool_name").startswith("_")
-    described = named.where((text_or_empty("tool_name") != "") & ~private).select(
+    described = staged.where((text_or_empty("tool_name") != "") & ~private).select(
         "*",
-        F.when(call, _group(hit, fx.JS_CALL, 2))
-        .when(literal, F.nullif(squeeze(_group(hit, fx.JS_LITERAL, 3)), F.lit("")))
-        .when(decorator, _group(hit, fx.PY_DESCRIPTION_ARGUMENT))
-        .when(ctor, _group(hit, fx.PY_DESCRIPTION_ARGUMENT)).alias("_own"),
+        F.when(literal, F.nullif(squeeze("description"), F.lit("")))
+        .when(decorator | ctor, _group(body, fx.PY_DESCRIPTION_ARGUMENT))
+        .otherwise(F.nullif("description", F.lit(""))).alias("_own"),
         F.when(with_body | literal, _group(body, fx.JS_DESCRIPTION))
         .when(decorator, squeeze(F.regexp_extract("_after_def", FLAGS + fx.PY_DOCSTRING, 2))).alias("_inner"),
         F.when(with_body, body.rlike(fx.JS_SCHEMA))
-        .when(literal, F.when(body != "", body).otherwise(F.concat(hit, after)).rlike(fx.JS_SCHEMA))
-        .when(ctor, hit.rlike(fx.PY_SCHEMA_ARGUMENT)).otherwise(False).alias("has_schema"),
+        .when(literal, F.when(body != "", body).otherwise(after).rlike(fx.JS_SCHEMA))
+        .when(ctor, body.rlike(fx.PY_SCHEMA_ARGUMENT)).otherwise(False).alias("has_schema"),
     )
     description = F.when(ctor, text_or_empty("_own")).otherwise(
         clean_description(F.coalesce("_own", "_inner"))
@@ -146,16 +108,12 @@ def scan_files(
     language: str = "language",
 ) -> DataFrame:
     """All idioms over all files in one pass over the text, before deduplication. A file is only searched for
-    the idioms of its own language; decorated private functions are left out."""
-    none = F.array().cast("array<struct<extraction_pattern: string, position: int, hit: string, after: string>>")
-
-    def of(languages) -> Column:
-        wanted = [p for p in patterns if (p.startswith("py_")) == (languages == PYTHON)]
-        return F.concat(*[_idiom_hits(p, text) for p in wanted]) if wanted else none
-
-    hits = F.when(F.col(language).isin(*JS), of(JS)).when(F.col(language).isin(*PYTHON), of(PYTHON))
-    found = files.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
-    return _read_hits(found, keep)
+    the idioms of its own language; decorated private functions are left out. Arguments and bodies end at their own
+    closing bracket, whatever their length; an argument list that is never closed is no hit. A null or empty text has none."""
+    wanted = files.where(F.col(language).isin(*{k for p in patterns for k in (PYTHON if p.startswith("py_") else JS)}))
+    hits = scanner.registrations(F.col(text), F.col(language))
+    found = wanted.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
+    return _read_hits(found.where(F.col("extraction_pattern").isin(*patterns)), keep)
 
 
 def extract_calls_js(files: DataFrame, keep: Sequence[str], **columns: str) -> DataFrame:
@@ -195,22 +153,12 @@ def scan_coverage(files: DataFrame, tools: DataFrame, package: str = "package_ke
 
 
 def extract_strict(files: DataFrame, keep: Sequence[str], text: str = "text", language: str = "language") -> DataFrame:
-    """Independent second opinion for Python: decorators on a line of their own directly above a function, and
-    constructor calls outside comments. A name is private only if the function is private too."""
-    none = F.array().cast("array<struct<extraction_pattern: string, position: int, hit: string, after: string>>")
-    hits = F.concat(
-        _tagged("strict_decorator", _hits(text, fx.STRICT_DECORATOR)), _tagged("strict_ctor", _hits(text, fx.STRICT_CONSTRUCTOR, 1))
-    )
-    found = files.where(F.col(language) == "python").select(*keep, F.explode(F.coalesce(hits, none)).alias("h")).select(*keep, "h.*")
-    decorator = F.col("extraction_pattern") == "strict_decorator"
-    function = F.when(decorator, _group("hit", fx.STRICT_DECORATOR, 2))
-    arguments = F.when(decorator, F.regexp_extract("hit", FLAGS + fx.STRICT_DECORATOR, 1)).otherwise(F.col("hit"))
-    read = found.select(
-        *keep, "extraction_pattern", "position", function.alias("function"),
-        F.coalesce(_group(arguments, r"\b" + fx.PY_NAME_ARGUMENT), function).alias("tool_name"),
-    )
-    private = F.coalesce(F.col("function").startswith("_") & F.col("tool_name").startswith("_"), F.lit(False))
-    return read.where(F.col("tool_name").isNotNull() & ~private).drop("function")
+    """Independent second opinion for Python: decorators above a function, whose arguments may span lines, and constructor
+    calls, both outside strings and comments, with the name given on the call's own level. A name is private only if the
+    function is private too."""
+    hits = scanner.strict_registrations(F.col(text), F.col(language))
+    found = files.where(F.col(language) == "python").select(*keep, F.explode(hits).alias("h"))
+    return found.select(*keep, "h.extraction_pattern", "h.position", F.col("h.name").alias("tool_name"))
 
 
 def snippets(

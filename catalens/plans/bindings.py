@@ -101,6 +101,8 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINK = '<a href="([^"]*)">([^<]*)</a>'
+#: Source whose Python files hold a commented-out registration only.
+UNREGISTERED = "src3"
 STRICT_LINK = '<a href="(/[A-Za-z]+)">'
 
 
@@ -132,14 +134,20 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('server.tool("alpha_'), i, F.lit('", "'), d, F.lit('", shape);\n'),
         F.lit('server.registerTool("beta_'), i, F.lit('", { description: "Does \\"beta\\"", inputSchema: shape });\n'),
         F.lit('tools = [{ name: "gamma_'), source, F.lit('", title: "G", description: "'), d, F.lit('" }];\n'),
+        F.lit('server.registerTool("nest_'), i, F.lit('", {\n  inputSchema: { type: "object", properties: { a: { description: "an } argument" } } },\n'),
+        F.lit('  description: "Nested (body" }, handler);\nlist.push({ name: "lit_'), i,
+        F.lit('", annotations: { readOnly: true, hint: { schema: 1 } }, description: "Literal" });\n'),
     )
-    py = F.concat(
+    old = F.concat(F.lit('# Tool(name="old_'), i, F.lit('", description="gone")\n'))
+    py = F.when(source == UNREGISTERED, old).otherwise(F.concat(
         F.lit("@app.tool()\nasync def delta_"), i, F.lit('(a,\n    b):\n    """'), d, F.lit('\n    """\n    return a\n'),
         F.lit('@app.tool(name="eps_'), source, F.lit('", description="'), d, F.lit('")\ndef inner():\n    pass\n'),
         F.lit("@app.tool()\ndef _hidden_"), i, F.lit("():\n    pass\n"),
         F.lit('t = types.Tool(name="zeta_'), i, F.lit('", description="Does zeta", input_schema={})\n'),
-        F.lit('# Tool(name="old_'), i, F.lit('", description="gone")\n'),
-    )
+        old,
+        F.lit('@app.tool(\n    name="multi_'), i, F.lit('",\n    description="Reads (all) files",  # a :) note\n    tags={"a": (1, 2)},\n)\n@other(\n    1)\n'),
+        F.lit('def multi():\n    pass\nx, y = Tool(name="one_'), i, F.lit('", description="First :)"), Tool(name="two_'), i, F.lit('")\n'),
+    ))
     code = F.when(lang.isin("en", "fr"), js).otherwise(py)
     path = (
         F.when(lang == "en", F.concat(F.lit("src/d"), i, F.lit(".ts")))

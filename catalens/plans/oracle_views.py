@@ -141,16 +141,19 @@ FROM docs WHERE lang <> 'es'""", "docs")
 view("found_js", """
 SELECT package_key, server_name, language, path, u.* FROM files, LATERAL (VALUES
   ('alpha_' || i, d, false, 'ts_server_tool', 1), ('beta_' || i, 'Does "beta"', true, 'ts_server_tool_object', 2),
-  ('gamma_' || source, d, false, 'ts_tool_literal', 3)) u(tool_name, tool_description, has_schema, extraction_pattern, rank)
+  ('gamma_' || source, d, false, 'ts_tool_literal', 3), ('nest_' || i, 'Nested (body', true, 'ts_server_tool_object', 2),
+  ('lit_' || i, 'Literal', false, 'ts_tool_literal', 3)) u(tool_name, tool_description, has_schema, extraction_pattern, rank)
 WHERE lang IN ('en', 'fr')""", "files")
 view("found_decorators", """
 SELECT package_key, server_name, language, path, u.* FROM files, LATERAL (VALUES
-  ('delta_' || i, d, false, 'py_decorator', 4), ('eps_' || source, CASE WHEN d = '' THEN '' ELSE d END, false, 'py_decorator', 4))
-  u(tool_name, tool_description, has_schema, extraction_pattern, rank) WHERE lang = 'de'""", "files")
+  ('delta_' || i, d, false, 'py_decorator', 4), ('eps_' || source, CASE WHEN d = '' THEN '' ELSE d END, false, 'py_decorator', 4),
+  ('multi_' || i, 'Reads (all) files', false, 'py_decorator', 4))
+  u(tool_name, tool_description, has_schema, extraction_pattern, rank) WHERE lang = 'de' AND source <> 'src3'""", "files")
 view("found_ctors", """
 SELECT package_key, server_name, language, path, u.* FROM files, LATERAL (VALUES
-  ('zeta_' || i, 'Does zeta', true, 'py_tool_ctor', 5), ('old_' || i, 'gone', false, 'py_tool_ctor', 5))
-  u(tool_name, tool_description, has_schema, extraction_pattern, rank) WHERE lang = 'de'""", "files")
+  ('zeta_' || i, 'Does zeta', true, 'py_tool_ctor', 5), ('old_' || i, 'gone', false, 'py_tool_ctor', 5),
+  ('one_' || i, 'First :)', false, 'py_tool_ctor', 5), ('two_' || i, '', false, 'py_tool_ctor', 5))
+  u(tool_name, tool_description, has_schema, extraction_pattern, rank) WHERE lang = 'de' AND (source <> 'src3' OR tool_name LIKE 'old%')""", "files")
 view("found", """
 SELECT * FROM found_js UNION ALL SELECT * FROM found_decorators UNION ALL SELECT * FROM found_ctors""",
      "found_js", "found_decorators", "found_ctors")
@@ -160,7 +163,8 @@ SELECT package_key, server_name, language, path, tool_name, tool_description, ha
   FROM found) WHERE rn = 1""", "found")
 view("strict", """
 SELECT package_key, path, u.* FROM files, LATERAL (VALUES ('delta_' || i, 'strict_decorator'),
-  ('eps_' || source, 'strict_decorator'), ('zeta_' || i, 'strict_ctor')) u(tool_name, extraction_pattern) WHERE lang = 'de'""", "files")
+  ('eps_' || source, 'strict_decorator'), ('multi_' || i, 'strict_decorator'), ('zeta_' || i, 'strict_ctor'), ('one_' || i, 'strict_ctor'), ('two_' || i, 'strict_ctor'))
+  u(tool_name, extraction_pattern) WHERE lang = 'de' AND source <> 'src3'""", "files")
 view("agreed", """
 SELECT package_key, parsed AS comparable, count(tool_name) FILTER (a) AS items_a,
   CASE WHEN parsed THEN count(tool_name) FILTER (b) END AS items_b,

@@ -40,6 +40,7 @@ def test_javascript_idioms(spark):
         "beta": ("Does beta", True, "ts_server_tool_object"),
         "gamma": ("Does gamma", False, "ts_tool_literal"),
         "plain": ("no body", True, "ts_tool_literal"),
+        "nested": ("x", True, "ts_server_tool_object"),
     }
 
 
