@@ -167,23 +167,28 @@ def snippets(
 ) -> DataFrame:
     """First n source excerpts per package around lines that mention one of the package's terms.
 
-    `terms` has one array column `terms` per package. Per file only its first n hits are unfolded, since no
-    later one can be among the first n of the package.
+    `terms` has one array column `terms` per package. Hits are found first, as (file, line), and only the first n of a file
+    and of a package go on; then the text of the files that won is read once more. Terms and winners are stored, so both
+    joins send the small side while it is small, and no text is shuffled then. A file is one (package, path).
     """
-    lines = files.join(terms.select(package, "terms"), package).withColumn("lines", F.split(text, "\n"))
+    terms = materialise(terms.select(package, "terms"), "terms")
+    lines = files.join(terms, package).withColumn("lines", F.split(text, "\n"))
     hit = F.filter(
         F.sequence(F.lit(0), F.size("lines") - 1),
         lambda i: F.exists("terms", lambda t: (t != "") & F.contains(F.get("lines", i), t)),
     )
+    found = lines.select(package, path, F.explode(F.slice(hit, 1, n)).alias("i"))
+    first = _first_per(found, [package], [F.col(path).asc(), F.col("i").asc()], n).withColumnRenamed("_rank", "rank")
+    won = materialise(first.groupBy(package, path).agg(F.collect_list(F.struct("i", "rank")).alias("won")), "won")
     start = F.greatest(F.lit(0), F.col("i") - before)
-    found = lines.select(package, path, "lines", F.explode(F.slice(hit, 1, n)).alias("i")).select(
+    texts = files.select(package, path, text).join(won, [package, path]).dropDuplicates([package, path])
+    return texts.select(package, path, F.split(text, "\n").alias("lines"), F.inline("won")).select(
         package, path, (F.col("i") + 1).cast("bigint").alias("line_no"),
         F.left(
             F.regexp_replace(F.array_join(F.slice("lines", start + 1, F.col("i") + after + 1 - start), "\n"), r"^\s+|\s+$", ""),
             F.lit(width),
-        ).alias("snippet"),
+        ).alias("snippet"), "rank",
     )
-    return _first_per(found, [package], [F.col(path).asc(), F.col("line_no").asc()], n).withColumnRenamed("_rank", "rank")
 
 
 def first_terms(tools: DataFrame, package: str, item: str, n: int = 8) -> DataFrame:

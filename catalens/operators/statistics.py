@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from catalens.functions.numeric import hash_int, hash_uniform, poisson1
+from catalens.operators.draws import binomial_draws, poisson_draws, uniform52
 from catalens.operators.metric import value_positions
+from catalens.session import materialise
 
 
 def _pearson(x: Column, y: Column, w: Column) -> Column:
@@ -54,64 +55,35 @@ def index_percentile_interval(draws: DataFrame, draw: str, by: tuple[str, ...] =
     )
 
 
-def _key_digest(*parts: Column) -> Column:
-    return F.md5(F.concat_ws(":", *parts))
+#: Tasks for work that multiplies few cells by many replicates; adaptive execution would merge such small inputs into one.
+SPREAD = 32
+#: Bins of values in which weighted ranks are summed up, per side.
+RANK_BINS = 32
 
+Flag = Column | tuple[Column, Column]
 
-def _workers(df: DataFrame) -> int:
-    """Tasks for work that multiplies few rows by many replicates. An explicit number, because adaptive
-    execution would merge such small inputs into one task."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+def _replicates(cells: DataFrame, n: int) -> DataFrame:
+    """Every cell with every replicate; blocks of replicates are the unit of work."""
+    blocks = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // 100)))).repartition(SPREAD, "_block")
+    first = F.col("_block") * 100
+    return blocks.withColumn("replicate", F.explode(F.sequence(first, F.least(first + 99, F.lit(n - 1))))).drop("_block")
 
-METHODS = ("draws", "normal")
 
-
-def bootstrap_proportion(df: DataFrame, flags: dict[str, Column], n: int = 10_000, seed: int = 0, method: str = "draws") -> DataFrame:
+def bootstrap_proportion(df: DataFrame, flags: dict[str, Flag], n: int = 10_000, seed: int = 0) -> DataFrame:
     """Percentile bootstrap of shares: quantity, value, low, high, n; all quantities in one pass.
 
-    Resampling k yes/no rows only depends on k and the number s of yes rows, so the data is reduced to
-    (k, s) before any replicate exists. The caller names the method, whatever the number of rows: `draws` makes every
-    single draw (a hashed index below s counts as a yes; k * n hashes), `normal` draws the binomial count from its normal
-    limit (n hashes), which from some thousand rows on differs by less than the reported tenth of a percent.
+    A flag is a condition, or a condition and the one that rows must meet to count at all. Resampling k yes/no rows only
+    depends on k and the number s of yes rows: the replicate's count is binomial, and one exact draw gives it.
     """
-    wide = df.agg(
-        F.count(F.lit(1)).alias("k"), *[F.count_if(c).alias(f"s{i}") for i, c in enumerate(flags.values())]
-    )
-    entries = [
-        F.struct(F.lit(label).alias("quantity"), F.col("k"), F.col(f"s{i}").alias("s"))
-        for i, label in enumerate(flags)
-    ]
-    totals = wide.select(F.inline(F.array(*entries)))
-    if method not in METHODS:
-        raise ValueError(f"method is one of {METHODS}")
-    return _share_draws(totals, n, seed, method == "draws")
-
-
-def _share_draws(totals: DataFrame, n: int, seed: int, single: bool) -> DataFrame:
+    parts = [f if isinstance(f, tuple) else (f, F.lit(True)) for f in flags.values()]
+    wide = df.agg(*[c for i, (num, den) in enumerate(parts) for c in (
+        F.count_if(den).alias(f"k{i}"), F.count_if(num & den).alias(f"s{i}"))])
+    totals = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("quantity"), F.col(f"k{i}").alias("k"), F.col(f"s{i}").alias("s")) for i, label in enumerate(flags)])))
     draws = totals.where(F.col("k") > 0).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    draws = draws.repartition(_workers(totals), "quantity", "replicate")  # replicates are the unit of work, not the totals row
-    key = [F.lit(str(seed)), F.col("quantity"), F.col("replicate").cast("string")]
-    few = F.lit(single)
-    # One digest carries four 32-bit numbers, hence four draws.
-    last = F.when(few, F.floor((F.col("k") - 1) / 4)).otherwise(0).cast("int")
-    digests = draws.withColumn("block", F.explode(F.sequence(F.lit(0), last))).withColumn(
-        "d", _key_digest(*key, F.col("block").cast("string"))
-    )
-    hits = [
-        F.when((F.col("block") * 4 + q < F.col("k")) & (hash_int(F.col("d"), 1 + 8 * q) % F.col("k") < F.col("s")), 1).otherwise(0)
-        for q in range(4)
-    ]
-    counted = digests.groupBy("quantity", "replicate", "k", "s").agg(F.sum(sum(hits[1:], hits[0])).alias("exact"))
-    digest = _key_digest(*key)
-    u1, u2 = F.lit(1.0) - hash_uniform(digest), hash_uniform(digest, 9)
-    gauss = F.sqrt(-2.0 * F.ln(u1)) * F.cos(2.0 * F.pi() * u2)
-    p = F.col("s") / F.col("k")
-    limit = F.col("k") * p + F.sqrt(F.col("k") * p * (1 - p)) * gauss
-    count = F.when(few, F.col("exact").cast("double")).otherwise(
-        F.least(F.col("k").cast("double"), F.greatest(F.lit(0.0), limit))
-    )
-    shares = counted.select("quantity", (100.0 * count / F.col("k")).alias("draw"))
+    u = uniform52(F.lit(str(seed)), F.col("quantity"), F.col("replicate").cast("string"))
+    shares = binomial_draws(draws, "k", "s", u).select("quantity", (100.0 * F.col("drawn") / F.col("k")).alias("draw"))
     interval = index_percentile_interval(shares, "draw", ("quantity",))
     return totals.join(interval, "quantity").select(
         "quantity",
@@ -120,104 +92,110 @@ def _share_draws(totals: DataFrame, n: int, seed: int, single: bool) -> DataFram
     )
 
 
+def mask_cube(df: DataFrame, conditions: dict[str, Column], cluster: str) -> DataFrame:
+    """cluster, mask, c: rows per cluster and set of conditions they meet (bit i: the i-th condition), from one pass.
+
+    Any share of rows, and any basis that conditions describe, can be read from the cube without the rows. At most 62 conditions.
+    """
+    if len(conditions) > 62:
+        raise ValueError("at most 62 conditions")
+    bits = [F.when(c, F.lit(1 << i).cast("long")).otherwise(0) for i, c in enumerate(conditions.values())]
+    mask = sum(bits[1:], bits[0])
+    return df.groupBy(F.col(cluster).cast("string").alias("cluster"), mask.alias("mask")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def cluster_intervals(
+    cube: DataFrame, names: list[str], quantities: dict[str, tuple[list[str], list[str]]], n: int = 10_000, seed: int = 0
+) -> DataFrame:
+    """Cluster bootstrap of shares read from a mask cube: quantity, value_pct, ci95_low, ci95_high, n.
+
+    names: the cube's conditions in order; a quantity is the share of rows that meet all of its first list among those that meet all of
+    its second (rows of the first list have to meet both). Whole clusters are resampled, so repeated rows of one key move
+    together: each has a Poisson(1) weight per replicate. m clusters with the same counts together weigh Poisson(m), which is one
+    exact draw; work follows the distinct counts, not the clusters.
+    """
+    def met(wanted: list[str]) -> Column:
+        bits = sum(1 << names.index(w) for w in set(wanted))
+        return F.col("mask").bitwiseAND(F.lit(bits).cast("long")) == F.lit(bits)
+
+    per_cluster = cube.groupBy("cluster").agg(*[c for i, (num, den) in enumerate(quantities.values()) for c in (
+        F.sum(F.when(met(num + den), F.col("c")).otherwise(0)).alias(f"num{i}"), F.sum(F.when(met(den), F.col("c")).otherwise(0)).alias(f"den{i}"))])
+    long = per_cluster.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("quantity"), F.col(f"num{i}").alias("num"), F.col(f"den{i}").alias("den")) for i, label in enumerate(quantities)])))
+    cells = materialise(long.groupBy("quantity", "num", "den").agg(F.count(F.lit(1)).alias("m")), "clusters")
+    key = [F.lit(str(seed)), F.col("quantity"), *[F.col(c).cast("string") for c in ("num", "den", "replicate")]]
+    weighed = poisson_draws(_replicates(cells.where("den > 0"), n), "m", uniform52(*key), "w").where("w > 0")
+    draws = weighed.groupBy("quantity", "replicate").agg(
+        (100.0 * F.sum(F.col("num") * F.col("w")) / F.sum(F.col("den") * F.col("w"))).alias("draw"))
+    interval = index_percentile_interval(draws, "draw", ("quantity",))
+    point = cells.groupBy("quantity").agg(F.sum(F.col("num") * F.col("m")).alias("num"), F.sum(F.col("den") * F.col("m")).alias("n"))
+    value = F.when(F.col("n") > 0, F.bround(100.0 * F.col("num") / F.nullif("n", F.lit(0)), 1))
+    return point.join(interval, "quantity").select(
+        "quantity", value.alias("value_pct"), F.bround("low", 1).alias("ci95_low"), F.bround("high", 1).alias("ci95_high"), "n")
+
+
 def bootstrap_cluster(
     df: DataFrame, flags: dict[str, tuple[Column, Column]], cluster: str, n: int = 10_000, seed: int = 0
 ) -> DataFrame:
-    """Cluster bootstrap of shares: whole clusters are resampled, so repeated rows of one key move together.
+    """Cluster bootstrap of shares; `flags` maps a label to (numerator condition, denominator condition). See `cluster_intervals`."""
+    conditions = {f"{kind}{i}": c for i, pair in enumerate(flags.values()) for kind, c in zip(("num", "den"), pair)}
+    quantities = {label: ([f"num{i}"], [f"den{i}"]) for i, label in enumerate(flags)}
+    return cluster_intervals(mask_cube(df, conditions, cluster), list(conditions), quantities, n, seed)
 
-    `flags` maps a label to (numerator condition, denominator condition). Rows are reduced to counts per
-    cluster first; each (cluster, replicate) then gets a Poisson(1) weight from a hash of both, which needs
-    no coordination between tasks and sums up by partial aggregation. One weight serves all quantities.
-    """
-    per_cluster = df.groupBy(F.col(cluster).cast("string").alias("cluster")).agg(
-        *[c.alias(name) for i, (num, den) in enumerate(flags.values())
-          for name, c in ((f"num{i}", F.count_if(num & den)), (f"den{i}", F.count_if(den)))]
-    )
-    sums = [f"{kind}{i}" for i in range(len(flags)) for kind in ("num", "den")]
-    point = per_cluster.agg(*[F.sum(c).alias(c) for c in sums])
-    # One digest carries four 32-bit numbers, hence four replicates.
-    blocks = per_cluster.repartition(_workers(df), "cluster").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))))
-    digest = _key_digest(F.lit(str(seed)), F.coalesce("cluster", F.lit("")), F.col("block").cast("string"))
-    hashed = blocks.withColumn("d", digest)
-    weights = [poisson1(hash_uniform(F.col("d"), 1 + 8 * q)) for q in range(4)]
-    summed = hashed.groupBy("block").agg(
-        *[F.sum(F.col(c) * w).alias(f"{c}_{q}") for q, w in enumerate(weights) for c in sums]
-    )
-    draws = summed.select(
-        F.inline(F.array(*[
-            F.struct((F.col("block") * 4 + q).alias("replicate"), *[F.col(f"{c}_{q}").alias(c) for c in sums])
-            for q in range(4)
-        ]))
-    ).where(F.col("replicate") < n)
-    long = draws.select(
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(label).alias("quantity"),
-                F.when(F.col(f"den{i}") > 0, 100.0 * F.col(f"num{i}") / F.col(f"den{i}")).alias("draw"),
-            )
-            for i, label in enumerate(flags)
-        ]))
-    )
-    interval = index_percentile_interval(long, "draw", ("quantity",))
-    values = point.select(
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(label).alias("quantity"),
-                F.when(F.col(f"den{i}") > 0, F.bround(100.0 * F.col(f"num{i}") / F.col(f"den{i}"), 1)).alias("value_pct"),
-                F.col(f"den{i}").alias("n"),
-            )
-            for i, label in enumerate(flags)
-        ]))
-    )
-    return values.join(interval, "quantity").select(
-        "quantity", "value_pct", F.bround("low", 1).alias("ci95_low"), F.bround("high", 1).alias("ci95_high"), "n"
-    )
 
+def bootstrap_spearman(df: DataFrame, a: str, b: str, n: int = 10_000, seed: int = 0) -> DataFrame:
+    """Interval of the rank correlation: value, ci95_low, ci95_high, n.
 
-def bootstrap_spearman(df: DataFrame, a: str, b: str, key: str, n: int = 10_000, seed: int = 0) -> DataFrame:
-    """Interval of the rank correlation. Every row gets a hashed Poisson(1) weight per replicate; weights are
-    summed to (replicate, value pair) cells by partial aggregation, ranks are weighted average ranks inside
-    the replicate, and degenerate replicates (a constant side) are skipped."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        F.col(key).cast("string").alias("key"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")
-    )
-    blocks = rows.repartition(_workers(df), "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n + 3) // 4 - 1))))
-    digest = _key_digest(F.lit(str(seed)), F.coalesce("key", F.lit("")), F.col("block").cast("string"))
-    hashed = blocks.withColumn("d", digest)
-    weights = [poisson1(hash_uniform(F.col("d"), 1 + 8 * q)) for q in range(4)]
-    summed = hashed.groupBy("block", "x", "y").agg(*[F.sum(w).alias(f"w{q}") for q, w in enumerate(weights)])
-    cells = summed.select(
-        "x", "y",
-        F.inline(F.array(*[
-            F.struct((F.col("block") * 4 + q).alias("replicate"), F.col(f"w{q}").alias("w")) for q in range(4)
-        ])),
-    ).where((F.col("w") > 0) & (F.col("replicate") < n))
-
-    # Running weights up to and including a value's ties, minus half of the ties: average ranks for both sides
-    # from one shuffle by replicate.
-    one = Window.partitionBy("replicate")
-    upto = {side: F.sum("w").over(one.orderBy(side)) for side in ("x", "y")}  # default frame: ties included
-    ties = {side: F.sum("w").over(Window.partitionBy("replicate", side)) for side in ("x", "y")}
-    ranked = cells.select(
-        "replicate", "w", *[(upto[side] - (ties[side] - 1) / 2.0).alias(f"r{side}") for side in ("x", "y")]
-    )
-    draws = ranked.groupBy("replicate").agg(
-        _pearson(F.col("rx"), F.col("ry"), F.col("w").cast("double")).alias("draw")
-    )
+    Rows are reduced to distinct value pairs; the m rows of a pair together weigh Poisson(m) in a replicate, one exact draw. Ranks are
+    weighted average ranks inside the replicate, found in two levels: weights of the values below come from RANK_BINS sums per
+    replicate, and from the values of the same bin, so no replicate is sorted in one task. Bins hold about equally many rows.
+    Replicates with a constant side are skipped; rows with a null on either side are left out.
+    """
+    pairs = (
+        df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+        .groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        .agg(F.count(F.lit(1)).alias("m"))
+    )
+    pairs = materialise(pairs, "pairs")
+
+    def bins(side: str) -> DataFrame:
+        bin_ = F.floor(F.col("below") * RANK_BINS / F.col("n")).cast("int")
+        return value_positions(pairs, side, weight="m").select(F.col("v").alias(side), bin_.alias(f"b{side}"))
+
+    cells = materialise(pairs.join(bins("x"), "x").join(bins("y"), "y"), "cells")
+    key = [F.lit(str(seed)), F.col("x").cast("string"), F.col("y").cast("string"), F.col("replicate").cast("string")]
+    weighed = poisson_draws(_replicates(cells, n), "m", uniform52(*key), "w").where("w > 0")
+    # Weights per replicate and bin of either side, then the weight below every bin as an array; no row of values is involved.
+    sides = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"b{s}").alias("bin")) for s in ("x", "y")]))
+    binned = weighed.select("replicate", "w", sides).groupBy("replicate", "side", "bin").agg(F.sum("w").alias("w"))
+    listed = binned.groupBy("replicate", "side").agg(F.sum("w").alias("all"), F.collect_list(F.struct("bin", "w")).alias("bins"))
+    below = F.transform(F.sequence(F.lit(0), F.lit(RANK_BINS - 1)), lambda i: F.aggregate(
+        F.filter("bins", lambda e: e["bin"] < i), F.lit(0).cast("long"), lambda acc, e: acc + e["w"]))
+    listed = listed.withColumn("below", below)
+    sums = listed.groupBy("replicate").agg(
+        F.max("all").alias("all"), *[F.max(F.when(F.col("side") == s, F.col("below"))).alias(f"below_{s}") for s in ("x", "y")])
+    placed = weighed.join(sums, "replicate")
+    for side in ("x", "y"):
+        inside = Window.partitionBy("replicate", f"b{side}").orderBy(side)  # default frame: ties included
+        ties = F.sum("w").over(Window.partitionBy("replicate", f"b{side}", side))
+        rank = F.get(F.col(f"below_{side}"), F.col(f"b{side}")) + F.sum("w").over(inside) - (ties - 1) / 2.0
+        placed = placed.withColumn(f"r{side}", rank / F.col("all") - (F.col("all") + 1) / (2.0 * F.col("all")))
+    draws = placed.groupBy("replicate").agg(_pearson(F.col("rx"), F.col("ry"), F.col("w").cast("double")).alias("draw"))
     interval = index_percentile_interval(draws, "draw")
     return interval.select(
         F.bround(spearman(df, a, b).scalar(), 3).alias("value"),
         F.bround("low", 3).alias("ci95_low"), F.bround("high", 3).alias("ci95_high"),
-        rows.agg(F.count(F.lit(1))).scalar().alias("n"),
+        pairs.agg(F.sum("m")).scalar().alias("n"),
     )
 
 
-def interval_table(parts: list[tuple[DataFrame, str]]) -> DataFrame:
-    """Interval outputs with the basis they were computed on and the worst-case half-width of a share."""
+def interval_table(parts: list[tuple[DataFrame, str | Column]], others: list[tuple[DataFrame, str | Column]] = ()) -> DataFrame:
+    """Interval outputs with the basis they were computed on and, for shares, the worst-case half-width in percent points.
+
+    `others` are intervals of quantities that are no shares: their half-width is null."""
+    width = F.bround(100.0 * 1.96 * F.sqrt(F.lit(0.25) / F.col("n")), 1)
     labelled = [
-        df.withColumn("basis", F.lit(basis)).withColumn(
-            "worst_half_width_pct", F.bround(100.0 * 1.96 * F.sqrt(F.lit(0.25) / F.col("n")), 1)
-        )
-        for df, basis in parts
+        df.withColumn("basis", basis if isinstance(basis, Column) else F.lit(basis)).withColumn("worst_half_width_pct", w)
+        for group, w in ((parts, width), (others, F.lit(None).cast("double"))) for df, basis in group
     ]
     return reduce(DataFrame.unionByName, labelled)

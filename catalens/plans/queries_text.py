@@ -56,10 +56,10 @@ def extract_strict(s, d):
 
 
 @Q.add("document_assignments", "X5, X10", """
-SELECT doc_id, lower(trim(name)) AS name, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_]+) = "([^"]{1,120})"', 1)) AS name,
- unnest(regexp_extract_all(text, '([A-Za-z_]+) = "([^"]{1,120})"', 2)) AS value FROM documents)""")
+SELECT doc_id, lower(trim(name)) AS name, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([A-Za-z_]+) = "([^"]+)"', 1)) AS name,
+ unnest(regexp_extract_all(text, '([A-Za-z_]+) = "([^"]+)"', 2)) AS value FROM documents)""")
 def document_assignments(s, d):
-    pattern = '([A-Za-z_]+) = "([^"]{1,120})"'
+    pattern = '([A-Za-z_]+) = "([^"]+)"'
     hits = b.table(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("h"))
     return hits.select("doc_id", F.lower(F.trim(F.regexp_extract("h", pattern, 1))).alias("name"), F.regexp_extract("h", pattern, 2).alias("value"))
 
@@ -67,11 +67,16 @@ def document_assignments(s, d):
 @Q.add("snippets", "X10", """
 WITH t AS (SELECT package_key, list_slice(list(DISTINCT tool_name ORDER BY tool_name), 1, 8) AS terms FROM tools GROUP BY 1),
  js AS (SELECT package_key, path, 'server.tool("alpha_' || i || '", "' || d || '", shape);' || chr(10) || 'server.registerTool("beta_' || i || '", { description: "Does \\"beta\\"", inputSchema: shape });' || chr(10)
-  || 'tools = [{ name: "gamma_' || source || '", title: "G", description: "' || d || '" }];' || chr(10) || text AS body FROM files WHERE lang IN ('en', 'fr')),
- py AS (SELECT package_key, path, '@app.tool()' || chr(10) || 'async def delta_' || i || '(a,' || chr(10) || '    b):' || chr(10) || '    \"\"\"' || d || chr(10) || '    \"\"\"' || chr(10) || '    return a' || chr(10)
+  || 'tools = [{ name: "gamma_' || source || '", title: "G", description: "' || d || '" }];' || chr(10)
+  || 'server.registerTool("nest_' || i || '", {' || chr(10) || '  inputSchema: { type: "object", properties: { a: { description: "an } argument" } } },' || chr(10)
+  || '  description: "Nested (body" }, handler);' || chr(10) || 'list.push({ name: "lit_' || i || '", annotations: { readOnly: true, hint: { schema: 1 } }, description: "Literal" });' || chr(10)
+  || text AS body FROM files WHERE lang IN ('en', 'fr')),
+ py AS (SELECT package_key, path, CASE WHEN source = 'src3' THEN '# Tool(name="old_' || i || '", description="gone")' || chr(10) ELSE '@app.tool()' || chr(10) || 'async def delta_' || i || '(a,' || chr(10) || '    b):' || chr(10) || '    \"\"\"' || d || chr(10) || '    \"\"\"' || chr(10) || '    return a' || chr(10)
   || '@app.tool(name="eps_' || source || '", description="' || d || '")' || chr(10) || 'def inner():' || chr(10) || '    pass' || chr(10)
   || '@app.tool()' || chr(10) || 'def _hidden_' || i || '():' || chr(10) || '    pass' || chr(10)
-  || 't = types.Tool(name="zeta_' || i || '", description="Does zeta", input_schema={})' || chr(10) || '# Tool(name="old_' || i || '", description="gone")' || chr(10) || text AS body FROM files WHERE lang = 'de'),
+  || 't = types.Tool(name="zeta_' || i || '", description="Does zeta", input_schema={})' || chr(10) || '# Tool(name="old_' || i || '", description="gone")' || chr(10)
+  || '@app.tool(' || chr(10) || '    name="multi_' || i || '",' || chr(10) || '    description="Reads (all) files",  # a :) note' || chr(10) || '    tags={"a": (1, 2)},' || chr(10) || ')' || chr(10) || '@other(' || chr(10) || '    1)' || chr(10)
+  || 'def multi():' || chr(10) || '    pass' || chr(10) || 'x, y = Tool(name="one_' || i || '", description="First :)"), Tool(name="two_' || i || '")' || chr(10) END || text AS body FROM files WHERE lang = 'de'),
  l AS (SELECT f.package_key, path, string_split(body, chr(10)) AS lines, terms FROM (SELECT * FROM js UNION ALL SELECT * FROM py) f JOIN t USING (package_key)),
  h AS (SELECT package_key, path, lines, terms, unnest(range(1, len(lines) + 1)) AS n FROM l)
 SELECT package_key, path, n AS line_no, left(regexp_replace(array_to_string(list_slice(lines, greatest(1, n - 1), n + 3), chr(10)), '^\\s+|\\s+$', '', 'g'), 300) AS snippet,
@@ -221,24 +226,35 @@ def agreement_report(s, d):
 
 # --- intervals ------------------------------------------------------------------------------------
 N_BOOT, SEED = 10_000, 20260928
-#: The rank correlation sorts every replicate: 400 take 10 to 20 s at sf0.01, Spark and SQL together, and 10,000 would take 25 times as long.
-N_RANK_BOOT = 400
 _AT = f"max(draw) FILTER (pos = floor(0.025::DOUBLE * n)) AS low, max(draw) FILTER (pos = floor(0.975::DOUBLE * n) - 1) AS high"
 
 
-def _proportion(parts: str, method: str = "draws") -> str:
-    single = "true" if method == "draws" else "false"
-    exact = f"sum(CASE WHEN ('0x' || substr(h, (1 + 8 * (j % 4))::INT, 8))::BIGINT % k < s THEN 1 ELSE 0 END)"
-    gauss = f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {uniform('h')})) * cos(2.0::DOUBLE * pi() * {uniform('h', 9)})"
+def _u52(*parts: str) -> str:
+    return f"(('0x' || substr(md5('{SEED}:' || {" || ':' || ".join(parts)}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
+def _law(name: str, laws: str, key: str, low: str, high: str, log_pmf: str) -> str:
+    """A table of cumulative probabilities: the law's key, x, lo, hi."""
+    return f"""{name}_p AS (SELECT *, exp({log_pmf}) AS p FROM (SELECT *, unnest(range({low}, {high} + 1)) AS x FROM (SELECT DISTINCT {key} FROM {laws}))),
+ {name}_c AS (SELECT {key}, x, sum(p) OVER (PARTITION BY {key} ORDER BY x) / sum(p) OVER (PARTITION BY {key}) AS hi FROM {name}_p),
+ {name} AS (SELECT {key}, x, coalesce(lag(hi) OVER o, 0.0::DOUBLE) AS lo, CASE WHEN lead(x) OVER o IS NULL THEN 2.0::DOUBLE ELSE hi END AS hi FROM {name}_c WINDOW o AS (PARTITION BY {key} ORDER BY x))"""
+
+
+def _poisson(name: str, laws: str) -> str:
+    side = "(ceil(12 * sqrt(m)) + 40)::BIGINT"
+    return _law(name, laws, "m", f"greatest(0, m - {side})", f"m + {side}", "x * ln(m::DOUBLE) - m - lgamma(x + 1)")
+
+
+def _proportion(parts: str) -> str:
+    side = "(ceil(12 * sqrt(s * (1 - s::DOUBLE / k))) + CASE WHEN s > 0 AND s < k THEN 40 ELSE 0 END)::BIGINT"
+    pmf = ("CASE WHEN s = 0 OR s = k THEN 0.0 ELSE lgamma(k + 1) - lgamma(x + 1) - lgamma(k - x + 1) + x * ln(s::DOUBLE / k) + (k - x) * ln(1 - s::DOUBLE / k) END")
     return f"""
-WITH t AS ({parts}), r AS (SELECT quantity, k, s, unnest(range({N_BOOT})) AS r FROM t),
- small AS (SELECT quantity, k, r, 100.0::DOUBLE * {exact} / k AS draw FROM (SELECT quantity, k, s, r, j, md5('{SEED}:' || quantity || ':' || r || ':' || (j // 4)) AS h
-   FROM (SELECT *, unnest(range(k)) AS j FROM r WHERE {single})) GROUP BY 1, 2, 3),
- big AS (SELECT quantity, k, r, 100.0::DOUBLE * least(k::DOUBLE, greatest(0.0::DOUBLE, k * (s::DOUBLE / k) + sqrt(k * (s::DOUBLE / k) * (1 - s::DOUBLE / k)) * {gauss})) / k AS draw
-   FROM (SELECT *, md5('{SEED}:' || quantity || ':' || r) AS h FROM r WHERE NOT {single})),
- dd AS (SELECT quantity, draw, row_number() OVER (PARTITION BY quantity ORDER BY draw) - 1 AS pos, count(*) OVER (PARTITION BY quantity) AS n FROM (SELECT * FROM small UNION ALL SELECT * FROM big)),
- c AS (SELECT quantity, {_AT} FROM dd GROUP BY 1)
-SELECT quantity, round_even(100.0::DOUBLE * s / k, 1) AS value_pct, round_even(low, 1) AS ci95_low, round_even(high, 1) AS ci95_high, k AS n FROM t JOIN c USING (quantity)"""
+WITH t AS ({parts}), r AS (SELECT *, {_u52('quantity', 'r')} AS u FROM (SELECT quantity, k, s, unnest(range({N_BOOT})) AS r FROM t WHERE k > 0)),
+ {_law('pl', '(SELECT * FROM t WHERE k > 0)', 'k, s', f'greatest(0, s - {side})', f'least(k, s + {side})', pmf)},
+ pd AS (SELECT quantity, draw, row_number() OVER (PARTITION BY quantity ORDER BY draw) - 1 AS pos, count(*) OVER (PARTITION BY quantity) AS n
+   FROM (SELECT quantity, 100.0::DOUBLE * x / r.k AS draw FROM r JOIN pl ON r.k = pl.k AND r.s = pl.s AND u >= lo AND u < hi)),
+ pc AS (SELECT quantity, {_AT} FROM pd GROUP BY 1)
+SELECT quantity, round_even(100.0::DOUBLE * s / k, 1) AS value_pct, round_even(low, 1) AS ci95_low, round_even(high, 1) AS ci95_high, k AS n FROM t JOIN pc USING (quantity)"""
 
 
 @Q.add("bootstrap_proportion", "T7", _proportion("""
@@ -248,21 +264,25 @@ def bootstrap_proportion(s, d):
 
 
 @Q.add("bootstrap_proportion_many_rows", "T7", _proportion("""
-SELECT 'returned' AS quantity, count(*) AS k, count(*) FILTER (l_returnflag = 'R') AS s FROM lineitem UNION ALL SELECT 'large', count(*), count(*) FILTER (l_quantity > 45) FROM lineitem""", "normal"))
+SELECT 'returned' AS quantity, count(*) AS k, count(*) FILTER (l_returnflag = 'R') AS s FROM lineitem UNION ALL SELECT 'large', count(*), count(*) FILTER (l_quantity > 45) FROM lineitem"""))
 def bootstrap_proportion_many_rows(s, d):
     return st.bootstrap_proportion(
-        b.table(s, d, "lineitem"), {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") > 45}, N_BOOT, SEED, "normal")
+        b.table(s, d, "lineitem"), {"returned": F.col("l_returnflag") == "R", "large": F.col("l_quantity") > 45}, N_BOOT, SEED)
 
 
-def _cluster(cells: str, label: str) -> str:
-    """`cells`: cluster, num, den."""
+def _clusters(clusters: str) -> str:
+    """`clusters`: quantity, cluster, num, den."""
     return f"""
-WITH c AS ({cells}), x AS (SELECT num, den, r, md5('{SEED}:' || cluster || ':' || (r // 4)) AS h FROM (SELECT *, unnest(range({N_BOOT})) AS r FROM c)),
- y AS (SELECT num, den, r, (('0x' || substr(h, (1 + 8 * (r % 4))::INT, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE) AS u FROM x),
- z AS (SELECT r, 100.0::DOUBLE * sum(num * {poisson1('u')}) / sum(den * {poisson1('u')}) AS draw, sum(den * {poisson1('u')}) AS w FROM y GROUP BY 1),
- dd AS (SELECT draw, row_number() OVER (ORDER BY draw) - 1 AS pos, count(*) OVER () AS n FROM z WHERE w > 0), i AS (SELECT {_AT} FROM dd)
-SELECT '{label}' AS quantity, (SELECT round_even(100.0::DOUBLE * sum(num)::DOUBLE / sum(den)::DOUBLE, 1) FROM c) AS value_pct, round_even(low, 1) AS ci95_low, round_even(high, 1) AS ci95_high,
- (SELECT sum(den)::BIGINT FROM c) AS n FROM i"""
+WITH cc AS (SELECT quantity, num::BIGINT AS num, den::BIGINT AS den, count(*) AS m FROM ({clusters}) GROUP BY 1, 2, 3), {_poisson('cl', 'cc')},
+ cx AS (SELECT *, {_u52('quantity', 'num', 'den', 'r')} AS u FROM (SELECT *, unnest(range({N_BOOT})) AS r FROM cc WHERE den > 0)),
+ cz AS (SELECT quantity, r, 100.0::DOUBLE * sum(num * x)::DOUBLE / sum(den * x)::DOUBLE AS draw FROM cx JOIN cl ON cx.m = cl.m AND u >= lo AND u < hi WHERE x > 0 GROUP BY 1, 2),
+ cd AS (SELECT quantity, draw, row_number() OVER (PARTITION BY quantity ORDER BY draw) - 1 AS pos, count(*) OVER (PARTITION BY quantity) AS n FROM cz), ci AS (SELECT quantity, {_AT} FROM cd GROUP BY 1),
+ ct AS (SELECT quantity, sum(num * m)::DOUBLE AS num, sum(den * m)::BIGINT AS n FROM cc GROUP BY 1)
+SELECT quantity, round_even(100.0::DOUBLE * num / n, 1) AS value_pct, round_even(low, 1) AS ci95_low, round_even(high, 1) AS ci95_high, n FROM ct JOIN ci USING (quantity)"""
+
+
+def _cluster(cells: str, label: str) -> str:
+    return _clusters(f"SELECT '{label}' AS quantity, * FROM ({cells})")
 
 
 @Q.add("bootstrap_cluster", "T8", _cluster("""
@@ -298,30 +318,91 @@ def spearman_prices(s, d):
     return st.spearman(b.table(s, d, "lineitem"), "l_extendedprice", "l_quantity").select(F.bround("rho", 6).alias("rho"))
 
 
-@Q.add("bootstrap_spearman", "T9", f"""
-WITH x AS (SELECT a, b, r, md5('{SEED}:' || name || ':' || (r // 4)) AS h FROM (SELECT *, unnest(range({N_RANK_BOOT})) AS r FROM signals)),
- y AS (SELECT a, b, r, {poisson1("(('0x' || substr(h, (1 + 8 * (r % 4))::INT, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE)")} AS w FROM x),
- c AS (SELECT r, a, b, sum(w)::DOUBLE AS w FROM y GROUP BY 1, 2, 3 HAVING sum(w) > 0),
- ra AS (SELECT r, a, coalesce(sum(w) OVER (PARTITION BY r ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (w + 1) / 2 AS x FROM (SELECT r, a, sum(w) AS w FROM c GROUP BY 1, 2)),
- rb AS (SELECT r, b, coalesce(sum(w) OVER (PARTITION BY r ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (w + 1) / 2 AS y FROM (SELECT r, b, sum(w) AS w FROM c GROUP BY 1, 2)),
- g AS (SELECT r, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / sqrt(sum(w) * sum(w * x * x) - sum(w * x) ** 2) / sqrt(sum(w) * sum(w * y * y) - sum(w * y) ** 2) AS draw
-  FROM c JOIN ra USING (r, a) JOIN rb USING (r, b) GROUP BY 1),
- dd AS (SELECT draw, row_number() OVER (ORDER BY draw) - 1 AS pos, count(*) OVER () AS n FROM g WHERE draw IS NOT NULL AND NOT isnan(draw)), i AS (SELECT {_AT} FROM dd),
- rk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS y FROM signals)
-SELECT (SELECT round_even(corr(x, y), 3) FROM rk) AS value, round_even(low, 3) AS ci95_low, round_even(high, 3) AS ci95_high, (SELECT count(*) FROM signals) AS n FROM i""")
+_RANKS = f"""
+WITH sp AS (SELECT a, b, count(*) AS m FROM signals GROUP BY 1, 2), {_poisson('sl', 'sp')},
+ sx AS (SELECT *, {_u52('a::DOUBLE', 'b::DOUBLE', 'r')} AS u FROM (SELECT *, unnest(range({N_BOOT})) AS r FROM sp)),
+ sc AS (SELECT r, a, b, x::DOUBLE AS w FROM sx JOIN sl ON sx.m = sl.m AND u >= lo AND u < hi WHERE x > 0),
+ ra AS (SELECT r, a, coalesce(sum(w) OVER (PARTITION BY r ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (w + 1) / 2 AS x FROM (SELECT r, a, sum(w) AS w FROM sc GROUP BY 1, 2)),
+ rb AS (SELECT r, b, coalesce(sum(w) OVER (PARTITION BY r ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (w + 1) / 2 AS y FROM (SELECT r, b, sum(w) AS w FROM sc GROUP BY 1, 2)),
+ sv AS (SELECT r, sum(w) * sum(w * x * x) - sum(w * x) ** 2 AS vx, sum(w) * sum(w * y * y) - sum(w * y) ** 2 AS vy, sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y) AS vxy FROM sc JOIN ra USING (r, a) JOIN rb USING (r, b) GROUP BY 1),
+ sd AS (SELECT draw, row_number() OVER (ORDER BY draw) - 1 AS pos, count(*) OVER () AS n FROM (SELECT vxy / sqrt(vx) / sqrt(vy) AS draw FROM sv WHERE vx > 0 AND vy > 0)), si AS (SELECT {_AT} FROM sd),
+ sk AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS y FROM signals)
+SELECT (SELECT round_even(corr(x, y), 3) FROM sk) AS value, round_even(low, 3) AS ci95_low, round_even(high, 3) AS ci95_high, (SELECT count(*) FROM signals) AS n FROM si"""
+
+
+@Q.add("bootstrap_spearman", "T9", _RANKS)
 def bootstrap_spearman(s, d):
-    return st.bootstrap_spearman(stored_signals(s, d), "a", "b", "name", N_RANK_BOOT, SEED)
+    return st.bootstrap_spearman(stored_signals(s, d), "a", "b", N_BOOT, SEED)
+
+
+#: Shares of the interval table by basis: label, condition in SQL over the coded items (part C: not English; part B: English).
+_CODED = {
+    "coded tool definitions": ("lang <> 'en'", {
+        "description states the purpose": "quality = 1", "description explains the inputs": "n_chars >= 600",
+        "description names side effects": "toxic = 1", "description states when to use": "n_chars % 3 = 0",
+        "confusable with a sibling tool": "n_chars % 5 > 0"}),
+    "coded servers": ("lang = 'en'", {
+        "authentication mechanism identified": "n_chars >= 400", "no authentication required": "n_chars % 4 = 0",
+        "write capability": "quality = 1", "broad scope": "toxic = 1", "broad scope and write capability": "toxic = 1 and quality = 1"}),
+}
+_RULES = {"whole-word rule": "credential_named", "permissive substring rule": "looks_like_credential"}
+_BASES = {"all published versions": [], "latest version only": ["is_latest"]}
+
+
+def _credential_quantities() -> dict[str, tuple[list[str], list[str], str]]:
+    """The eight shares over two bases, two rules and two denominators: conditions of numerator and denominator, basis."""
+    out = {}
+    for basis, within in _BASES.items():
+        for rule, hit in _RULES.items():
+            out[f"unflagged credential names, of credential-named ({rule}, {basis})"] = (["unflagged"], [hit, *within], basis)
+            out[f"unflagged credential names, of all declared ({rule}, {basis})"] = ([hit, "unflagged"], ["declared", *within], basis)
+    return out
+
+
+def _interval_sql() -> str:
+    width = "round_even(100.0::DOUBLE * 1.96::DOUBLE * sqrt(0.25::DOUBLE / n), 1) AS worst_half_width_pct"
+    shares = [f"SELECT '{label}' AS quantity, count(*) FILTER ({part}) AS k, count(*) FILTER (({part}) AND ({cond})) AS s FROM raters"
+              for part, conds in _CODED.values() for label, cond in conds.items()]
+    shares.append("SELECT 'packages yielding at least one tool', count(*), count(*) FILTER (package_key IN (SELECT package_key FROM tools)) FROM (SELECT DISTINCT package_key FROM files)")
+    shares.append("SELECT 'servers with no tagged release', count(*), count(*) FILTER (b = 0) FROM signals")
+    basis_of = {label: basis for basis, (_, conds) in _CODED.items() for label in conds} | {
+        "packages yielding at least one tool": "sampled packages", "servers with no tagged release": "sampled repositories"}
+    basis = "CASE quantity " + " ".join(f"WHEN '{q}' THEN '{v}'" for q, v in basis_of.items()) + " END"
+    names = {"unflagged": "NOT is_secret", "declared": "true"}
+    both = lambda conds: " AND ".join(names.get(c, c) for c in conds)
+    clusters = " UNION ALL ".join(
+        f"SELECT '{label}' AS quantity, server_name AS cluster, count(*) FILTER ({both(num + den)}) AS num, count(*) FILTER ({both(den)}) AS den FROM adjudicated GROUP BY server_name"
+        for label, (num, den, _) in _credential_quantities().items())
+    return f"""
+WITH ia AS ({_proportion(" UNION ALL ".join(shares))}), ib AS ({_clusters(clusters)}), ic AS ({_RANKS})
+SELECT *, {basis} AS basis, {width} FROM ia
+UNION ALL SELECT *, CASE WHEN ends_with(quantity, 'latest version only)') THEN 'latest version only' ELSE 'all published versions' END, {width} FROM ib
+UNION ALL SELECT 'Spearman correlation, registry versions vs releases', value, ci95_low, ci95_high, n, 'sampled repositories', NULL FROM ic"""
 
 
-@Q.add("interval_table", "T10", f"""
-WITH a AS ({_proportion("SELECT 'quality' AS quantity, count(*) AS k, count(*) FILTER (quality = 1) AS s FROM labels")}),
- b AS ({_cluster("SELECT source AS cluster, count(*) FILTER (toxic = 1) AS num, count(*) AS den FROM raters GROUP BY 1", "toxic")})
-SELECT *, 'labelled documents' AS basis, round_even(100.0::DOUBLE * 1.96::DOUBLE * sqrt(0.25::DOUBLE / n), 1) AS worst_half_width_pct FROM a
-UNION ALL SELECT *, 'labels by source', round_even(100.0::DOUBLE * 1.96::DOUBLE * sqrt(0.25::DOUBLE / n), 1) FROM b""")
+@Q.add("interval_table", "T10", _interval_sql())
 def interval_table(s, d):
-    plain = st.bootstrap_proportion(b.table(s, d, "labels"), {"quality": F.col("quality") == 1}, N_BOOT, SEED)
-    clustered = st.bootstrap_cluster(b.raters(s, d), {"toxic": (F.col("toxic") == 1, F.lit(True))}, "source", N_BOOT, SEED)
-    return st.interval_table([(plain, "labelled documents"), (clustered, "labels by source")])
+    from catalens.plans.queries_reports import adjudicated
+
+    coded = {label: (F.expr(cond), F.expr(part)) for part, conds in _CODED.values() for label, cond in conds.items()}
+    parts = st.bootstrap_proportion(b.raters(s, d), coded, N_BOOT, SEED)
+    basis = F.create_map(*[F.lit(x) for name, (_, conds) in _CODED.items() for label in conds for x in (label, name)])
+    files = scanned(s, d)
+    coverage = st.bootstrap_proportion(ex.scan_coverage(files, ex.extract_tools(files)),
+                                       {"packages yielding at least one tool": F.col("tools_found") > 0}, N_BOOT, SEED)
+    signals = stored_signals(s, d)
+    silent = st.bootstrap_proportion(signals, {"servers with no tagged release": F.col("b") == 0}, N_BOOT, SEED)
+    grid = _credential_quantities()
+    conditions = {"declared": F.lit(True), "unflagged": ~F.col("is_secret"), "is_latest": F.col("is_latest"),
+                  "credential_named": F.col("credential_named"), "looks_like_credential": F.col("looks_like_credential")}
+    cube = st.mask_cube(adjudicated(s, d), conditions, "server_name")
+    shares = st.cluster_intervals(cube, list(conditions), {q: (num, den) for q, (num, den, _) in grid.items()}, N_BOOT, SEED)
+    of = F.create_map(*[F.lit(x) for q, (_, _, name) in grid.items() for x in (q, name)])
+    ranks = st.bootstrap_spearman(signals, "a", "b", N_BOOT, SEED).select(
+        F.lit("Spearman correlation, registry versions vs releases").alias("quantity"), F.col("value").alias("value_pct"), "ci95_low", "ci95_high", "n")
+    return st.interval_table([
+        (parts, basis[F.col("quantity")]), (coverage, "sampled packages"), (silent, "sampled repositories"), (shares, of[F.col("quantity")]),
+    ], [(ranks, "sampled repositories")])
 
 
 # --- fact sheets and claims -----------------------------------------------------------------------
