@@ -86,6 +86,53 @@ def prose_profile(df: DataFrame, key: str, text: str, dash: str = "---?|—", co
     )
 
 
+def pattern_label(pattern: str) -> str:
+    """A pattern as reports name it: without the word borders around it."""
+    return pattern.removeprefix(r"\b").removesuffix(r"\b")
+
+
+def pattern_counts(df: DataFrame, key: str, text: str, groups: tuple[tuple[str, ...], ...] = fx.CONNECTIVE_GROUPS) -> DataFrame:
+    """Matches per document and pattern: key, pattern, n; patterns without a match and null or empty texts give no row.
+
+    All patterns of a group are found in one pass over the lower-cased text, as alternatives; so patterns of one group must not be
+    able to overlap. Which alternative a match belongs to is read from the match alone. A match of a pattern hides another of the
+    same pattern that begins inside it, as counting the pattern by itself would.
+    """
+    low = F.lower(text_or_empty(text))
+    hits = F.concat(*[F.regexp_extract_all(low, F.lit("(?U)(?:" + "|".join(group) + ")"), F.lit(0)) for group in groups])
+    named = F.coalesce(*[F.when(F.col("hit").rlike(f"(?U)^(?:{p})$"), F.lit(pattern_label(p))) for group in groups for p in group])
+    found = df.select(F.col(key), F.explode(hits).alias("hit")).select(key, named.alias("pattern"))
+    return found.groupBy(key, "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+def trace_numbers(
+    quoted: DataFrame, body: DataFrame, key: str, number: str = "number", tolerance: float = 0.05, scales: tuple[float, ...] = (1.0, 100.0, 0.01)
+) -> DataFrame:
+    """How every quoted number of a key is found among the key's numbers in the body: key, number, status.
+
+    Both frames have text columns `key` and `number`. `same`: the same text, or the same without trailing zeros; `rounded`: a value
+    at most `tolerance` away; `scaled`: such a value after one of the other scales (0.994 and 99.4); else `untraced`, which
+    includes text that is no number. Values meet through buckets of the tolerance's width: a quoted value looks into its own bucket
+    and both neighbours, so nothing is compared beyond them. Repeated numbers count once; null keys and numbers are left out.
+    """
+    def plain(c: Column) -> Column:
+        return F.when(F.contains(c, F.lit(".")), F.regexp_replace(c, r"\.?0*$", "")).otherwise(c)
+
+    asked = quoted.select(key, F.col(number).alias("number")).where(F.col(key).isNotNull() & F.col("number").isNotNull()).distinct()
+    there = body.select(key, F.col(number).alias("_found")).where(F.col(key).isNotNull() & F.col("_found").isNotNull()).distinct()
+    bucket = lambda c: F.floor(c / F.lit(tolerance))
+    listed = there.select(key, plain(F.col("_found")).alias("_plain")).distinct()
+    exact = asked.withColumn("_plain", plain(F.col("number"))).join(listed, [key, "_plain"]).select(key, "number", F.lit(0).alias("_how"))
+    values = there.select(key, F.col("_found").try_cast("double").alias("_b")).where("_b is not null").distinct().withColumn("_bucket", bucket(F.col("_b")))
+    tries = asked.select(key, "number", F.col("number").try_cast("double").alias("_v")).where("_v is not null").select(
+        key, "number", F.inline(F.array(*[F.struct((F.col("_v") * s).alias("_v"), F.lit(1 if s == 1.0 else 2).alias("_how")) for s in scales])))
+    near = tries.withColumn("_bucket", F.explode(F.array(*[bucket(F.col("_v")) + i for i in (-1, 0, 1)]))).join(values, [key, "_bucket"])
+    near = near.where(F.abs(F.col("_v") - F.col("_b")) <= F.lit(tolerance)).select(key, "number", "_how")
+    best = exact.unionByName(near).groupBy(key, "number").agg(F.min("_how").alias("_how"))
+    status = F.coalesce(F.get(F.array(*[F.lit(x) for x in ("same", "rounded", "scaled")]), F.col("_how")), F.lit("untraced"))
+    return asked.join(best, [key, "number"], "left").select(key, "number", status.alias("status"))
+
+
 def top_openings(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
     """Most frequent first words of sentences per document."""
     counts = (

@@ -254,7 +254,7 @@ UNION ALL SELECT item_id, 'rule verdict', CASE WHEN count(*) FILTER (h) = 0 THEN
   CASE WHEN count(*) FILTER (h) = 0 THEN 'declares variables, none credential-like' WHEN count(*) FILTER (h AND is_secret) > 0 THEN 'at least one credential-like variable flagged secret'
     ELSE 'credential-like variable declared but not flagged secret' END
   FROM picked2 JOIN (SELECT *, regexp_matches(lower(var_name), 'token|key|secret|password|passwd|credential|auth|pat|cookie|session|private|dsn') AS h FROM declarations) USING (server_name) GROUP BY item_id
-UNION ALL SELECT item_id, 'description', CASE WHEN length(tool_description) >= 890 THEN 'reached the cap' ELSE 'complete' END, tool_description
+UNION ALL SELECT item_id, 'description', 'complete', tool_description
   FROM ptools JOIN tools USING (server_name, tool_name)
 UNION ALL SELECT item_id, 'siblings', (len(l) - 1)::VARCHAR, array_to_string(list_slice(list_filter(l, lambda x: x <> tool_name), 1, 25), ', ')
   FROM ptools JOIN (SELECT server_name, list(DISTINCT tool_name ORDER BY tool_name) AS l FROM tools GROUP BY 1) USING (server_name)""")

@@ -135,6 +135,36 @@ def prose_profile(s, d):
     return pr.prose_profile(b.heavy(s, d, "documents"), "doc_id", "text")
 
 
+_CONNECTIVES = ", ".join(f"('{pr.pattern_label(p).replace(chr(39), chr(39) * 2)}', {_hits('(?i)' + p, 'plain')})" for p in fx.CONNECTIVES)
+
+
+@Q.add("pattern_counts", "X12", f"""
+WITH {_SENT} SELECT doc_id, u.pattern, u.n::BIGINT AS n FROM s2, LATERAL (VALUES {_CONNECTIVES}) u(pattern, n) WHERE u.n > 0""")
+def pattern_counts(s, d):
+    return pr.pattern_counts(b.heavy(s, d, "documents"), "doc_id", "text")
+
+
+_QUOTED = """
+b AS (SELECT DISTINCT c_nationkey::VARCHAR AS nation, c_acctbal::VARCHAR AS number FROM customer),
+q AS (SELECT DISTINCT c_nationkey::VARCHAR AS nation, CASE c_custkey % 4 WHEN 0 THEN c_acctbal::VARCHAR WHEN 1 THEN floor(c_acctbal * 100)::BIGINT::VARCHAR || '.0' WHEN 2 THEN (floor(c_acctbal * 10) / 10)::VARCHAR
+  ELSE floor(c_acctbal)::BIGINT::VARCHAR || '7' END AS number FROM customer)"""
+
+
+@Q.add("trace_numbers", "X11, J15", f"""
+WITH {_QUOTED}, p AS (SELECT *, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\.?0*$', '') ELSE number END AS plain FROM q),
+ bp AS (SELECT nation, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\.?0*$', '') ELSE number END AS plain, number::DOUBLE AS v FROM b)
+SELECT nation, number, CASE WHEN EXISTS (SELECT 1 FROM bp WHERE bp.nation = p.nation AND bp.plain = p.plain) THEN 'same'
+ WHEN EXISTS (SELECT 1 FROM bp WHERE bp.nation = p.nation AND abs(p.number::DOUBLE - v) <= 0.05::DOUBLE) THEN 'rounded'
+ WHEN EXISTS (SELECT 1 FROM bp WHERE bp.nation = p.nation AND (abs(p.number::DOUBLE * 100.0::DOUBLE - v) <= 0.05::DOUBLE OR abs(p.number::DOUBLE * 0.01::DOUBLE - v) <= 0.05::DOUBLE)) THEN 'scaled' ELSE 'untraced' END AS status FROM p""")
+def trace_numbers(s, d):
+    nation, balance = F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal")
+    way = F.col("c_custkey") % 4
+    number = (F.when(way == 0, balance.cast("string")).when(way == 1, F.concat(F.floor(balance * 100).cast("long").cast("string"), F.lit(".0")))
+              .when(way == 2, (F.floor(balance * 10) / 10).cast("string")).otherwise(F.concat(F.floor(balance).cast("long").cast("string"), F.lit("7"))))
+    customers = b.table(s, d, "customer")
+    return pr.trace_numbers(customers.select(nation, number.alias("number")), customers.select(nation, balance.cast("string").alias("number")), "nation")
+
+
 @Q.add("top_openings", "X12", f"""
 WITH {_SENT}, o AS (SELECT doc_id, unnest(openings) AS opening FROM s2), c AS (SELECT doc_id, opening, count(*) AS sentences FROM o GROUP BY 1, 2)
 SELECT doc_id, opening, sentences, row_number() OVER (PARTITION BY doc_id ORDER BY sentences DESC, opening) AS rank FROM c
@@ -408,7 +438,7 @@ def interval_table(s, d):
 # --- fact sheets and claims -----------------------------------------------------------------------
 _FACTS = """
 WITH p AS (SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY 1), g AS (SELECT l_returnflag, l_linestatus, count(*) AS lines FROM lineitem GROUP BY 1, 2),
- pr AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority) AS row_no FROM p ORDER BY o_orderpriority LIMIT 3), gr AS (SELECT *, row_number() OVER (ORDER BY l_returnflag, l_linestatus) AS row_no FROM g ORDER BY ALL LIMIT 3),
+ pr AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority) AS row_no FROM p ORDER BY o_orderpriority LIMIT 40), gr AS (SELECT *, row_number() OVER (ORDER BY l_returnflag, l_linestatus) AS row_no FROM g ORDER BY l_returnflag, l_linestatus LIMIT 40),
  facts AS (SELECT 'priorities' AS source, row_no, 'o_orderpriority' AS field, o_orderpriority AS value FROM pr UNION ALL SELECT 'priorities', row_no, 'orders', orders::VARCHAR FROM pr
  UNION ALL SELECT 'flags', row_no, 'l_returnflag', l_returnflag FROM gr UNION ALL SELECT 'flags', row_no, 'l_linestatus', l_linestatus FROM gr UNION ALL SELECT 'flags', row_no, 'lines', lines::VARCHAR FROM gr)"""
 
@@ -421,15 +451,18 @@ def _fact_tables(s, d):
 
 @Q.add("fact_sheet", "S14", _FACTS + " SELECT * FROM facts")
 def fact_sheet(s, d):
-    return ev.fact_sheet(_fact_tables(s, d), 3)
+    return ev.fact_sheet(_fact_tables(s, d))
 
 
 @Q.add("check_claims", "J16", """
 WITH o AS (SELECT o_orderpriority, count(*)::DOUBLE AS n FROM orders GROUP BY 1)
-SELECT 'orders ' || o_orderpriority AS label, 'priorities' AS source, n AS expected, n AS actual, 'ok' AS status FROM o
-UNION ALL SELECT 'wrong ' || o_orderpriority, 'priorities', n + 1, n, 'mismatch' FROM o
-UNION ALL SELECT 'row ' || o_orderpriority, 'flags', n, NULL, 'row missing' FROM o
-UNION ALL SELECT 'absent ' || o_orderpriority, 'nowhere', n, NULL, 'table missing' FROM o""")
+SELECT 'orders ' || o_orderpriority AS label, 'priorities' AS source, n AS expected, n AS actual, 1::BIGINT AS rows_met, 'ok' AS status FROM o
+UNION ALL SELECT 'wrong ' || o_orderpriority, 'priorities', n + 1, n, 1, 'mismatch' FROM o
+UNION ALL SELECT 'row ' || o_orderpriority, 'flags', n, NULL, 0, 'row missing' FROM o
+UNION ALL SELECT 'absent ' || o_orderpriority, 'nowhere', n, NULL, 0, 'table missing' FROM o
+UNION ALL SELECT 'lines', 'flags', n, first, met, CASE WHEN n = first THEN 'ok' ELSE 'mismatch' END FROM (
+  SELECT count(*)::DOUBLE AS n, min(count(*)) FILTER (l_linestatus = s) OVER (PARTITION BY l_returnflag)::DOUBLE AS first, count(*) OVER (PARTITION BY l_returnflag) AS met
+  FROM lineitem JOIN (SELECT l_returnflag, min(l_linestatus) AS s FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY l_returnflag, l_linestatus, s)""")
 def check_claims(s, d):
     counts = b.table(s, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("n"))
     claims = counts.select(F.inline(F.array(*[
@@ -439,4 +472,8 @@ def check_claims(s, d):
             F.col("o_orderpriority").alias("key_value"), F.lit("orders").alias("field"), (F.col("n") + shift).alias("expected"))
         for word, source, shift in (("orders", "priorities", 0.0), ("wrong", "priorities", 1.0), ("row", "flags", 0.0), ("absent", "nowhere", 0.0))
     ])))
-    return ev.check_claims(claims, ev.claim_cells(_fact_tables(s, d)))
+    # One claim per line status: where a return flag has several, only the first row's number holds.
+    lines = b.table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).cast("double").alias("expected")).select(
+        F.lit("lines").alias("label"), F.lit("flags").alias("source"), F.lit("l_returnflag").alias("key_field"),
+        F.col("l_returnflag").alias("key_value"), F.lit("lines").alias("field"), "expected")
+    return ev.check_claims(claims.unionByName(lines), ev.claim_cells(_fact_tables(s, d)))
