@@ -10,7 +10,7 @@ from catalens.plans import bindings as b
 from catalens.plans.registry import Catalogue
 from catalens.session import scratch_dir
 from catalens.sources import integrity as ig, readers as rd, requests as rq, sinks as sk
-from catalens.streaming.ingest import ingest_pages
+from catalens.streaming.ingest import ingest_known_pages, ingest_pages
 
 Q = Catalogue()
 
@@ -100,6 +100,21 @@ def ingest_pages_query(s, d):
     return ingest_pages(s, *args).select("page_id", "url", F.length("html").cast("bigint").alias("chars"))
 
 
+@Q.add("ingest_known_pages", "S3", "SELECT page_id, url, length(html) AS chars FROM pages")
+def ingest_known_pages_query(s, d):
+    """Page files landed twice under different names, in one run and over two: every page's rows arrive once."""
+    base = scratch_dir(s, "known-pages")
+    pages = b.table(s, d, "pages")
+    secure = F.col("url").startswith("https:")
+    args = (f"{base}/in/*", f"{base}/table", f"{base}/cursor", pages.schema)
+    for name, some in (("a", secure), ("b", secure)):
+        pages.where(some).write.json(f"{base}/in/{name}")
+    ingest_known_pages(s, *args)
+    for name, some in (("c", ~secure), ("d", secure)):
+        pages.where(some).write.json(f"{base}/in/{name}")
+    return ingest_known_pages(s, *args).select("page_id", "url", F.length("html").cast("bigint").alias("chars"))
+
+
 _SHEET = ["item_id", "part", "quality", "toxic", "notes"]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalens.operators import evidence as ev, prose as pr
 from catalens.sources import integrity as ig, readers as rd, requests as rq, sinks as sk
-from catalens.streaming.ingest import ingest_pages
+from catalens.streaming.ingest import ingest_known_pages, ingest_pages
 
 
 def test_malformed_lines_are_split_off(spark, tmp_path):
@@ -64,6 +64,19 @@ def test_ingest_appends_only_new_pages(spark, tmp_path):
     assert sorted(r.id for r in ingest_pages(*args).collect()) == [1, 2, 3]
 
 
+def test_a_page_is_known_by_its_content(spark, tmp_path):
+    pages = tmp_path / "in"
+    pages.mkdir()
+    args = (spark, str(pages), str(tmp_path / "out"), str(tmp_path / "cursor"), "id long")
+    (pages / "1.json").write_text('{"id": 1}\n\n{"id": 1}\n{"id": 2}\n')
+    (pages / "2.json").write_text('{"id": 1}\n\n{"id": 1}\n{"id": 2}\n')
+    (pages / "empty.json").write_text("")
+    assert sorted(r.id for r in ingest_known_pages(*args).collect()) == [1, 1, 2]
+    (pages / "3.json").write_text('{"id": 1}\n\n{"id": 1}\n{"id": 2}\n')
+    (pages / "4.json").write_text('{"id": 2}\n')
+    assert sorted(r.id for r in ingest_known_pages(*args).collect()) == [1, 1, 2, 2]
+
+
 def test_sinks_return_the_row_count(spark, tmp_path):
     assert sk.save_table(spark.range(7), str(tmp_path / "t")) == 7
     assert sk.save_table(spark.range(7), str(tmp_path / "p"), "parquet") == 7
