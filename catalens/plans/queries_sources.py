@@ -218,6 +218,20 @@ def digest_files(s, d):
     return found.select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
 
 
+@Q.add("digest_files_chunked", "S11", """
+SELECT 'month=' || month AS folder, sum(octet_length(encode(line)))::BIGINT AS bytes, sha256(string_agg(line, '' ORDER BY o_orderkey)) AS sha256
+FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_orderkey || chr(10) AS line FROM orders) GROUP BY month""")
+def digest_files_chunked(s, d):
+    """The same tree with every file above 100 bytes read in chunks, as files beyond a cell's size are."""
+    path = scratch_dir(s, "tree")
+    keys = b.table(s, d, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", F.col("o_orderkey").cast("string").alias("value"))
+    landed = keys.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", "value")
+    landed.write.partitionBy("month").text(path)
+    found = ig.digest_files(s, path, root=f"{path.rsplit('/', 1)[-1]}/", glob="*.txt", largest_cell=100)
+    return found.select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
+
+
 _DIGEST = "sha256(doc_id || chr(1) || text || chr(1) || lang)"
 
 

@@ -77,6 +77,20 @@ def test_a_page_is_known_by_its_content(spark, tmp_path):
     assert sorted(r.id for r in ingest_known_pages(*args).collect()) == [1, 1, 2, 2]
 
 
+def test_files_beyond_a_cell_are_digested_in_chunks(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "small file.txt").write_bytes(b"small")
+    with open(tmp_path / "large %41 file.bin", "wb") as f:
+        f.truncate(2_000_000_001)  # sparse
+    sha = hashlib.sha256()
+    for _ in range(2000):
+        sha.update(bytes(1_000_000))
+    sha.update(b"\0")
+    got = {r.path.rsplit("/", 1)[-1]: (r.bytes, r.sha256) for r in ig.digest_files(spark, str(tmp_path)).collect()}
+    assert got == {"small file.txt": (5, hashlib.sha256(b"small").hexdigest()), "large %41 file.bin": (2_000_000_001, sha.hexdigest())}
+
+
 def test_sinks_return_the_row_count(spark, tmp_path):
     assert sk.save_table(spark.range(7), str(tmp_path / "t")) == 7
     assert sk.save_table(spark.range(7), str(tmp_path / "p"), "parquet") == 7
