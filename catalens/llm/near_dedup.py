@@ -9,8 +9,8 @@
    bucket of any size is covered by pairs of blocks of bounded size; what leaves a task are links of a forest only.
 4. All links give the final components.
 
-A pair of similarity 0.75 shares no band with probability (1 - 0.75^6)^60, below 1e-5; in step 3 its estimate would have
-to fall 0.08 below its similarity, some five standard deviations, to be passed over.
+A pair of similarity 0.75 shares no band with probability (1 - 0.75^6)^60, 7.8e-6; in step 3 fewer than LIKELY of its 360 places
+would have to be equal for it to be passed over, with probability 3e-8 (both for independent places).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ ship_with_tasks(__name__)
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Least share of equal signature places for a full comparison in step 3.
-LIKELY = 0.67
+LIKELY = 0.62
 #: Members of a block in step 3.
 BLOCK = 512
 
