@@ -151,8 +151,8 @@ q AS (SELECT DISTINCT c_nationkey::VARCHAR AS nation, CASE c_custkey % 4 WHEN 0
 
 
 @Q.add("trace_numbers", "X11, J15", f"""
-WITH {_QUOTED}, p AS (SELECT *, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\.?0*$', '') ELSE number END AS plain FROM q),
- bp AS (SELECT nation, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\.?0*$', '') ELSE number END AS plain, number::DOUBLE AS v FROM b)
+WITH {_QUOTED}, p AS (SELECT *, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\\.?0*$', '') ELSE number END AS plain FROM q),
+ bp AS (SELECT nation, CASE WHEN contains(number, '.') THEN regexp_replace(number, '\\.?0*$', '') ELSE number END AS plain, number::DOUBLE AS v FROM b)
 SELECT nation, number, CASE WHEN EXISTS (SELECT 1 FROM bp WHERE bp.nation = p.nation AND bp.plain = p.plain) THEN 'same'
  WHEN EXISTS (SELECT 1 FROM bp WHERE bp.nation = p.nation AND abs(p.number::DOUBLE - v) <= 0.05::DOUBLE) THEN 'rounded'
  WHEN EXISTS (SELECT 1 FROM bp WHERE bp.nation = p.nation AND (abs(p.number::DOUBLE * 100.0::DOUBLE - v) <= 0.05::DOUBLE OR abs(p.number::DOUBLE * 0.01::DOUBLE - v) <= 0.05::DOUBLE)) THEN 'scaled' ELSE 'untraced' END AS status FROM p""")
