@@ -19,7 +19,8 @@ from catalens.llm.url_filters import filter_captures, host_of, path_of, rule_key
 # fingerprints
 
 def _keys(text):
-    return set(re.findall(f"[^\n]{{1,{fp.PIECE}}}", text))
+    cut = f"[^\n]{{{fp.LEAST_PIECE},{fp.PIECE - 1}}}?(?:{fp.CUT})|[^\n]{{1,{fp.PIECE}}}"
+    return {m.group(0) for m in re.finditer(cut, text)}
 
 
 def test_short_and_shifted_lines_keep_their_pieces(spark, documents):
@@ -37,7 +38,8 @@ def test_short_and_shifted_lines_keep_their_pieces(spark, documents):
 def test_fingerprints_against_brute_force(documents, monkeypatch):
     monkeypatch.setattr(fp, "RANGE_ROWS", 7)
     rng = random.Random(1)
-    lines = ["".join(rng.choice("abc é𝄞") for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    lines = ["".join(rng.choice("abc é𝄞") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    lines += [" ".join(rng.choice(("red", "it", "was.", "today", "é𝄞,", "road!")) for _ in range(rng.randint(1, 30))) for _ in range(40)]
     rows = [(i * 3, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(500, None), (501, "x" * 5000)]
     text = {i: t or "" for i, t in rows}
     order = sorted(text, reverse=True)
@@ -70,6 +72,19 @@ def test_subtracted_sketches_give_back_the_differing_keys(spark):
     assert stuck.left and frame.select(fp.differing_keys(F.col("a"), F.col("b")).alias("d")).first().d == 39
 
 
+def test_given_sketches_of_other_sizes_and_retries_count_alike(spark):
+    rng = random.Random(3)
+    pairs = [(rng.sample(range(1 << 40), a), rng.sample(range(1 << 40), b)) for a, b in ((0, 0), (0, 1), (1, 1), (3, 400), (90, 70), (2000, 5))]
+    pairs = [(a, b + a[:len(a) // 2]) for a, b in pairs]
+    frame = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>").withColumns(
+        {f"{c}_third": fp.own_third(F.col(c)) for c in "ab"}).withColumns(
+        {f"{c}_sketch": fp.sketch(F.col(c), F.col(f"{c}_third") * 3) for c in "ab"})
+    got = frame.select("a", "b", fp.differing_keys(F.col("a"), F.col("b")).alias("fresh"), fp.differing_keys(
+        F.col("a"), F.col("b"), F.col("a_sketch"), F.col("b_sketch")).alias("given")).collect()
+    assert all(r.fresh == r.given == len(set(r.a) ^ set(r.b)) for r in got)
+    assert all((r.third & (r.third - 1)) == 0 for r in frame.select(F.col("a_third").alias("third")).collect())
+
+
 def test_fingerprints_odd_rows(edge_documents):
     got = fp.fingerprint_versions(edge_documents).collect()
     assert len(got) == edge_documents.count()
