@@ -1,11 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
 Two models, one of toxic and one of ordinary text, give every letter of a word a probability after the letters before
-it (up to ORDER - 1, from the word's start mark on). Where the counts of the longest context tell the classes apart, each class
-has a discounted probability of its own; it backs off to the counts of both classes together, and these to one Kneser-Ney
-model of continuation counts, again of both. So an expression too rare to tell the classes apart gets the same
-probability from both, and the many words that mean nothing for toxicity add no noise. Working on letters lets inflected
-and new forms of a toxic stem count as much as the stem. A word counts once for each document that holds it.
+it (up to ORDER - 1, from the word's start mark on). Where the counts of the longest context tell the classes apart, a class
+has a discounted probability of its own; all other letters of that context share the rest of the class's probability as in the counts of
+both classes together, which back off to one Kneser-Ney model of continuation counts, again of both. So after every context the
+probabilities of a class add up to one, an expression too rare to tell the classes apart gets like probabilities from both, and the
+many words that mean nothing for toxicity add no noise. Working on letters lets inflected and new forms of a toxic stem count
+as much as the stem. A word counts once for each document that holds it; grams of a single document count as all others do.
 
 A document's evidence is the toxic minus the ordinary log-likelihood over the number of predicted letters. A logistic
 curve fitted on labelled rows held back from the counts turns it into a score.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalens.llm.common import batched, ship_with_tasks
+from catalens.llm.common import batched, ship_with_tasks, stored
 
 ship_with_tasks(__name__)
 
@@ -34,23 +34,29 @@ CLASS_ROWS = 6000
 #: One of FOLD labelled rows is kept from the counts and calibrates the score.
 FOLD = 4
 DISCOUNT = 0.75
-#: Weight of the shared probability in a class's own, in counts.
+#: Weight of the shared probability in a class's own besides what the discount frees, in counts.
 STRENGTH = 1.0
 #: A class has a probability of its own where its count is this many standard deviations off what is shared.
 DEVIATIONS = 4.5
+#: Pull of the calibration's slope towards zero; small, as classes that lie far apart need a steep curve.
+RIDGE = 1e-7
 #: Word scores a task remembers before it starts afresh; bounds memory, not results.
 REMEMBERED = 150_000
-#: Words are runs of letters; in Spark's and Python's terms the same characters.
+#: Words are runs of letters, of which Python counts numeral letters and superscripts too; the same in Spark's terms.
 LETTERS = re.compile(r"[^\W\d_]+")
+EVEN = (0.0, 0.0)
+SPARK_LETTERS = r"([\p{L}\p{Nl}\p{No}]+)"
 
 
 @dataclass
 class ToxicityModel:
-    """grams: log-probability of seen grams in both classes; own: (toxic, ordinary) where they differ; back: of leaving a
-    context for the shared model; shared: lower orders."""
+    """grams: log-probability of seen grams in both classes; own: (toxic, ordinary) where they differ; rest: what the other
+    letters after such a context are scaled by, (toxic, ordinary); back: of leaving a context for the shared model; shared: lower
+    orders. All natural logarithms."""
 
     grams: dict[str, float]
     own: dict[str, tuple[float, float]]
+    rest: dict[str, tuple[float, float]]
     back: dict[str, float]
     shared: dict[str, float]
     shared_back: dict[str, float]
@@ -81,8 +87,9 @@ class ToxicityModel:
             both = self.grams.get(gram)
             if both is None:
                 both = self.back.get(gram[:-1], 0.0) + self.letter(gram[1:])
-            toxic += both
-            ordinary += both
+            rest = self.rest.get(gram[:-1], EVEN)
+            toxic += both + rest[0]
+            ordinary += both + rest[1]
         return (toxic, toxic) if toxic == ordinary else (toxic, ordinary)
 
     def document(self, text: str | None) -> tuple[float, float, int]:
@@ -108,23 +115,14 @@ class ToxicityModel:
 def fit(rows: DataFrame) -> ToxicityModel:
     """Fit the model on rows (doc_id, text, label); label 1 is toxic. Without rows of both classes every score is 0.5.
 
-    Counts are made in Spark; the driver sees one row per distinct gram of the bounded sample.
+    Counts, continuation counts and masses of contexts are made in Spark over all grams of the bounded sample; the driver
+    sees one row per distinct gram of it.
     """
     held = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(FOLD)) == 0
     words = (rows.filter(~held).select("label", F.explode(
-        F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)")))).alias("w"))
+        F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(SPARK_LETTERS)))).alias("w"))
              .groupBy("label", "w").agg(F.count("*").alias("n")))
-    marked = words.select("label", "n", F.concat(F.lit("<"), "w", F.lit(">")).alias("w"))
-    gram = F.transform(F.sequence(F.lit(2), F.length("w")), lambda e: F.expr("w").substr(
-        F.greatest(F.lit(1), e - (ORDER - 1)), F.least(F.lit(ORDER), e)))
-    counted = marked.select("n", "label", F.explode(gram).alias("gram")).groupBy("gram").agg(
-        *[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (1, 0)])
-    # Grams of a single document are left to the shared model, as in pruned n-gram models.
-    table = counted.filter("n1 + n0 > 1").toArrow()
-    counts = dict(zip(table["gram"].to_pylist(), zip(table["n1"].to_pylist(), table["n0"].to_pylist())))
-    del table
-    model = _smooth(counts)
-    del counts
+    model = _smooth(*gram_tables(words))
     points = sorted((r["x"], r["label"]) for r in evidence_of(rows.filter(held), model, ["label"]).select(
         (F.col("toxic_ll") - F.col("ordinary_ll")).alias("d"), "letters", "label")
         .withColumn("x", F.col("d") / F.greatest("letters", F.lit(1))).collect())
@@ -132,56 +130,73 @@ def fit(rows: DataFrame) -> ToxicityModel:
     return model
 
 
-def _smooth(counts: dict[str, tuple[int, int]]) -> ToxicityModel:
-    """Log-probabilities from gram counts (toxic, ordinary)."""
-    # Distinct left neighbours of every shorter gram, from the longest grams down; both classes together.
-    continuation: list[dict[str, int]] = [defaultdict(int) for _ in range(ORDER)]
-    for gram in counts:
-        if len(gram) > 1:
-            continuation[len(gram) - 1][gram[1:]] += 1
-    for size in range(ORDER - 1, 1, -1):
-        for gram in continuation[size]:
-            continuation[size - 1][gram[1:]] += 1
-    shared: dict[str, float] = {}
-    shared_back: dict[str, float] = {}
-    letters = len(continuation[1]) + 1
-    total = sum(continuation[1].values())
-    probability = {g: (n + 1.0) / (total + letters) for g, n in continuation[1].items()}
+def gram_tables(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables of words (label, w, n): grams (gram, n1, n0); their contexts (ctx, n1, n0, k, k1, k0: counts and distinct
+    letters, of both and of each class); continuations (gram, n: distinct left neighbours of every shorter gram); and
+    the contexts of these (ctx, n, k)."""
+    marked = words.select("label", "n", F.concat(F.lit("<"), "w", F.lit(">")).alias("w"))
+    gram = F.transform(F.sequence(F.lit(2), F.length("w")), lambda e: F.expr("w").substr(
+        F.greatest(F.lit(1), e - (ORDER - 1)), F.least(F.lit(ORDER), e)))
+    grams = stored(marked.select("n", "label", F.explode(gram).alias("gram")).groupBy("gram").agg(
+        *[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (1, 0)]), "toxic-grams")
+    ctx = F.expr("substr(gram, 1, length(gram) - 1)").alias("ctx")
+    contexts = grams.groupBy(ctx).agg(
+        F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count("*").alias("k"), F.count_if(F.col("n1") > 0).alias("k1"),
+        F.count_if(F.col("n0") > 0).alias("k0"))
+    ends = F.transform(F.sequence(F.lit(2), F.length("gram")), lambda size: F.expr("gram").substr(F.length("gram") - size + 1, size))
+    continuations = stored(grams.select(F.explode(ends).alias("end")).distinct().groupBy(
+        F.expr("substr(end, 2)").alias("gram")).agg(F.count("*").alias("n")), "toxic-continuations")
+    lower = continuations.filter(F.length("gram") > 1).groupBy(ctx).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    return grams, contexts, continuations, lower
+
+
+def _rows(table: DataFrame) -> Iterator[tuple]:
+    for batch in table.toArrow().to_batches(max_chunksize=50_000):
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _smooth(grams: DataFrame, contexts: DataFrame, continuations: DataFrame, lower: DataFrame) -> ToxicityModel:
+    """Log-probabilities from the tables of gram_tables."""
+    of_size: list[list[tuple[str, int]]] = [[] for _ in range(ORDER)]
+    for gram, n in _rows(continuations):
+        of_size[len(gram)].append((gram, n))
+    letters, total = len(of_size[1]) + 1, sum(n for _, n in of_size[1])
     floor = 1.0 / (total + letters)
+    probability = {g: (n + 1.0) / (total + letters) for g, n in of_size[1]}
+    below = {ctx: (n, k) for ctx, n, k in _rows(lower)}
     for size in range(2, ORDER):
-        mass, kinds = defaultdict(int), defaultdict(int)
-        for gram, n in continuation[size].items():
-            mass[gram[:-1]] += n
-            kinds[gram[:-1]] += 1
-        for gram, n in continuation[size].items():
-            ctx = gram[:-1]
-            probability[gram] = (n - DISCOUNT + DISCOUNT * kinds[ctx] * probability[gram[1:]]) / mass[ctx]
-        shared_back |= {ctx: math.log(DISCOUNT * kinds[ctx] / mass[ctx]) for ctx in mass}
-    del continuation
-    shared = {g: math.log(p) for g, p in probability.items()}
-    del probability
-    model = ToxicityModel({}, {}, {}, shared, shared_back, math.log(floor))
-    mass, kinds = defaultdict(lambda: [0, 0]), defaultdict(int)
-    for gram, pair in counts.items():
-        kinds[gram[:-1]] += 1
-        for c in (0, 1):
-            mass[gram[:-1]][c] += pair[c]
-    model.back.update({ctx: math.log(DISCOUNT * kinds[ctx] / sum(n)) for ctx, n in mass.items()})
-    for gram, pair in counts.items():
-        n, low = mass[gram[:-1]], math.exp(model.letter(gram[1:]))
-        both = (max(sum(pair) - DISCOUNT, 0.0) + DISCOUNT * kinds[gram[:-1]] * low) / sum(n)
-        own = [math.log((max(pair[c] - DISCOUNT, 0.0) + STRENGTH * both) / (n[c] + STRENGTH)) for c in (0, 1)]
+        for gram, n in of_size[size]:
+            mass, kinds = below[gram[:-1]]
+            probability[gram] = (n - DISCOUNT + DISCOUNT * kinds * probability[gram[1:]]) / mass
+        of_size[size].clear()
+    model = ToxicityModel({}, {}, {}, {}, {g: math.log(p) for g, p in probability.items()},
+                          {ctx: math.log(DISCOUNT * k / n) for ctx, (n, k) in below.items()}, math.log(floor))
+    del probability, below, of_size
+    after = {ctx: counts for ctx, *counts in _rows(contexts)}
+    model.back.update({ctx: math.log(DISCOUNT * k / (n1 + n0)) for ctx, (n1, n0, k, _, _) in after.items()})
+    taken: dict[str, list[float]] = {}
+    for gram, *pair in _rows(grams):
+        n1, n0, k, *kinds = after[gram[:-1]]
+        both = (sum(pair) - DISCOUNT + DISCOUNT * k * math.exp(model.letter(gram[1:]))) / (n1 + n0)
+        own = [(max(seen - DISCOUNT, 0.0) + (STRENGTH + DISCOUNT * kind) * both) / (n + STRENGTH)
+               for seen, kind, n in zip(pair, kinds, (n1, n0))]
         model.grams[gram] = math.log(both)
-        if _departs(pair, n, own):
-            model.own[gram] = tuple(own)
+        if _departs(pair, (n1, n0), own):
+            model.own[gram] = math.log(own[0]), math.log(own[1])
+            sums = taken.setdefault(gram[:-1], [0.0, 0.0, 0.0])
+            for i, p in enumerate((*own, both)):
+                sums[i] += p
+    # A class's probabilities after a context add up to one over all letters, so what is left is above zero.
+    model.rest.update({ctx: tuple(math.log(max(1.0 - s, 1e-12) / max(1.0 - both, 1e-12)) for s in own)
+                       for ctx, (*own, both) in taken.items()})
     return model
 
 
-def _departs(pair: tuple[int, int], n: list[int], own: list[float]) -> bool:
+def _departs(pair: list[int], n: tuple[int, int], own: list[float]) -> bool:
     """Whether the classes differ in a letter after its context: by a factor of two, and not by chance."""
     share = sum(pair) / sum(n)
     spread = n[0] * share * (n[1] / sum(n)) * (1.0 - share)
-    return (abs(own[0] - own[1]) >= math.log(2.0) and spread > 0
+    return (abs(math.log(own[0] / own[1])) >= math.log(2.0) and spread > 0
             and abs(pair[0] - n[0] * share) - 0.5 >= DEVIATIONS * math.sqrt(spread))
 
 
@@ -203,7 +218,7 @@ def _logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
             h00 += v
             h01 += v * z
             h11 += v * z * z
-        g1, g0, h11, h00 = g1 + 1e-5 * a, g0, h11 + 1e-5, h00 + 1e-9
+        g1, g0, h11, h00 = g1 + RIDGE * a, g0, h11 + RIDGE, h00 + 1e-9
         det = h00 * h11 - h01 * h01
         if det <= 0:
             break
@@ -220,7 +235,8 @@ def evidence_of(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
     import pyarrow as pa
 
     spark = batched(docs.sparkSession)
-    shipped = spark.sparkContext.broadcast((model.grams, model.own, model.back, model.shared, model.shared_back, model.floor))
+    shipped = spark.sparkContext.broadcast(
+        (model.grams, model.own, model.rest, model.back, model.shared, model.shared_back, model.floor))
     kept = docs.select(*keep).schema
     schema = T.StructType([*kept.fields, T.StructField("toxic_ll", T.DoubleType()), T.StructField("ordinary_ll", T.DoubleType()),
                            T.StructField("letters", T.LongType())])
@@ -238,7 +254,8 @@ def evidence_of(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataF
 def score_documents(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """keep columns, toxic_ll, ordinary_ll, letters, evidence and score (0 to 1, higher: more likely toxic).
 
-    Null texts and texts without letters have evidence 0 and the score of that.
+    Null texts and texts without letters have evidence 0 and the score of that. Rows that repeat are scored each, alike;
+    texts are scored whole at any length; an empty table gives an empty one.
     """
     rated = evidence_of(docs, model, keep).withColumn(
         "evidence", (F.col("toxic_ll") - F.col("ordinary_ll")) / F.greatest("letters", F.lit(1)))

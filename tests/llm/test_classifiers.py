@@ -47,13 +47,37 @@ def test_toxicity_finds_new_forms_and_leaves_clean_texts_alone(corpus):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in scored)
 
 
+def test_letters_after_a_context_sum_to_one_in_both_classes(spark):
+    rng = random.Random(3)
+    words = [("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))), y, rng.randint(1, 3)) for y in (0, 1) for _ in range(150)]
+    words += [("idiot", 1, 90), ("idiom", 0, 40), ("idea", 0, 300), ("idea", 1, 30), ("bad", 1, 60), ("bat", 0, 300), ("q", 0, 1)]
+    frame = spark.createDataFrame(words, "w string, label int, n int").groupBy("label", "w").agg(F.sum("n").alias("n"))
+    model = toxicity._smooth(*toxicity.gram_tables(frame))
+    assert model.own and set(model.rest) == {g[:-1] for g in model.own}
+    alphabet = sorted({g[-1] for g in model.grams})
+
+    def both(gram):
+        return model.grams.get(gram, model.back.get(gram[:-1], 0.0) + model.letter(gram[1:]))
+
+    for ctx in sorted({g[:-1] for g in model.grams}):
+        for c in (0, 1):
+            rest = model.rest.get(ctx, (0.0, 0.0))[c]
+            total = sum(math.exp(model.own[ctx + x][c] if ctx + x in model.own else both(ctx + x) + rest) for x in [*alphabet, "?"])
+            assert abs(total - 1.0) < 1e-9, (ctx, c, total)
+    assert "<q>" in model.grams  # a gram of a single document counts
+
+
 def test_toxicity_sums_equal_a_plain_evaluation(corpus):
     _, docs, labels = corpus
     model = toxicity.fit(labelled(docs, labels, "toxic", F.lit(True), 1000))
     text = "Zorgan the rolimer, unseen XYZ ñandú"
     by_word = [(*model.word(w), len(w) + 1) for w in ("zorgan", "the", "rolimer", "unseen", "xyz", "ñandú")]
     assert model.document(text) == pytest.approx(tuple(map(sum, zip(*by_word))))
-    assert model.word("zorgan")[0] > model.word("zorgan")[1] + 2 and model.word("unseen")[0] == model.word("unseen")[1]
+    assert model.word("zorgan")[0] > model.word("zorgan")[1] + 2
+    # A word that tells nothing differs only by what telling letters leave to the others after the contexts it passes.
+    contexts = ["<unseen>"[max(0, end + 1 - toxicity.ORDER):end] for end in range(1, 8)]
+    left = sum(model.rest[c][0] - model.rest[c][1] for c in contexts if c in model.rest)
+    assert model.word("unseen")[0] - model.word("unseen")[1] == pytest.approx(left) and abs(left) < 0.2
     assert model.document(None) == model.document("12 !!") == (0.0, 0.0, 0)
     # Both classes' probabilities of the letters after a seen context sum to at most one.
     context = "<th"
