@@ -80,7 +80,7 @@ WITH captured AS (
   SELECT list_name, rule, DATE '2024-01-01' + (removed + 40)::INTEGER, NULL FROM listed WHERE c % 3 > 0 AND b % 2 = 0
 ), keyed AS (
   SELECT page_id, url, fetched_on, unnest(
-    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.'))
+    list_transform(range(1, CASE WHEN regexp_matches(host, '^([0-9]+([.][0-9]+){{3}}|[[].*)$') THEN 2 ELSE len(string_split(host, '.')) + 1 END), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.'))
     || list_transform(range(1, len(list_filter(string_split(path, '/'), lambda x: x <> '')) + 1),
          lambda i: 'p:' || host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[1:i], '/'))) AS rule
   FROM captured WHERE host IS NOT NULL

@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 
 from catalens.llm.common import stored
 
+#: Hosts that are addresses, not names.
+ADDRESS = r"^([0-9]+([.][0-9]+){3}|\[.*)$"
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without credentials, port and closing dot; null if the URL has no authority."""
@@ -28,10 +31,14 @@ def path_of(url: Column) -> Column:
 
 
 def rule_keys(url: Column) -> Column:
-    """All rules that could cover the URL: d:domain for the host and its parents, p:host/path/ by depth; whole lengths."""
+    """All rules that could cover the URL: d:domain for the host and its parents, p:host/path/ by depth; whole lengths.
+
+    An address (four numbers, or in brackets) has no parents and is looked up whole.
+    """
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(
+    parents = F.when(host.rlike(ADDRESS), F.lit(1)).otherwise(F.size(labels))
+    domains = F.transform(F.sequence(F.lit(1), parents), lambda i: F.concat(
         F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
     prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from catalens.llm import near_dedup, quality, sentencepiece, toxicity
 from catalens.llm.common import stored, table
@@ -41,13 +42,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each near-duplicate group, once if its row is repeated.
 
-    Only ids are joined and counted; rows without doc_id belong to no group and stay.
+    Only ids are joined and counted; rows without doc_id belong to no group and stay. Of several texts with one doc_id the
+    first by hash and text stays.
     """
     groups = stored(near_dedup.duplicate_groups(docs).filter("doc_id is not null").select("doc_id", "kept"), "groups")
     repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).filter("n > 1")
     repeated = stored(repeated.select("doc_id", "kept"), "repeated")
     out = stored(groups.filter(~F.col("kept")).select("doc_id").union(repeated.select("doc_id")).distinct(), "dropped")
-    once = docs.join(repeated.filter("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    once = (docs.join(repeated.filter("kept").select("doc_id"), "doc_id", "left_semi")
+            .select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.row_number().over(first).alias("n"))
+            .filter("n = 1").select("document.*"))
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
 
 

@@ -212,3 +212,10 @@ def test_rule_keys(spark):
     row = spark.range(1).select(rule_keys(F.lit("http://a.b.c/x//y?z")).alias("k"), host_of(F.lit("ftp://[::1]:2/")).alias("h"),
                                 path_of(F.lit("http://a")).alias("p")).first()
     assert row.k == ["d:a.b.c", "d:b.c", "d:c", "p:a.b.c/x", "p:a.b.c/x/y"] and row.h == "[::1]" and row.p == "/"
+
+
+@pytest.mark.parametrize("url, rules", [
+    ("http://10.1.2.3/a", ["d:10.1.2.3", "p:10.1.2.3/a"]), ("http://[2001:db8::1.2.3.4]/", ["d:[2001:db8::1.2.3.4]"]),
+    ("http://1.2.3/", ["d:1.2.3", "d:2.3", "d:3"])])
+def test_addresses_are_looked_up_whole(spark, url, rules):
+    assert spark.range(1).select(rule_keys(F.lit(url)).alias("k")).first().k == rules

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(contract.queries())
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -66,6 +66,13 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, documents):
     assert sorted((r.doc_id or 0) for r in got) == [0, 2, 3, 5]
 
 
+def test_near_duplicate_stage_chooses_alike_among_texts_of_one_id(spark, documents):
+    rows = [(2, f"text {i} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(6)]
+    got = [[r.text for r in corpus_pipeline.keep_one_of_group(spark, documents(order).repartition(n), SF).collect()]
+           for order, n in ((rows, 1), (rows[::-1], 5))]
+    assert len(got[0]) == 1 and got[0] == got[1]
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_stages_on_an_empty_table(spark, documents, stage):
     assert stage(spark, documents([]), SF).count() == 0
