@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from catalens import fixed_values as fx
@@ -21,6 +22,17 @@ def test_pattern_counts_equal_single_scans(spark):
     assert sorted(p for g in fx.CONNECTIVE_GROUPS for p in g) == sorted(fx.CONNECTIVES)
 
 
+def test_deviation_of_sentence_lengths_rounds_as_in_sql(spark):
+    random.seed(1)
+    lengths = [[7, 5, 26, 23, 19, 27, 5, 4, 17, 12, 19, 14, 13, 18, 29, 14], [20, 25, 14, 14, 24, 12, 13, 26, 11, 17, 15, 18, 17, 24, 22, 20], [9], []]
+    lengths += [random.choices(range(4, 30), k=random.choice([4, 8, 16])) for _ in range(500)]
+    docs = [(i, " ".join(" ".join(["A"] + ["b"] * (n - 1)) + "." for n in ns)) for i, ns in enumerate(lengths)]
+    got = {r.k: r.sd_sentence_words for r in pr.prose_profile(spark.createDataFrame(docs, "k long, t string"), "k", "t").collect()}
+    con = duckdb.connect()
+    want = {i: con.execute("SELECT coalesce(round_even(list_stddev_pop(?::BIGINT[]), 1), 0)", [ns]).fetchone()[0] for i, ns in enumerate(lengths)}
+    assert got == want and (got[0], got[1], got[2], got[3]) == (7.7, 4.7, 0.0, 0.0)
+
+
 def test_numbers_are_traced_by_text_rounding_and_scale(spark):
     body = spark.createDataFrame([("a", "99.4"), ("a", "12"), ("a", "0.305"), ("b", "7"), ("a", "x"), (None, "5"), ("a", None), ("a", "12")], "k string, number string")
     quoted = spark.createDataFrame([("a", "12.0"), ("a", "12.00"), ("a", "99.44"), ("a", "0.994"), ("a", "30.5"), ("a", "7"), ("b", "7.0"), ("c", "7"), ("a", "n/a"),
