@@ -44,20 +44,24 @@ def _drawn(draws: DataFrame, law: list[str], table: DataFrame, out: str) -> Data
         "_u", "_bucket", "_from", "_to")
 
 
-def binomial_draws(draws: DataFrame, trials: str, hits: str, u: Column, out: str = "drawn") -> DataFrame:
-    """Every row with a binomial count of `trials` draws that succeed with probability hits / trials (trials > 0)."""
+def binomial_draws(draws: DataFrame, trials: str, hits: str, u: Column, out: str = "drawn", laws: DataFrame | None = None) -> DataFrame:
+    """Every row with a binomial count of `trials` draws that succeed with probability hits / trials (trials > 0).
+
+    `laws` is a smaller frame that holds all of the two columns' values, if there is one."""
     k, s = F.col(trials), F.col(hits)
     side = F.ceil(F.lit(SIDES) * F.sqrt(s * (1 - s / k))) + F.when((s > 0) & (s < k), BESIDES).otherwise(0)
     odds = s / F.nullif(k - s, F.lit(0))
-    laws = draws.select(trials, hits).distinct()
+    laws = (draws if laws is None else laws).select(trials, hits).distinct()
     table = _table(laws, [trials, hits], F.greatest(F.lit(0), s - side), F.least(k, s + side), lambda x: F.ln((k - x) / (x + 1) * odds))
     return _drawn(draws.withColumn("_u", u), [trials, hits], table, out)
 
 
-def poisson_draws(draws: DataFrame, mean: str, u: Column, out: str = "drawn") -> DataFrame:
-    """Every row with a Poisson count of the whole-number mean in a column: the summed weights of so many units."""
+def poisson_draws(draws: DataFrame, mean: str, u: Column, out: str = "drawn", laws: DataFrame | None = None) -> DataFrame:
+    """Every row with a Poisson count of the whole-number mean in a column: the summed weights of so many units.
+
+    `laws` is a smaller frame that holds all of the column's values, if there is one."""
     m = F.col(mean)
     side = F.ceil(F.lit(SIDES) * F.sqrt(m)) + BESIDES
-    laws = draws.select(mean).distinct()
+    laws = (draws if laws is None else laws).select(mean).distinct()
     table = _table(laws, [mean], F.greatest(F.lit(0), m - side), m + side, lambda x: F.ln(m / (x + 1)))
     return _drawn(draws.withColumn("_u", u), [mean], table, out)

@@ -25,12 +25,21 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     Rows are first reduced to distinct value pairs with counts; ranks come from the distinct values of
     each side, scaled to (0, 1) so that the sums stay exact enough at any row count.
     """
-    pairs = (
+    return _spearman(_value_pairs(df, a, b, "c"))
+
+
+def _value_pairs(df: DataFrame, a: str, b: str, count: str) -> DataFrame:
+    """x, y and their number of rows; rows with a null on either side are left out."""
+    return (
         df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
         .groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias(count))
     )
 
+
+def _spearman(pairs: DataFrame) -> DataFrame:
+    """The correlation from distinct value pairs x, y that occur c times."""
+
     def ranks(side: str) -> DataFrame:
         placed = value_positions(pairs, side, weight="c")
         centred = (F.col("below") + (F.col("c") + 1) / 2.0) / F.col("n") - (F.col("n") + 1) / (2.0 * F.col("n"))
@@ -79,11 +88,11 @@ def bootstrap_proportion(df: DataFrame, flags: dict[str, Flag], n: int = 10_000,
     parts = [f if isinstance(f, tuple) else (f, F.lit(True)) for f in flags.values()]
     wide = df.agg(*[c for i, (num, den) in enumerate(parts) for c in (
         F.count_if(den).alias(f"k{i}"), F.count_if(num & den).alias(f"s{i}"))])
-    totals = wide.select(F.inline(F.array(*[
-        F.struct(F.lit(label).alias("quantity"), F.col(f"k{i}").alias("k"), F.col(f"s{i}").alias("s")) for i, label in enumerate(flags)])))
+    totals = materialise(wide.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("quantity"), F.col(f"k{i}").alias("k"), F.col(f"s{i}").alias("s")) for i, label in enumerate(flags)]))), "totals")
     draws = totals.where(F.col("k") > 0).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     u = uniform52(F.lit(str(seed)), F.col("quantity"), F.col("replicate").cast("string"))
-    shares = binomial_draws(draws, "k", "s", u).select("quantity", (100.0 * F.col("drawn") / F.col("k")).alias("draw"))
+    shares = binomial_draws(draws, "k", "s", u, laws=totals.where("k > 0")).select("quantity", (100.0 * F.col("drawn") / F.col("k")).alias("draw"))
     interval = index_percentile_interval(shares, "draw", ("quantity",))
     return totals.join(interval, "quantity").select(
         "quantity",
@@ -124,7 +133,8 @@ def cluster_intervals(
         F.struct(F.lit(label).alias("quantity"), F.col(f"num{i}").alias("num"), F.col(f"den{i}").alias("den")) for i, label in enumerate(quantities)])))
     cells = materialise(long.groupBy("quantity", "num", "den").agg(F.count(F.lit(1)).alias("m")), "clusters")
     key = [F.lit(str(seed)), F.col("quantity"), *[F.col(c).cast("string") for c in ("num", "den", "replicate")]]
-    weighed = poisson_draws(_replicates(cells.where("den > 0"), n), "m", uniform52(*key), "w").where("w > 0")
+    counted = cells.where("den > 0")
+    weighed = poisson_draws(_replicates(counted, n), "m", uniform52(*key), "w", laws=counted).where("w > 0")
     draws = weighed.groupBy("quantity", "replicate").agg(
         (100.0 * F.sum(F.col("num") * F.col("w")) / F.sum(F.col("den") * F.col("w"))).alias("draw"))
     interval = index_percentile_interval(draws, "draw", ("quantity",))
@@ -151,12 +161,7 @@ def bootstrap_spearman(df: DataFrame, a: str, b: str, n: int = 10_000, seed: int
     replicate, and from the values of the same bin, so no replicate is sorted in one task. Bins hold about equally many rows.
     Replicates with a constant side are skipped; rows with a null on either side are left out.
     """
-    pairs = (
-        df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        .groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        .agg(F.count(F.lit(1)).alias("m"))
-    )
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(_value_pairs(df, a, b, "m"), "pairs")
 
     def bins(side: str) -> DataFrame:
         bin_ = F.floor(F.col("below") * RANK_BINS / F.col("n")).cast("int")
@@ -164,7 +169,7 @@ def bootstrap_spearman(df: DataFrame, a: str, b: str, n: int = 10_000, seed: int
 
     cells = materialise(pairs.join(bins("x"), "x").join(bins("y"), "y"), "cells")
     key = [F.lit(str(seed)), F.col("x").cast("string"), F.col("y").cast("string"), F.col("replicate").cast("string")]
-    weighed = poisson_draws(_replicates(cells, n), "m", uniform52(*key), "w").where("w > 0")
+    weighed = poisson_draws(_replicates(cells, n), "m", uniform52(*key), "w", laws=cells).where("w > 0")
     # Weights per replicate and bin of either side, then the weight below every bin as an array; no row of values is involved.
     sides = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"b{s}").alias("bin")) for s in ("x", "y")]))
     binned = weighed.select("replicate", "w", sides).groupBy("replicate", "side", "bin").agg(F.sum("w").alias("w"))
@@ -180,10 +185,10 @@ def bootstrap_spearman(df: DataFrame, a: str, b: str, n: int = 10_000, seed: int
         ties = F.sum("w").over(Window.partitionBy("replicate", f"b{side}", side))
         rank = F.get(F.col(f"below_{side}"), F.col(f"b{side}")) + F.sum("w").over(inside) - (ties - 1) / 2.0
         placed = placed.withColumn(f"r{side}", rank / F.col("all") - (F.col("all") + 1) / (2.0 * F.col("all")))
-    draws = placed.groupBy("replicate").agg(_pearson(F.col("rx"), F.col("ry"), F.col("w").cast("double")).alias("draw"))
+    draws = materialise(placed.groupBy("replicate").agg(_pearson(F.col("rx"), F.col("ry"), F.col("w").cast("double")).alias("draw")), "draws")
     interval = index_percentile_interval(draws, "draw")
     return interval.select(
-        F.bround(spearman(df, a, b).scalar(), 3).alias("value"),
+        F.bround(_spearman(pairs.withColumnRenamed("m", "c")).scalar(), 3).alias("value"),
         F.bround("low", 3).alias("ci95_low"), F.bround("high", 3).alias("ci95_high"),
         pairs.agg(F.sum("m")).scalar().alias("n"),
     )
@@ -192,10 +197,11 @@ def bootstrap_spearman(df: DataFrame, a: str, b: str, n: int = 10_000, seed: int
 def interval_table(parts: list[tuple[DataFrame, str | Column]], others: list[tuple[DataFrame, str | Column]] = ()) -> DataFrame:
     """Interval outputs with the basis they were computed on and, for shares, the worst-case half-width in percent points.
 
-    `others` are intervals of quantities that are no shares: their half-width is null."""
+    `others` are intervals of quantities that are no shares: their half-width is null. Each part is stored before the next one is
+    planned, so that the driver holds the plan of one part, not of all."""
     width = F.bround(100.0 * 1.96 * F.sqrt(F.lit(0.25) / F.col("n")), 1)
     labelled = [
-        df.withColumn("basis", basis if isinstance(basis, Column) else F.lit(basis)).withColumn("worst_half_width_pct", w)
+        materialise(df.withColumn("basis", basis if isinstance(basis, Column) else F.lit(basis)).withColumn("worst_half_width_pct", w), "intervals")
         for group, w in ((parts, width), (others, F.lit(None).cast("double"))) for df, basis in group
     ]
     return reduce(DataFrame.unionByName, labelled)

@@ -90,3 +90,13 @@ def test_rank_interval_equals_ranks_of_every_replicate(spark):
         values.append(sum((x - ma) * (y - mb) for x, y in zip(a, b)) / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b)))
     values.sort()
     assert (got.ci95_low, got.ci95_high, got.n) == (round(values[1], 3), round(values[57], 3), 80)
+
+
+def test_interval_parts_are_stored_one_by_one(spark):
+    rows = spark.range(60).select((F.col("id") % 3 == 0).alias("f"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"))
+    share = lambda q: stt.bootstrap_proportion(rows, {q: F.col("f")}, 200, 1)
+    ranks = stt.bootstrap_spearman(rows, "a", "b", 200, 1).select(F.lit("r").alias("quantity"), F.col("value").alias("value_pct"), "ci95_low", "ci95_high", "n")
+    got = stt.interval_table([(share("p"), "x"), (share("q"), F.upper("quantity"))], [(ranks, "y")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 3
+    assert sorted((r.quantity, r.basis, r.n, r.worst_half_width_pct) for r in got.collect()) == [("p", "x", 60, 12.7), ("q", "Q", 60, 12.7), ("r", "y", 60, None)]
