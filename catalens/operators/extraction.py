@@ -111,9 +111,8 @@ def scan_files(
     the idioms of its own language; decorated private functions are left out. Arguments and bodies end at their own
     closing bracket, whatever their length; an argument list that is never closed is no hit. A null or empty text has none."""
     wanted = files.where(F.col(language).isin(*{k for p in patterns for k in (PYTHON if p.startswith("py_") else JS)}))
-    hits = scanner.registrations(F.col(text), F.col(language))
-    found = wanted.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*")
-    return _read_hits(found.where(F.col("extraction_pattern").isin(*patterns)), keep)
+    hits = scanner.registrations(F.col(text), F.col(language), patterns)
+    return _read_hits(wanted.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.*"), keep)
 
 
 def extract_calls_js(files: DataFrame, keep: Sequence[str], **columns: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import ast
 import random
 
+from catalens.functions import scanner
 from catalens.functions.scanner import JAVASCRIPT, closing, own_level, strict_hits
 from catalens.operators import extraction as ex
 from tests_files import files
@@ -87,3 +88,23 @@ def test_own_level_and_closing():
     end = closing(text, 0, JAVASCRIPT)
     assert text[end:] == "} rest" and own_level(text, 1, end, JAVASCRIPT) == ' a: [],  c: "x}" '
     assert closing("({", 0, JAVASCRIPT) == -1
+
+
+def test_hits_hold_no_more_text_than_is_read():
+    tail = "long tail: 'of' prose \n" * 50_000
+    python = '@app.tool()\ndef f(a):\n    """Doc."""\n' + tail + "@app.tool()\ndef g(a): pass\n" + tail + "@app.tool()\n" + tail
+    assert [h[5] for h in scanner._python(python)] == ['\ndef f(a):\n    """Doc."""', "\ndef g(", ""]
+    assert [h[5] for h in scanner._javascript("{ name: 'a',description: 'd', inputSchema : x, " + tail)] == ["inputSchema :"]
+
+
+def test_shortened_hits_read_the_same(spark, monkeypatch):
+    random.seed(6)
+    pieces = ["@app.tool()\n", "@a.tool(name='n')\n", "\nasync def f(a, b):\n", "\n\x85 def g", "\n\x1cdef h(", "\ndef _p():", ":\n  r'''one\n two'''", ': """x"""', ": '''open", "é", "(", " \n", "　",
+              "text", "\n async def ḱ:", '"""', "{ name: 'j', description: 'd', ", "{ name: 'i',description: \"e\", schema :", "Schema :", "}", "ſchema:"]
+    texts = ["@app.tool()\n" + "".join(random.choices(pieces, k=12)) for _ in range(1200)]
+    src = ex.select_source_files(files(spark, [("p", "npm", f"a{i}.{'ts' if i % 3 == 0 else 'py'}", t) for i, t in enumerate(texts)]))
+    read = lambda: sorted(map(str, ex.scan_files(src, ["path"]).collect()))
+    short = read()
+    monkeypatch.setattr(scanner, "_to_docstring", lambda after: after)
+    monkeypatch.setattr(scanner, "SLICE", 7)
+    assert short == read() and len(short) > 300
