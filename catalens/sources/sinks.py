@@ -17,7 +17,10 @@ def save_table(df: DataFrame, path: str, fmt: str = "csv") -> int:
 
 
 def save_jsonl(df: DataFrame, path: str) -> int:
-    """Write rows as JSON lines and return their number; null fields are written out."""
+    """Write rows as gzip-compressed JSON lines and return their number; null fields are written out.
+
+    Field names and nulls repeat in every line, so compressed files are a small part of the text. A task writes a file and a task
+    reads it whole."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("ignoreNullFields", False).json(path, compression="gzip")
     return seen.get["rows"]

@@ -97,6 +97,15 @@ def test_sinks_return_the_row_count(spark, tmp_path):
     assert sk.save_jsonl(spark.range(3), str(tmp_path / "j")) == 3
 
 
+def test_json_lines_are_compressed_and_keep_nulls(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id as a_field_name", "cast(null as string) as another_field_name")
+    assert sk.save_jsonl(rows, str(tmp_path / "z")) == 5000
+    text = spark.read.text(str(tmp_path / "z"))
+    assert text.where("value = '{\"a_field_name\":7,\"another_field_name\":null}'").count() == 1 and text.count() == 5000
+    assert sum(f.stat().st_size for f in (tmp_path / "z").glob("part-*")) < 50_000 and sorted(rd.read_jsonl(
+        spark, str(tmp_path / "z"), "a_field_name long, another_field_name string")[0].collect()) == sorted(rows.collect())
+
+
 def test_claims(spark):
     table = spark.createDataFrame([("servers", 35.0), ("versions", 114.0)], "metric string, value double")
     table = table.unionByName(spark.createDataFrame([(f"m{i}", float(i)) for i in range(60)] + [("late", 114.0)], table.schema))
