@@ -23,7 +23,11 @@ TRAIN_STEPS, SCORE_STEPS = 24, 64
 #: Texts trained or scored side by side.
 TRAIN_LANES, SCORE_LANES = 64, 256
 RATE, PASSES, SEED = 0.01, 3, 7
+#: Rows of the output layer that are worked on at a time.
+OUTPUT_ROWS = 2048
 _SYMBOLS = frozenset(b"!%&*$#|@<>=+/\\^~_[]{}()")
+#: Of every byte: 1 a symbol, 2 a digit, 4 beyond ASCII, 8 a closing mark.
+_MARKS = np.array([(c in _SYMBOLS) + 2 * (48 <= c <= 57) + 4 * (c > 127) + 8 * (c in b".,;:?\"'") for c in range(256)], np.uint8)
 
 
 def tail_class(word: bytes) -> int:
@@ -37,6 +41,15 @@ def tail_class(word: bytes) -> int:
     return kind + 4 * (not word.isascii())
 
 
+def tail_classes(edges: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """tail_class of many words: word i is letters[edges[i]:edges[i + 1]], none is empty."""
+    if len(edges) < 2:
+        return np.empty(0, np.int64)
+    marks = np.bitwise_or.reduceat(_MARKS[letters[:edges[-1]]], edges[:-1])
+    last = _MARKS[letters[edges[1:] - 1]] & 8 > 0
+    return np.where(marks & 1, 2, np.where(marks & 2, 3, last)) + (marks & 4)
+
+
 def initial(counts: np.ndarray, tail_mass: np.ndarray) -> dict[str, np.ndarray]:
     """Weights of the unigram model: counts of the frequent words (the end first), mass of the tail classes."""
     rng, n = np.random.default_rng(SEED), len(counts)
@@ -54,50 +67,94 @@ def initial(counts: np.ndarray, tail_mass: np.ndarray) -> dict[str, np.ndarray]:
         "Ww": np.zeros((groups, HIDDEN, width), f), "bw": word_bias.astype(f)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+def _by_gate(p: dict) -> np.ndarray:
+    """Weights of the state by gate (update, reset, new), so that every gate's numbers lie together."""
+    return np.ascontiguousarray(p["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
 
 
-def _step(p: dict, gate: np.ndarray, h: np.ndarray):
-    u = h @ p["U"]
-    zr = _sigmoid(gate[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])
-    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-    n = 2.0 * _sigmoid(2.0 * (gate[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])) - 1.0
-    return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN:]
+def _gates(p: dict, x: np.ndarray) -> np.ndarray:
+    """Inputs of the gates for symbols, the gates first."""
+    return np.take(p["E"].reshape(-1, HIDDEN), 3 * x + np.arange(3)[:, None], axis=0)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _step(u: np.ndarray, gate: np.ndarray, h: np.ndarray, out: np.ndarray):
+    """Writes the state after h to out; u: weights by gate. Returns both gates, the new part and what the reset gate multiplies."""
+    a = np.matmul(h, u)
+    zr, un = a[:2], a[2]
+    zr += gate[:2]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1.0
+    np.reciprocal(zr, out=zr)
+    n = zr[1] * un
+    n += gate[2]
+    n *= -2.0  # the hyperbolic tangent, by the faster exponential
+    np.exp(n, out=n)
+    n += 1.0
+    np.divide(2.0, n, out=n)
+    n -= 1.0
+    np.subtract(h, n, out=out)
+    out *= zr[0]
+    out += n
+    return zr[0], zr[1], n, un
+
+
+def _softmax(x: np.ndarray, picked: np.ndarray, keep: bool) -> np.ndarray:
+    """Natural-log probability of the picked column of each row; x becomes the probabilities less 1 there, if kept."""
+    at = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    out = x[at, picked]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    out -= np.log(total)
+    if keep:
+        x *= np.reciprocal(total)[:, None]
+        x[at, picked] -= 1.0
+    return out
 
 
 def _output(p: dict, states: np.ndarray, target: np.ndarray, grad: dict | None = None):
-    """Natural-log probability of each target after its state; with grad, adds the loss's gradients and returns the states'."""
+    """Natural-log probability of each target after its state; with grad, adds the loss's gradients and returns the states'.
+
+    Rows are taken OUTPUT_ROWS at a time, which stay in the processor's cache.
+    """
     (groups, _, width), frequent = p["Ww"].shape, p["E"].shape[0] - TAILS - 1
     cls = np.where(target < frequent, target // width, target - frequent + groups)
-    lc = _log_softmax(states @ p["Wc"] + p["bc"])
-    out, at = lc[np.arange(len(target)), cls].astype(np.float64), np.arange(len(target))
-    if grad is not None:
-        dc = np.exp(lc)
-        dc[at, cls] -= 1.0
-        grad["Wc"] += states.T @ dc
-        grad["bc"] += dc.sum(axis=0)
-        ds = dc @ p["Wc"].T
-    order = np.argsort(cls, kind="stable")
+    out, ds = np.empty(len(target)), None if grad is None else np.empty_like(states)
+    wct = np.ascontiguousarray(p["Wc"].T)
+    for lo in range(0, len(target), OUTPUT_ROWS):
+        s, c = states[lo:lo + OUTPUT_ROWS], cls[lo:lo + OUTPUT_ROWS]
+        x = s @ p["Wc"]
+        x += p["bc"]
+        out[lo:lo + OUTPUT_ROWS] = _softmax(x, c, grad is not None)
+        if grad is not None:
+            grad["Wc"] += s.T @ x
+            grad["bc"] += np.ones(len(x), np.float32) @ x
+            np.matmul(x, wct, out=ds[lo:lo + OUTPUT_ROWS])
+    order = np.argsort(cls.astype(np.int16 if groups < 30_000 else np.int64), kind="stable")
     edges = np.searchsorted(cls[order], np.arange(groups + 1))
-    for g in range(groups):
-        rows = order[edges[g]:edges[g + 1]]
-        if len(rows):
-            s, inside = states[rows], target[rows] - g * width
-            lw = _log_softmax(s @ p["Ww"][g] + p["bw"][g])
-            k = np.arange(len(rows))
-            out[rows] += lw[k, inside]
+    order = order[:edges[-1]]
+    first = 0
+    while first < groups:
+        # Groups of a few rows share one softmax; a group of many rows is one by itself.
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + OUTPUT_ROWS, "right")) - 1)
+        lo, hi = int(edges[first]), int(edges[last])
+        if hi > lo:
+            rows = order[lo:hi]
+            s, x = states[rows], np.empty((hi - lo, width), np.float32)
+            parts = [(g, slice(int(edges[g]) - lo, int(edges[g + 1]) - lo)) for g in range(first, last) if edges[g + 1] > edges[g]]
+            for g, at in parts:
+                np.matmul(s[at], p["Ww"][g], out=x[at])
+                x[at] += p["bw"][g]
+            out[rows] += _softmax(x, target[rows] - cls[rows] * width, grad is not None)
             if grad is not None:
-                dw = np.exp(lw)
-                dw[k, inside] -= 1.0
-                grad["Ww"][g] += s.T @ dw
-                grad["bw"][g] += dw.sum(axis=0)
-                ds[rows] += dw @ p["Ww"][g].T
+                d, ones = np.empty_like(s), np.ones(hi - lo, np.float32)
+                for g, at in parts:
+                    grad["Ww"][g] += s[at].T @ x[at]
+                    grad["bw"][g] += ones[at] @ x[at]
+                    np.matmul(x[at], p["Ww"][g].T, out=d[at])
+                ds[rows] += d
+        first = last
     return out if grad is None else (out, ds)
 
 
@@ -107,7 +164,7 @@ def log_probabilities(p: dict, texts: list[np.ndarray]) -> np.ndarray:
     Texts run side by side, longest first; a text's state goes on from window to window until its end.
     """
     out, start = np.zeros(len(texts)), p["E"].shape[0] - 1
-    sizes = np.array([len(t) for t in texts])
+    u, sizes = _by_gate(p), np.array([len(t) for t in texts])
     order = np.argsort(-sizes, kind="stable")
     for lo in range(0, len(order), SCORE_LANES):
         lanes = order[lo:lo + SCORE_LANES]
@@ -120,10 +177,11 @@ def log_probabilities(p: dict, texts: list[np.ndarray]) -> np.ndarray:
                 part = texts[lanes[i]][t0:t0 + width]
                 y[:len(part), i] = part
             x = np.vstack((last[None, :live], np.where(y[:-1] >= 0, y[:-1], 0)))
-            gates, h = p["E"][x], h[:live]
+            h = h[:live]
             states = np.empty((width, live, HIDDEN), np.float32)
             for t in range(width):
-                h = states[t] = _step(p, gates[t], h)[0]
+                _step(u, _gates(p, x[t]), h, states[t])
+                h = states[t]
             last = np.where(y[-1] >= 0, y[-1], 0)
             rows, cols = np.nonzero(y >= 0)
             out[lanes[:live]] += np.bincount(cols, _output(p, states[rows, cols], y[rows, cols]), live)
@@ -151,36 +209,60 @@ def train(p: dict, texts: list[np.ndarray], passes: int = PASSES, rate: float =
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t0 in range(0, length, TRAIN_STEPS):
             x, y = xs[t0:t0 + TRAIN_STEPS], ys[t0:t0 + TRAIN_STEPS]
-            grad, kept, states = {k: np.zeros_like(w) for k, w in p.items() if k != "E"}, [], []
-            gates, start = p["E"][x], x == p["E"].shape[0] - 1
-            for t in range(len(x)):
-                h = np.where(start[t][:, None], 0, h).astype(np.float32)
-                new, *rest = _step(p, gates[t], h)
-                kept.append((h, *rest))
-                h = new
-                states.append(h)
-            _, ds = _output(p, np.concatenate(states), y.reshape(-1), grad)
-            ds, dh, dgates = ds.reshape(len(x), lanes, HIDDEN), np.zeros_like(h), np.empty_like(gates)
-            for t in range(len(x) - 1, -1, -1):
-                h0, z, r, c, un = kept[t]
-                dh = dh + ds[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                du = np.concatenate((dh * (h0 - c) * z * (1 - z), dc * un * r * (1 - r), dc * r), axis=1)
-                dgates[t] = np.concatenate((du[:, :2 * HIDDEN], dc), axis=1)
-                grad["U"] += h0.T @ du
-                dh = np.where(start[t][:, None], 0, dh * z + du @ p["U"].T)
+            grad, u, steps = {k: np.zeros_like(w) for k, w in p.items() if k != "E"}, _by_gate(p), len(x)
+            starts = [np.flatnonzero(row) for row in x == p["E"].shape[0] - 1]
+            states, before = (np.empty((steps, lanes, HIDDEN), np.float32) for _ in range(2))
+            # How a step's state moves with its gates: the new part, the update gate, the reset gate; and the gates.
+            by_new, by_update, by_reset, kept, reset = (np.empty_like(states) for _ in range(5))
+            for t in range(steps):
+                before[t] = h
+                before[t][starts[t]] = 0
+                z, r, c, un = _step(u, _gates(p, x[t]), before[t], states[t])
+                h, kept[t], reset[t] = states[t], z, r
+                by_update[t] = (before[t] - c) * z * (1 - z)
+                by_new[t] = (1 - z) * (1 - c * c)
+                by_reset[t] = un * r * (1 - r)
+            _, ds = _output(p, states.reshape(-1, HIDDEN), y.reshape(-1), grad)
+            ds, dh = ds.reshape(states.shape), np.zeros_like(h)
+            dgates, ut = np.empty((3, *states.shape), np.float32), np.ascontiguousarray(u.transpose(0, 2, 1))
+            dnew, du = np.empty_like(states), np.empty((3, lanes, HIDDEN), np.float32)
+            for t in range(steps - 1, -1, -1):
+                dh += ds[t]
+                np.multiply(dh, by_new[t], out=dgates[2, t])
+                np.multiply(dh, by_update[t], out=dgates[0, t])
+                np.multiply(dgates[2, t], by_reset[t], out=dgates[1, t])
+                np.multiply(dgates[2, t], reset[t], out=dnew[t])
+                np.matmul(dgates[:2, t], ut[:2], out=du[:2])
+                np.matmul(dnew[t], ut[2], out=du[2])
+                dh *= kept[t]
+                for part in du:
+                    dh += part
+                dh[starts[t]] = 0
+            seen = before.reshape(-1, HIDDEN).T
+            for g, d in enumerate((dgates[0], dgates[1], dnew)):
+                grad["U"][:, g * HIDDEN:(g + 1) * HIDDEN] = seen @ d.reshape(-1, HIDDEN)
             by_row = np.argsort(x, axis=None, kind="stable")
             used, edges = np.unique(x.reshape(-1)[by_row], return_index=True)
-            grad["E"] = np.add.reduceat(dgates.reshape(-1, 3 * HIDDEN)[by_row], edges, axis=0)
+            grad["E"] = np.concatenate([np.add.reduceat(d.reshape(-1, HIDDEN)[by_row], edges, axis=0) for d in dgates], axis=1)
             n += 1
-            step = rate * (1 - n / (total + 1)) * np.sqrt(1 - 0.999 ** n) / (1 - 0.9 ** n)
+            step = float(rate * (1 - n / (total + 1)) * np.sqrt(1 - 0.999 ** n) / (1 - 0.9 ** n))
             scale = 1.0 / x.size
             for k in p:
-                g, at = grad[k] * scale, used if k == "E" else ...
-                mk = m[k][at] + 0.1 * (g - m[k][at])
-                vk = v[k][at] + 0.001 * (g * g - v[k][at])
-                m[k][at], v[k][at] = mk, vk
-                p[k][at] -= (step * mk / (np.sqrt(vk) + 1e-8)).astype(np.float32)
+                g, at = grad[k], used if k == "E" else ...
+                g *= scale
+                mk, vk = m[k][at], v[k][at]  # copies of the rows of E, else the arrays themselves
+                mk += 0.1 * (g - mk)
+                g *= g
+                g -= vk
+                g *= 0.001
+                vk += g
+                if k == "E":
+                    m[k][at], v[k][at] = mk, vk
+                np.sqrt(vk, out=g)
+                g += 1e-8
+                np.divide(mk, g, out=g)
+                g *= step
+                p[k][at] -= g
     return p
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from catalens.llm import gru
-from catalens.llm.common import batched, lower_words, ship_with_tasks, stored
+from catalens.llm.common import batched, lower_words, ship_with_tasks, split_words, stored, word_bytes
 
 ship_with_tasks(__name__)
 
@@ -57,37 +57,42 @@ def _blocks(docs: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         base, made = TaskContext.get().partitionId() << 24, 0
-        codes: dict[bytes, int] = {}
+        parts: list[pa.Array] = []
         rows: list[tuple] = []
         tokens = 0
 
         def flush():
-            n = np.zeros(len(codes), np.int64)
-            for _, held, c in rows:
-                if not held:
-                    n += np.bincount(c, minlength=len(codes))
-            block, words = base + made, list(codes)
-            empty = [None] * len(words)
-            columns = [[block] * (len(rows) + len(words)), [r[0] for r in rows] + empty, [r[1] for r in rows] + empty,
-                       [r[2].tobytes() for r in rows] + empty, [None] * len(rows) + list(range(len(words))),
-                       [None] * len(rows) + words, [None] * len(rows) + [gru.tail_class(w) for w in words],
-                       [None] * len(rows) + n.tolist()]
-            whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], schema.names)
+            coded = pa.chunked_array(parts, pa.binary()).dictionary_encode()
+            words = coded.chunk(coded.num_chunks - 1).dictionary if coded.num_chunks else pa.array([], pa.binary())
+            codes = np.concatenate([c.indices.to_numpy() for c in coded.chunks] or [np.empty(0, np.int32)])
+            ends = np.cumsum([0, *(r[2] for r in rows)])
+            learnt = np.repeat([not r[1] for r in rows], np.diff(ends))
+            n = np.bincount(codes[learnt], minlength=len(words))
+            places = [codes[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])]
+            yield from batches_of([[base + made] * len(rows), [r[0] for r in rows], [r[1] for r in rows], places, *[[None] * len(rows)] * 4])
+            none = [None] * len(words)
+            yield from batches_of([np.full(len(words), base + made), none, none, none, np.arange(len(words), dtype=np.int32), words,
+                                   gru.tail_classes(*word_bytes(words)).astype(np.int32), n])
+
+        def batches_of(columns):
+            whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], schema.names)
             for at in range(0, whole.num_rows, 20_000):
                 yield whole.slice(at, 20_000)
 
         for batch in batches:
-            for doc_id, held, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = lower_words(text)
-                for w in set(words).difference(codes):
-                    codes[w] = len(codes)
-                rows.append((doc_id, held, np.fromiter(map(codes.__getitem__, words), np.int32, len(words))))
-                tokens += len(words) + 1
+            # A block ends with the first row that fills it.
+            words, sizes = split_words(batch.column(2))
+            lo = start = 0
+            for i, (doc_id, held) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                rows.append((doc_id, held, int(sizes[i])))
+                tokens, lo = tokens + int(sizes[i]) + 1, lo + int(sizes[i])
                 if tokens >= BLOCK_TOKENS:
+                    parts.append(words.slice(start, lo - start))
                     yield from flush()
-                    codes.clear()
+                    parts.clear()
                     rows.clear()
-                    tokens, made = 0, made + 1
+                    tokens, made, start = 0, made + 1, lo
+            parts.append(words.slice(start))
         if rows:
             yield from flush()
 
@@ -101,6 +106,21 @@ def _symbols(words: list[bytes], frequent: dict[bytes, int], size: int, seen: di
     return np.fromiter((*map(seen.__getitem__, words), 0), np.int64, len(words) + 1)
 
 
+def _text_symbols(column, known, size: int) -> list[np.ndarray]:
+    """_symbols of each text of an Arrow binary column; known: the frequent words in order, as an Arrow array."""
+    import pyarrow.compute as pc
+
+    words, sizes = split_words(column)
+    found = pc.index_in(words, value_set=known)
+    edges, letters = word_bytes(words)
+    symbols = np.where(found.is_null().to_numpy(zero_copy_only=False), size + gru.tail_classes(edges, letters),
+                       found.fill_null(-1).to_numpy().astype(np.int64) + 1)
+    ends = np.cumsum(sizes + 1)
+    out = np.zeros(len(symbols) + len(sizes), np.int64)
+    out[np.arange(len(symbols)) + np.repeat(np.arange(len(sizes)), sizes)] = symbols
+    return np.split(out, ends[:-1]) if len(ends) else []
+
+
 def _trained(docs: DataFrame, weights: dict, frequent: dict[bytes, int], passes: int, rate: float) -> DataFrame:
     """A row (tokens, moved) per partition of docs (text): how far training on the partition's texts moved the weights."""
     import pyarrow as pa
@@ -108,16 +128,15 @@ def _trained(docs: DataFrame, weights: dict, frequent: dict[bytes, int], passes:
     shipped = docs.sparkSession.sparkContext.broadcast((gru.packed(weights), {k: v.shape for k, v in weights.items()}, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, shapes, known = shipped.value
+        flat, shapes, frequent = shipped.value
         p = gru.unpacked(flat, {k: np.empty(s, np.float32) for k, s in shapes.items()})
-        tokens, texts, pending, seen = 0, [], 0, {}
+        tokens, texts, pending, known = 0, [], 0, pa.array(sorted(frequent, key=frequent.get), pa.binary())
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                texts.append(_symbols(lower_words(text), known, len(known) + 1, seen))
-                pending += len(texts[-1])
+            for text in _text_symbols(batch.column(0), known, len(known) + 1):
+                texts.append(text)
+                pending += len(text)
                 if pending >= TRAIN_TOKENS:
                     p, tokens, texts, pending = gru.train(p, texts, passes, rate, TRAIN_LANES), tokens + pending, [], 0
-                    seen.clear()
         p, tokens = gru.train(p, texts, passes, rate, TRAIN_LANES), tokens + pending
         if tokens:
             moved = (gru.packed(p) - flat).astype(np.float16).tobytes()

@@ -104,3 +104,46 @@ def test_larger_groups_are_a_distribution_and_training_keeps_unread_rows():
     q = gru.train(p, [np.append(np.tile([3, 4], 60), 0)], passes=2)
     moved = np.flatnonzero((q["E"] != p["E"]).any(axis=1))
     assert set(moved) == {3, 4, len(p["E"]) - 1}
+
+
+def test_whole_batches_are_split_and_named_as_single_texts_are():
+    import pyarrow as pa
+
+    from catalens.llm import language_model as lm
+    from catalens.llm.common import lower_words, split_words, word_bytes
+
+    odd = ["", None, " a ", "A\tb\x0bC\x0c\x1c d", " x  y\u0085", "É Éa", "  ", "z", None, "q! 1. é? a, b\\ %5é", "ends ", "B"]
+    whole = pa.array([t if t is None else t.encode() for t in odd], pa.binary())
+    frequent = {b"a": 1, b"x": 2, "Éa".encode(): 3}
+    for part in (whole, whole.slice(1), whole.slice(3, 4), whole.slice(5, 1), whole.slice(0, 2), whole.slice(0, 0)):
+        words, sizes = split_words(part)
+        texts = [lower_words(t) for t in part.to_pylist()]
+        assert (words.to_pylist(), sizes.tolist()) == (sum(texts, []), [len(t) for t in texts])
+        assert gru.tail_classes(*word_bytes(words)).tolist() == [gru.tail_class(w) for t in texts for w in t]
+        got = lm._text_symbols(part, pa.array(sorted(frequent, key=frequent.get), pa.binary()), 4)
+        assert [g.tolist() for g in got] == [lm._symbols(t, frequent, 4, {}).tolist() for t in texts]
+
+
+def test_output_of_many_rows_and_its_gradient_do_not_follow_the_rows_taken_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    p = gru.initial(np.arange(200.0, 0, -1), np.full(gru.TAILS, 3.0))
+    p["Ww"] += rng.normal(0, 0.5, p["Ww"].shape).astype(np.float32)
+    p["Wc"] += rng.normal(0, 0.5, p["Wc"].shape).astype(np.float32)
+    states, target = rng.normal(size=(300, gru.HIDDEN)).astype(np.float32), rng.integers(0, 200 + gru.TAILS, 300)
+
+    def done():
+        grad = {k: np.zeros_like(w) for k, w in p.items()}
+        out, ds = gru._output(p, states, target, grad)
+        return [out, ds, *grad.values()]
+
+    want = done()
+    for rows in (1, 7, 100_000):
+        monkeypatch.setattr(gru, "OUTPUT_ROWS", rows)
+        assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(done(), want))
+    # The gradient of the loss by one state, against differences.
+    for at in (0, 17):
+        moved = [states.copy(), states.copy()]
+        moved[0][at, 3] += 0.01
+        moved[1][at, 3] -= 0.01
+        up, down = (gru._output(p, s, target)[at] for s in moved)
+        assert want[1][at, 3] == pytest.approx((down - up) / 0.02, abs=5e-3)
