@@ -55,8 +55,8 @@ def _entries(keys: Column, sign: Column, third: Column) -> Column:
 
 
 def _with(value: Column, use) -> Column:
-    """use(value), with the value computed once."""
-    return F.transform(F.array(value), use)[0]
+    """use(value), with the value computed once. The end of an aggregation over nothing: unlike transform it copies no result."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda same, _: same, use)
 
 
 def _summed(entries: Column) -> Column:
@@ -80,7 +80,7 @@ def _summed(entries: Column) -> Column:
             before = F.coalesce(F.get(ends, i - 1), F.lit(-1))
             last = at(given, F.get(order, end))
             return F.when(end - before == 1, last).otherwise(F.aggregate(
-                F.slice(order, before + 2, end - before - 1), last, lambda total, mark: add(total, at(given, mark))))
+                F.slice(order, before + 2, end - before - 1), last, lambda total, mark: _with(at(given, mark), lambda e: add(total, e))))
         return one
 
     def ends_of(order: Column) -> Column:
@@ -190,10 +190,11 @@ def likeness(left: Column, right: Column, differing: Column) -> Column:
     return F.when(together == 0, F.lit(1.0)).otherwise(F.lit(1.0) - d / together)
 
 
-def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | None = None, arrived: list[dict[str, Column]] | None = None) -> DataFrame:
     """docs (doc_id, text and columns) with next_<column> of the document of next smaller doc_id; the last one's next is the first.
 
-    made: further columns, computed once for every row of a range; columns may name them.
+    made: further columns, computed once for every row of a range; columns may name them. arrived: the same, one dictionary after the
+    other, but computed once the rows are in their ranges, so that they do not cross the network.
 
     Rows of one doc_id follow each other by text; rows without doc_id come last. Texts cross the network once: the ids
     are cut into ranges at quantiles, each range is ordered by itself, and the first row of a range is copied to the end of
@@ -230,6 +231,10 @@ def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | Non
     first = (joined.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).filter("_n = 1")
              .withColumn("_range", F.col("_to")).select(*ranged.columns).withColumn("_copy", F.lit(1)))
     rows = ranged.withColumn("_copy", F.lit(0)).union(first).withColumns(made or {})
+    if arrived:
+        rows = rows.repartition("_range")
+        for more in arrived:
+            rows = rows.withColumns(more)
     along = Window.partitionBy("_range").orderBy("_copy", *order)
     return (rows.select("*", *[F.lead(c).over(along).alias(f"next_{c}") for c in columns]).filter("_copy = 0")
             .drop("_copy", "_range", "_h"))
@@ -243,18 +248,18 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     and differing_next (paragraphs recovered). Null texts count as empty ones.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(texts, ["text", "keys"], {"keys": paragraph_keys(F.col("text"))})
+    pairs = with_next(texts, ["text", "keys", "keys_sketch"], {"keys": paragraph_keys(F.col("text"))}, [
+        {"keys_third": own_third(F.col("keys"))}, {"keys_sketch": _sketch(F.col("keys"), F.col("keys_third"))}])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", 1, F.col("n_chars").cast("int") - half), F.substring("next_text", 1, half))
     staged = (pairs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited)
               .withColumn("edited_keys", paragraph_keys(F.col("edited")))
               .withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
               .drop("text", "next_text", "edited"))
-    sets = ("keys", "edited_keys", "next_keys")
-    sized = staged.withColumns({f"{k}_third": own_third(F.col(k)) for k in sets})
-    sketched = sized.withColumns({f"{k}_sketch": _sketch(F.col(k), F.col(f"{k}_third")) for k in sets})
-    rated = sketched.withColumns({f"differing_{name}": differing_keys(*[F.col(c) for c in ("keys", k, "keys_sketch", f"{k}_sketch")])
-                                  for name, k in (("edited", "edited_keys"), ("next", "next_keys"))})
+    sized = staged.withColumn("edited_keys_third", own_third(F.col("edited_keys")))
+    sketched = sized.withColumn("edited_keys_sketch", _sketch(F.col("edited_keys"), F.col("edited_keys_third")))
+    rated = sketched.withColumns({f"differing_{name}": differing_keys(*[F.col(c) for c in ("keys", k, "keys_sketch", own)])
+                                  for name, k, own in (("edited", "edited_keys", "edited_keys_sketch"), ("next", "next_keys", "next_keys_sketch"))})
     return rated.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("keys_sketch"), F.col("keys_third")).alias("fingerprint"),
         fingerprint(F.col("edited_keys_sketch"), F.col("edited_keys_third")).alias("edited_fingerprint"),

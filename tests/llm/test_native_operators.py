@@ -219,3 +219,20 @@ def test_rule_keys(spark):
     ("http://1.2.3/", ["d:1.2.3", "d:2.3", "d:3"])])
 def test_addresses_are_looked_up_whole(spark, url, rules):
     assert spark.range(1).select(rule_keys(F.lit(url)).alias("k")).first().k == rules
+
+
+def test_columns_made_on_arrival_are_those_of_the_next_row_and_are_not_shuffled(documents):
+    docs = documents([(i, f"text {i % 5} and more") for i in range(40)] + [(None, "x"), (41, None)]).select("doc_id", "text")
+    got = fp.with_next(docs, ["text", "twice"], None, [{"size": F.char_length("text")}, {"twice": F.col("size") * 2}])
+    rows = got.collect()
+    assert len(rows) == 42 and all(r.next_twice == (None if r.next_text is None else 2 * len(r.next_text)) for r in rows)
+    assert {(r.doc_id, r.text, r.next_text) for r in rows} == {(r.doc_id, r.text, r.next_text) for r in fp.with_next(docs, ["text"]).collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("REPARTITION_BY_COL")]
+    assert "Window" in above and above.count("Exchange") == 1  # the window adds no exchange above the one the rows arrive by
+
+
+def test_a_value_used_many_times_is_computed_once_and_not_copied(spark):
+    frame = spark.range(3).select(fp._with(F.array(F.col("id"), F.col("id") + 1), lambda a: F.concat(a, a)).alias("a"))
+    assert [r.a for r in frame.collect()] == [[i, i + 1] * 2 for i in range(3)]
+    assert "transform(" not in frame._jdf.queryExecution().optimizedPlan().toString()
