@@ -22,6 +22,19 @@ def test_pattern_counts_equal_single_scans(spark):
     assert sorted(p for g in fx.CONNECTIVE_GROUPS for p in g) == sorted(fx.CONNECTIVES)
 
 
+def test_patterns_are_only_looked_for_where_a_match_can_begin(spark):
+    starts = {r"\bplays? a (?:key|vital) role\b": "play", r"\bthis is (?:a|the) \w+": "this is ", r"\bin today's\b": "in today's", r"ab{2}": "a", "ab+": "ab",
+              "a|b": "", "(?:a|b)c": "", r"\w+x": "", ".x": "", r"\bx*y": "", "[ab]": "", "a.c": "a", "it(?:s|z)": "it"}
+    assert {p: pr._needed(p) for p in starts} == starts
+    docs = [(1, "Bc ac abbb"), (2, "yy xxy PLAYS A KEY ROLE"), (3, "nothing"), (4, None), (5, "play a vital role, acc")]
+    groups = (("ab{2}", "[ab]c"), (r"\bx*y", r"\bplays? a (?:key|vital) role\b"))
+    frame = pr.pattern_counts(spark.createDataFrame(docs, "k long, t string"), "k", "t", groups)
+    want = {(k, pr.pattern_label(p)): n for k, t in docs for g in groups for p in g if (n := len(re.findall(p, (t or "").lower())))}
+    assert {(r.k, r.pattern): r.n for r in frame.collect()} == want and len(want) == 6
+    plan = pr.pattern_counts(spark.createDataFrame(docs, "k long, t string"), "k", "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan and plan.count("lower(") == 1
+
+
 def test_deviation_of_sentence_lengths_rounds_as_in_sql(spark):
     random.seed(1)
     lengths = [[7, 5, 26, 23, 19, 27, 5, 4, 17, 12, 19, 14, 13, 18, 29, 14], [20, 25, 14, 14, 24, 12, 13, 26, 11, 17, 15, 18, 17, 24, 22, 20], [9], []]
