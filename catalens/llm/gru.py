@@ -8,6 +8,8 @@ counts; truncated backpropagation then fits the rest.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 
 from catalens.llm.common import ship_with_tasks
@@ -25,6 +27,8 @@ TRAIN_LANES, SCORE_LANES = 64, 256
 RATE, PASSES, SEED = 0.01, 3, 7
 #: Rows of the output layer that are worked on at a time.
 OUTPUT_ROWS = 2048
+#: Rows of a sum, up to which it is made together with others.
+SHORT_SUM = 16
 _SYMBOLS = frozenset(b"!%&*$#|@<>=+/\\^~_[]{}()")
 #: Of every byte: 1 a symbol, 2 a digit, 4 beyond ASCII, 8 a closing mark.
 _MARKS = np.array([(c in _SYMBOLS) + 2 * (48 <= c <= 57) + 4 * (c > 127) + 8 * (c in b".,;:?\"'") for c in range(256)], np.uint8)
@@ -68,94 +72,124 @@ def initial(counts: np.ndarray, tail_mass: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _by_gate(p: dict) -> np.ndarray:
-    """Weights of the state by gate (update, reset, new), so that every gate's numbers lie together."""
-    return np.ascontiguousarray(p["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+    """Weights of the state by gate (update, reset, new), so that every gate's numbers lie together; the first two negated."""
+    u = np.ascontiguousarray(p["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+    np.negative(u[:2], out=u[:2])
+    return u
 
 
 def _gates(p: dict, x: np.ndarray) -> np.ndarray:
     """Inputs of the gates for symbols, the gates first."""
-    return np.take(p["E"].reshape(-1, HIDDEN), 3 * x + np.arange(3)[:, None], axis=0)
+    return p["E"].take(x, axis=0).reshape(len(x), 3, HIDDEN).transpose(1, 0, 2)
+
 
+def _step(u: np.ndarray, gate: np.ndarray, h: np.ndarray, out: np.ndarray, a: np.ndarray | None = None, n: np.ndarray | None = None):
+    """Writes the state after h to out; u: weights by gate.
 
-def _step(u: np.ndarray, gate: np.ndarray, h: np.ndarray, out: np.ndarray):
-    """Writes the state after h to out; u: weights by gate. Returns both gates, the new part and what the reset gate multiplies."""
-    a = np.matmul(h, u)
+    a and n, if given, get both gates and what the reset gate multiplies, and the new part.
+    """
+    a = np.matmul(h, u, out=a)
     zr, un = a[:2], a[2]
-    zr += gate[:2]
-    np.negative(zr, out=zr)
+    zr -= gate[:2]
     np.exp(zr, out=zr)
     zr += 1.0
     np.reciprocal(zr, out=zr)
-    n = zr[1] * un
+    n = np.multiply(zr[1], un, out=n)
     n += gate[2]
-    n *= -2.0  # the hyperbolic tangent, by the faster exponential
-    np.exp(n, out=n)
-    n += 1.0
-    np.divide(2.0, n, out=n)
-    n -= 1.0
+    np.tanh(n, out=n)
     np.subtract(h, n, out=out)
     out *= zr[0]
     out += n
-    return zr[0], zr[1], n, un
 
 
 def _softmax(x: np.ndarray, picked: np.ndarray, keep: bool) -> np.ndarray:
-    """Natural-log probability of the picked column of each row; x becomes the probabilities less 1 there, if kept."""
-    at = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
-    out = x[at, picked]
+    """Natural-log probability of the picked row of each column; x becomes the probabilities less 1 there, if kept."""
+    at = picked * x.shape[1] + np.arange(x.shape[1])
+    x -= x.max(axis=0)
+    out = x.take(at)
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], np.float32)
+    total = np.ones(len(x), np.float32) @ x
     out -= np.log(total)
     if keep:
-        x *= np.reciprocal(total)[:, None]
-        x[at, picked] -= 1.0
+        x *= np.reciprocal(total)
+        x.reshape(-1)[at] -= 1.0
     return out
 
 
 def _output(p: dict, states: np.ndarray, target: np.ndarray, grad: dict | None = None):
     """Natural-log probability of each target after its state; with grad, adds the loss's gradients and returns the states'.
 
-    Rows are taken OUTPUT_ROWS at a time, which stay in the processor's cache.
+    Rows are taken OUTPUT_ROWS at a time, which stay in the processor's cache. A softmax holds a column for each, so that it is
+    worked on by long rows; a state ends with a one, which the bias multiplies.
     """
     (groups, _, width), frequent = p["Ww"].shape, p["E"].shape[0] - TAILS - 1
     cls = np.where(target < frequent, target // width, target - frequent + groups)
     out, ds = np.empty(len(target)), None if grad is None else np.empty_like(states)
-    wct = np.ascontiguousarray(p["Wc"].T)
+    biased = np.ones((len(states), HIDDEN + 1), np.float32)
+    biased[:, :HIDDEN] = states
+    wct, gc = np.ascontiguousarray(np.vstack((p["Wc"], p["bc"])).T), 0.0
     for lo in range(0, len(target), OUTPUT_ROWS):
-        s, c = states[lo:lo + OUTPUT_ROWS], cls[lo:lo + OUTPUT_ROWS]
-        x = s @ p["Wc"]
-        x += p["bc"]
+        s, c = biased[lo:lo + OUTPUT_ROWS], cls[lo:lo + OUTPUT_ROWS]
+        x = wct @ s.T
         out[lo:lo + OUTPUT_ROWS] = _softmax(x, c, grad is not None)
         if grad is not None:
-            grad["Wc"] += s.T @ x
-            grad["bc"] += np.ones(len(x), np.float32) @ x
-            np.matmul(x, wct, out=ds[lo:lo + OUTPUT_ROWS])
+            gc += x @ s
+            np.matmul(x.T, wct[:, :HIDDEN], out=ds[lo:lo + OUTPUT_ROWS])
     order = np.argsort(cls.astype(np.int16 if groups < 30_000 else np.int64), kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(groups + 1))
+    edges = np.searchsorted(cls[order], np.arange(groups + 1)).tolist()
     order = order[:edges[-1]]
+    ww = np.concatenate((p["Ww"], p["bw"][:, None]), axis=1).transpose(0, 2, 1)
+    gw = None if grad is None else np.zeros((groups, width, HIDDEN + 1), np.float32)
     first = 0
     while first < groups:
         # Groups of a few rows share one softmax; a group of many rows is one by itself.
-        last = max(first + 1, int(np.searchsorted(edges, edges[first] + OUTPUT_ROWS, "right")) - 1)
-        lo, hi = int(edges[first]), int(edges[last])
+        last = max(first + 1, bisect_right(edges, edges[first] + OUTPUT_ROWS) - 1)
+        lo, hi = edges[first], edges[last]
         if hi > lo:
             rows = order[lo:hi]
-            s, x = states[rows], np.empty((hi - lo, width), np.float32)
-            parts = [(g, slice(int(edges[g]) - lo, int(edges[g + 1]) - lo)) for g in range(first, last) if edges[g + 1] > edges[g]]
+            s, x = biased.take(rows, axis=0), np.empty((width, hi - lo), np.float32)
+            parts = [(g, slice(edges[g] - lo, edges[g + 1] - lo)) for g in range(first, last) if edges[g + 1] > edges[g]]
             for g, at in parts:
-                np.matmul(s[at], p["Ww"][g], out=x[at])
-                x[at] += p["bw"][g]
+                np.matmul(ww[g], s[at].T, out=x[:, at])
             out[rows] += _softmax(x, target[rows] - cls[rows] * width, grad is not None)
             if grad is not None:
-                d, ones = np.empty_like(s), np.ones(hi - lo, np.float32)
+                d = np.empty((hi - lo, HIDDEN), np.float32)
                 for g, at in parts:
-                    grad["Ww"][g] += s[at].T @ x[at]
-                    grad["bw"][g] += ones[at] @ x[at]
-                    np.matmul(x[at], p["Ww"][g].T, out=d[at])
+                    np.matmul(x[:, at], s[at], out=gw[g])
+                    np.matmul(x[:, at].T, p["Ww"][g].T, out=d[at])
                 ds[rows] += d
         first = last
-    return out if grad is None else (out, ds)
+    if grad is None:
+        return out
+    if len(target):
+        grad["Wc"] += gc[:, :HIDDEN].T
+        grad["bc"] += gc[:, HIDDEN]
+    grad["Ww"] += gw[:, :, :HIDDEN].transpose(0, 2, 1)
+    grad["bw"] += gw[:, :, HIDDEN]
+    return out, ds
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of the rows order[edges[i]:edges[i + 1]] for every i; the last row of rows holds zeros.
+
+    Short sums of like length are made together, filled up with zeros; a long one by itself.
+    """
+    sizes = np.diff(edges, append=len(order))
+    out = np.empty((len(edges), rows.shape[1]), rows.dtype)
+    few, many = 0, 1
+    while few < SHORT_SUM:
+        picked = np.flatnonzero((sizes > few) & (sizes <= many))
+        at, place = np.arange(many), edges[picked, None]
+        place = np.where(at < sizes[picked, None], order.take(place + at, mode="clip"), len(rows) - 1)
+        part = rows.take(place[:, 0], axis=0)
+        for column in range(1, many):
+            part += rows.take(place[:, column], axis=0)
+        out[picked] = part
+        few, many = many, 2 * many
+    for i in np.flatnonzero(sizes > few).tolist():
+        part = rows.take(order[edges[i]:edges[i] + sizes[i]], axis=0)
+        out[i] = np.ones(len(part), rows.dtype) @ part
+    return out
 
 
 def log_probabilities(p: dict, texts: list[np.ndarray]) -> np.ndarray:
@@ -204,53 +238,61 @@ def train(p: dict, texts: list[np.ndarray], passes: int = PASSES, rate: float =
     length = len(flat) // lanes
     xs, ys = (a[:lanes * length].reshape(lanes, length).T for a in (before, flat))
     m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
-    n, total = 0, passes * -(-length // TRAIN_STEPS)
+    n, total, start = 0, passes * -(-length // TRAIN_STEPS), p["E"].shape[0] - 1
+    # The memory of a window serves the next one.
+    states, seen, new = (np.empty((TRAIN_STEPS, lanes, HIDDEN), np.float32) for _ in range(3))
+    gates, by_symbol = np.empty((TRAIN_STEPS, 3, lanes, HIDDEN), np.float32), np.empty((TRAIN_STEPS * lanes + 1, 3 * HIDDEN), np.float32)
+    d, (dh, dn, part, rest) = np.empty((lanes, 3 * HIDDEN), np.float32), np.empty((4, lanes, HIDDEN), np.float32)
+    dz, dr, dun = (d[:, g * HIDDEN:(g + 1) * HIDDEN] for g in range(3))
+    small = np.int16 if len(p["E"]) < 30_000 else np.int64
     for _ in range(passes):
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t0 in range(0, length, TRAIN_STEPS):
             x, y = xs[t0:t0 + TRAIN_STEPS], ys[t0:t0 + TRAIN_STEPS]
             grad, u, steps = {k: np.zeros_like(w) for k, w in p.items() if k != "E"}, _by_gate(p), len(x)
-            starts = [np.flatnonzero(row) for row in x == p["E"].shape[0] - 1]
-            states, before = (np.empty((steps, lanes, HIDDEN), np.float32) for _ in range(2))
-            # How a step's state moves with its gates: the new part, the update gate, the reset gate; and the gates.
-            by_new, by_update, by_reset, kept, reset = (np.empty_like(states) for _ in range(5))
+            starts = [np.flatnonzero(row) for row in x == start]
             for t in range(steps):
-                before[t] = h
-                before[t][starts[t]] = 0
-                z, r, c, un = _step(u, _gates(p, x[t]), before[t], states[t])
-                h, kept[t], reset[t] = states[t], z, r
-                by_update[t] = (before[t] - c) * z * (1 - z)
-                by_new[t] = (1 - z) * (1 - c * c)
-                by_reset[t] = un * r * (1 - r)
-            _, ds = _output(p, states.reshape(-1, HIDDEN), y.reshape(-1), grad)
-            ds, dh = ds.reshape(states.shape), np.zeros_like(h)
-            dgates, ut = np.empty((3, *states.shape), np.float32), np.ascontiguousarray(u.transpose(0, 2, 1))
-            dnew, du = np.empty_like(states), np.empty((3, lanes, HIDDEN), np.float32)
+                seen[t] = h
+                seen[t][starts[t]] = 0
+                _step(u, _gates(p, x[t]), seen[t], states[t], gates[t], new[t])
+                h = states[t]
+            _, ds = _output(p, states[:steps].reshape(-1, HIDDEN), y.reshape(-1), grad)
+            ds, ut = ds.reshape(steps, lanes, HIDDEN), np.ascontiguousarray(p["U"].T)
+            by_symbol[steps * lanes], dh[...] = 0, 0
             for t in range(steps - 1, -1, -1):
+                z, r, un = gates[t]
                 dh += ds[t]
-                np.multiply(dh, by_new[t], out=dgates[2, t])
-                np.multiply(dh, by_update[t], out=dgates[0, t])
-                np.multiply(dgates[2, t], by_reset[t], out=dgates[1, t])
-                np.multiply(dgates[2, t], reset[t], out=dnew[t])
-                np.matmul(dgates[:2, t], ut[:2], out=du[:2])
-                np.matmul(dnew[t], ut[2], out=du[2])
-                dh *= kept[t]
-                for part in du:
-                    dh += part
+                np.subtract(1.0, z, out=rest)
+                rest *= dh
+                np.subtract(seen[t], new[t], out=part)
+                part *= z
+                np.multiply(part, rest, out=dz)
+                np.multiply(new[t], new[t], out=dn)
+                np.subtract(1.0, dn, out=dn)
+                dn *= rest
+                np.multiply(dn, r, out=part)
+                dun[...] = part
+                part *= un
+                np.subtract(1.0, r, out=rest)
+                np.multiply(part, rest, out=dr)
+                at = by_symbol[t * lanes:(t + 1) * lanes]
+                at[...] = d
+                at[:, 2 * HIDDEN:] = dn
+                grad["U"] += seen[t].T @ d
+                dh *= z
+                dh += np.matmul(d, ut, out=part)
                 dh[starts[t]] = 0
-            seen = before.reshape(-1, HIDDEN).T
-            for g, d in enumerate((dgates[0], dgates[1], dnew)):
-                grad["U"][:, g * HIDDEN:(g + 1) * HIDDEN] = seen @ d.reshape(-1, HIDDEN)
-            by_row = np.argsort(x, axis=None, kind="stable")
-            used, edges = np.unique(x.reshape(-1)[by_row], return_index=True)
-            grad["E"] = np.concatenate([np.add.reduceat(d.reshape(-1, HIDDEN)[by_row], edges, axis=0) for d in dgates], axis=1)
+            by_row = np.argsort(x.astype(small), axis=None, kind="stable")
+            symbols = x.reshape(-1)[by_row]
+            edges = np.flatnonzero(np.diff(symbols, prepend=-1))
+            used, grad["E"] = symbols[edges], _sums(by_symbol[:steps * lanes + 1], by_row, edges)
             n += 1
             step = float(rate * (1 - n / (total + 1)) * np.sqrt(1 - 0.999 ** n) / (1 - 0.9 ** n))
             scale = 1.0 / x.size
             for k in p:
                 g, at = grad[k], used if k == "E" else ...
                 g *= scale
-                mk, vk = m[k][at], v[k][at]  # copies of the rows of E, else the arrays themselves
+                mk, vk = (w[k].take(used, axis=0) if k == "E" else w[k] for w in (m, v))
                 mk += 0.1 * (g - mk)
                 g *= g
                 g -= vk

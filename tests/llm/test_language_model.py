@@ -147,3 +147,24 @@ def test_output_of_many_rows_and_its_gradient_do_not_follow_the_rows_taken_at_a_
         moved[1][at, 3] -= 0.01
         up, down = (gru._output(p, s, target)[at] for s in moved)
         assert want[1][at, 3] == pytest.approx((down - up) / 0.02, abs=5e-3)
+
+
+def test_sums_of_rows_by_symbol_are_those_of_every_row_alone():
+    rng = np.random.default_rng(6)
+    for longest in (1, 2, 17, 300):
+        sizes = rng.integers(1, longest + 1, 40)
+        rows = rng.normal(size=(sizes.sum() + 1, 5)).astype(np.float32)
+        rows[-1] = 0
+        order, edges = rng.permutation(sizes.sum()), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        want = [rows[order[e:e + n]].sum(axis=0) for e, n in zip(edges, sizes)]
+        assert np.allclose(gru._sums(rows, order, edges), want, atol=1e-4)
+
+
+def test_memory_kept_between_windows_does_not_change_training():
+    """A window shorter than the ones before reads nothing that they left."""
+    p = gru.initial(np.arange(60.0, 0, -1), np.full(gru.TAILS, 3.0))
+    rng = np.random.default_rng(7)
+    texts = [np.append(rng.integers(1, 68, n), 0) for n in (30, gru.TRAIN_STEPS * 4 + 5, 0, 9)]
+    first = gru.train(p, texts, passes=3)
+    assert all((a == b).all() for a, b in zip(first.values(), gru.train(p, texts, passes=3).values()))
+    assert gru.log_probabilities(first, texts).sum() > gru.log_probabilities(p, texts).sum()
