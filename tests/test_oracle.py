@@ -31,6 +31,20 @@ def test_query_equals_sql(spark, con, name):
     assert check_oracle.compare(contract.queries()[name](spark, SF), con, SQL[name]) == ""
 
 
+def test_prose_profile_equals_sql_on_dashes_openings_and_phrases(spark, tmp_path):
+    texts = ["The dog--it ran--was not big but fed. The end of it all. An owl is seen at dusk.", "This is a--b. Notably, red, green, and blue are given here. Notably so, it is so.",
+             "Été—the hot one—was not bad, but dry. It is in today's news.\n\nA b c d! B c d e? B c d e. C d e f. D e f g. E f g h. F g h i.", "--- ----- —", "", "plays a key role"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = contract.queries()["prose_profile"](spark, str(tmp_path))
+    assert check_oracle.compare(got, db, SQL["prose_profile"]) == ""
+    rows = {r.doc_id: r for r in got.collect()}
+    assert (rows[0].em_dashes, rows[0].words, rows[0].top_sentence_openings) == (2, 22, "the:2, an:1")
+    assert (rows[1].formulaic_detail, rows[2].top_sentence_openings, rows[3].words) == ("notably:2", "b:2, a:1, c:1, d:1, e:1", 4)
+    assert rows[2].formulaic_detail == "in today's:1" and rows[2].not_x_but_y_per_1000_words > 0
+
+
 def test_every_query_of_the_library_has_sql():
     assert all(SQL.values())
 

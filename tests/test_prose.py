@@ -35,6 +35,56 @@ def test_patterns_are_only_looked_for_where_a_match_can_begin(spark):
     assert "Contains(" in plan and plan.count("lower(") == 1
 
 
+def _profile(text):
+    """The whole profile in plain Python: dashes set apart, words, sentences, openings, phrases, constructions."""
+    body = re.sub("---?|—", " EMDASH ", text)
+    words = re.findall(r"[A-Za-z][A-Za-z'\-]+", body)
+    parts = [p for p in re.split(r"(?<=[.!?])\s+(?=[A-Z(])", re.sub(r"\s+", " ", body)) if len(p.split()) >= 4]
+    openings = [m[1].lower() for p in parts if (m := re.match(r"([A-Za-z']+)", p.strip()))]
+    found = [(pr.pattern_label(p), n) for p in fx.CONNECTIVES if (n := len(re.findall(p, text, re.I)))]
+    counts = {
+        "em_dashes": len(re.findall("---?|—", text)), "formulaic": sum(n for _, n in found), "triads": len(re.findall(fx.TRIAD, body)),
+        "not_x_but_y": len(re.findall(fx.NOT_BUT, body, re.I)), "passive": len(re.findall(fx.PASSIVE, body, re.I)),
+    }
+    top = sorted({(o, openings.count(o)) for o in openings}, key=lambda e: (-e[1], e[0]))[:5]
+    return len(words), [len(p.split()) for p in parts], counts, openings.count("the"), top, found
+
+
+def test_whole_profile_in_plain_python(spark):
+    random.seed(5)
+    pieces = ["The cat", "It", "a dog", "ran--fast", "---", " -- ", "x—y", "stopped. The end", "of it all. An owl", "and sat. It is", "well? (No", "Notably", "this is a--b", "this is the key",
+              "red, green, and blue", "one, two--three, and four", "is not big but", "are not -- so but", "was taken", "were--given", "is", "hidden", "plays a key role",
+              "highlights the", "let us", "a-b", "été", "\n", "   ", ".", "----", "it's 'so'. 'Twas a fine day", "do so. We saw", "all day. Some are", "at last. Many"]
+    docs = [(i, " ".join(random.choices(pieces, k=random.choice([0, 5, 60, 300])))) for i in range(120)] + [(900, None), (901, ""), (902, "--"), (903, "this is a--b or it")]
+    asked = {i: _profile(t or "") for i, t in docs}
+    for r in pr.prose_profile(spark.createDataFrame(docs, "k long, t string"), "k", "t").collect():
+        w, lens, counts, the, top, found = asked[r.k]
+        assert (r.words, r.sentences, r.the_initial_sentences) == (w, len(lens), the), r
+        assert (r.min_sentence_words, r.max_sentence_words) == (min(lens, default=0), max(lens, default=0))
+        assert abs(r.mean_sentence_words - (sum(lens) / len(lens) if lens else 0)) < 0.0501
+        assert (r.em_dashes, r.formulaic_total, r.not_x_but_y) == (counts["em_dashes"], counts["formulaic"], counts["not_x_but_y"])
+        for name, n in counts.items():
+            assert abs(r[f"{name}_per_1000_words"] - (1000 * n / w if w else 0)) < 0.0501, (name, r)
+        assert [tuple(e) for e in r.top_sentence_openings] == top and [tuple(e) for e in r.formulaic_detail] == found
+    assert sum(len(a[4]) == 5 for a in asked.values()) > 40 and asked[903][5] == [] and asked[902][0] == 1
+
+
+def test_most_frequent_openings_of_long_texts_and_ties(spark):
+    one = lambda o, n: f"{o} b c d. " * n
+    docs = [(1, one("Cow", 2) + one("Ant", 2) + one("The", 40_000) + one("Bee", 2) + one("Dog", 1) + one("Elk", 1) + one("(", 3)), (2, one("Ox", 1)), (3, "Too short.")]
+    frame = spark.createDataFrame(docs, "k long, t string")
+    got = {r.k: [tuple(e) for e in r.top_sentence_openings] for r in pr.prose_profile(frame, "k", "t").collect()}
+    assert got == {1: [("the", 40_000), ("ant", 2), ("bee", 2), ("cow", 2), ("dog", 1)], 2: [("ox", 1)], 3: []}
+    assert [len(r.top_sentence_openings) for r in pr.prose_profile(frame, "k", "t", n_openings=2).orderBy("k").collect()] == [2, 1, 0]
+
+
+def test_profile_counts_phrases_without_a_literal_beginning(spark):
+    frame = spark.createDataFrame([(1, "Bar foo abbb. Bar none."), (2, "nothing")], "k long, t string")
+    got = {r.k: (r.formulaic_total, [tuple(e) for e in r.formulaic_detail]) for r in pr.prose_profile(frame, "k", "t", connectives=(r"\bfoo\b|\bbar\b", "ab{2}", "x+")).collect()}
+    assert got == {1: (4, [(r"foo\b|\bbar", 3), ("ab{2}", 1)]), 2: (0, [])}
+    assert pr.prose_profile(frame, "k", "t", connectives=()).where("formulaic_total = 0 and size(formulaic_detail) = 0").count() == 2
+
+
 def test_deviation_of_sentence_lengths_rounds_as_in_sql(spark):
     random.seed(1)
     lengths = [[7, 5, 26, 23, 19, 27, 5, 4, 17, 12, 19, 14, 13, 18, 29, 14], [20, 25, 14, 14, 24, 12, 13, 26, 11, 17, 15, 18, 17, 24, 22, 20], [9], []]
